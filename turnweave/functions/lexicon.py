@@ -309,5 +309,15 @@ class Lexicon:
         pool = [t for group in self.events.values() for t in group] + list(self.objects)
         return [t for t in dict.fromkeys(pool) if len(t) >= 2 and t not in stop]
 
+    def channel_vocabulary(self) -> list[str]:
+        """Every term an interaction channel looks for."""
+        pools = [
+            self.unsatisfied, self.pressure, self.explain_only, self.claim, self.challenge,
+            self.evidence, self.action, self.reference, self.answer_state, self.commitment,
+            self.continuation_need, self.capacity_anchor, self.capacity_query,
+            *self.events.values(), *self.intents.values(),
+        ]
+        return list(dict.fromkeys(t for pool in pools for t in pool if t))
+
 
 DEFAULT_LEXICON = Lexicon()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,19 +43,89 @@ def contains_any(text: Column, terms: Sequence[str]) -> Column:
     return text.rlike("|".join(re.escape(t) for t in terms))
 
 
-def contained_terms(text: Column, terms: Sequence[str]) -> Column:
-    """The listed terms found in ``text``, repeats in the list kept."""
-    pool = F.array(*[F.lit(t) for t in terms if t]) if terms else F.array().cast("array<string>")
-    return F.filter(pool, lambda t: F.contains(text, t))
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row.
+
+    A lambda body is evaluated per element, so a costly expression inside it
+    must arrive as a bound variable.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _scan_pattern(terms: Sequence[str], group: int = 12) -> str:
+    """A look-ahead that captures the longest term starting at a position.
+
+    Terms are grouped by first character, and first characters by code range,
+    so a position costs a few range tests and not one test per term.
+    """
+    rests: dict[str, list[str]] = {}
+    for term in terms:
+        rests.setdefault(term[0], []).append(term[1:])
+    branch = {
+        c: re.escape(c) + "(?:" + "|".join(re.escape(r) for r in sorted(tails, key=lambda t: (-len(t), t))) + ")"
+        for c, tails in rests.items()
+    }
+    span = lambda chars: f"{re.escape(chars[0])}-{re.escape(chars[-1])}"
+    # ASCII and other first characters never share a range
+    sides = [side for side in (sorted(c for c in branch if c.isascii()), sorted(c for c in branch if not c.isascii())) if side]
+    parts = [
+        f"(?=[{span(chunk)}])(?:" + "|".join(branch[c] for c in chunk) + ")"
+        for side in sides
+        for chunk in (side[i:i + group] for i in range(0, len(side), group))
+    ]
+    return f"(?=[{''.join(map(span, sides))}])(?=(" + "|".join(parts) + "))"
+
+
+def find_terms(text: Column, terms: Sequence[str]) -> Column:
+    """Distinct terms contained in ``text``, found in one scan.
+
+    The scan yields the longest term per position; terms that begin a longer
+    one are added from a fixed table, so overlapping and nested terms count.
+    """
+    pool = list(dict.fromkeys(t for t in terms if t))
+    if not pool:
+        return F.array().cast("array<string>")
+    longest = F.array_distinct(F.regexp_extract_all(text, F.lit(_scan_pattern(pool)), F.lit(1)))
+    known = set(pool)
+    nested = {t: [t[:i] for i in range(1, len(t)) if t[:i] in known] for t in pool}
+    nested = {t: inner for t, inner in nested.items() if inner}
+    if not nested:
+        return longest
+    table = F.create_map(
+        *[item for t, inner in nested.items() for item in (F.lit(t), F.array(*[F.lit(i) for i in inner]))]
+    )
+    outer = F.array(*[F.lit(t) for t in nested])
+    # the scan result is used twice below; bind keeps it a single scan
+    return bind(
+        longest,
+        lambda hits: F.array_union(
+            hits, F.flatten(F.transform(F.array_intersect(hits, outer), lambda t: table[t]))
+        ),
+    )
+
+
+def count_found(found: Column, terms: Sequence[str]) -> Column:
+    """How many listed terms are in ``found``; repeats in the list count again."""
+    if not terms:
+        return F.lit(0)
+    pool = F.array(*[F.lit(t) for t in terms if t])
+    if len(set(terms)) == len(terms):
+        return F.size(F.array_intersect(found, pool))
+    return F.size(F.filter(pool, lambda t: F.array_contains(found, t)))
+
+
+def found_score(found: Column, terms: Sequence[str], normalizer: float) -> Column:
+    """Share of ``normalizer`` hits among found terms, at most 1."""
+    return F.least(count_found(found, terms) / F.lit(float(normalizer)), F.lit(1.0))
 
 
 def count_terms(text: Column, terms: Sequence[str]) -> Column:
-    return F.size(contained_terms(text, terms))
+    return count_found(find_terms(text, terms), terms)
 
 
 def term_score(text: Column, terms: Sequence[str], normalizer: float) -> Column:
-    """Share of ``normalizer`` term hits, at most 1."""
-    return F.least(count_terms(text, terms) / F.lit(float(normalizer)), F.lit(1.0))
+    """Share of ``normalizer`` term hits in a text, at most 1."""
+    return found_score(find_terms(text, terms), terms, normalizer)
 
 
 def group_score(text: Column, terms: Sequence[str]) -> Column:
@@ -113,10 +183,11 @@ def object_terms(text: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
     body = text
     for pattern in lexicon.salutations:
         body = F.regexp_replace(body, pattern.replace(r"\s", r"\p{IsWhite_Space}"), " ")
-    known = contained_terms(body, lexicon.object_vocabulary())
-    runs = F.regexp_extract_all(body, F.lit(WORD + "{2,24}"), F.lit(0))
-    ascii_runs = F.filter(runs, lambda r: r.rlike("^[A-Za-z0-9]+$"))
-    return F.array_union(known, F.transform(ascii_runs, F.lower))
+    known = find_terms(body, lexicon.object_vocabulary())
+    runs = F.regexp_extract_all(ascii_lower(body), F.lit(WORD + "{2,24}"), F.lit(0))
+    mixed = body.rlike(f"[{CJK}]")  # without CJK every run is ASCII
+    ascii_runs = F.when(mixed, F.filter(runs, lambda r: r.rlike("^[a-z0-9]+$"))).otherwise(runs)
+    return F.array_union(known, ascii_runs)
 
 
 def shared_objects(left_terms: Column, right_terms: Column) -> tuple[Column, Column]:

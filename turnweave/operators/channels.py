@@ -15,12 +15,12 @@ from ..functions.lexicon import DEFAULT_LEXICON, Lexicon
 from ..functions.numeric import clip, to_number
 from ..functions.text import (
     clean_text,
-    contains_any,
-    group_score,
+    count_found,
+    find_terms,
+    found_score,
     object_terms,
     question_mark_score,
     shared_objects,
-    term_score,
 )
 
 NEAR_DISTANCE = 5
@@ -33,29 +33,74 @@ def _levels(*steps: tuple[Column, float]) -> Column:
     )
 
 
+# Columns the channels read; texts are scanned for terms once, not per list.
+RECORD_COLUMNS = ("q_found", "a_found", "q_objects", "a_objects", "q_marks", "a_digits")
+_SOURCE = ("q_found", "a_found", "q_objects", "a_objects", "a_digits")
+_TARGET = ("Q2_q_found", "Q2_q_objects", "Q2_q_marks")
+
+
+def _text_columns(q: Column, a: Column, lexicon: Lexicon) -> dict[str, Column]:
+    vocabulary = lexicon.channel_vocabulary()
+    return {
+        "q_found": find_terms(q, vocabulary),
+        "a_found": find_terms(a, vocabulary),
+        "q_objects": object_terms(q, lexicon),
+        "a_objects": object_terms(a, lexicon),
+        "q_marks": question_mark_score(q),
+        "a_digits": a.rlike(r"(?U)\d").cast("double"),
+    }
+
+
+def record_features(records: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
+    """Scan each record's texts once, before it fans out into edges.
+
+    Carry ``SOURCE_FEATURES`` and ``TARGET_FEATURES`` through
+    ``candidate_edges``; the channels then touch no text at all.
+    """
+    return records.withColumns(_text_columns(F.col("Q"), F.col("A"), lexicon))
+
+
+SOURCE_FEATURES = _SOURCE
+TARGET_FEATURES = ("q_found", "q_objects", "q_marks")
+
+
+def edge_features(edges: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
+    """The same columns computed from edge texts (when no record table is at hand)."""
+    if {*_SOURCE, *_TARGET} <= set(edges.columns):
+        return edges
+    cleaned = edges.withColumns({f"_{c}": clean_text(F.col(c)) for c in ("Q1", "A1", "Q2")})
+    out = cleaned.withColumns(_text_columns(F.col("_Q1"), F.col("_A1"), lexicon))
+    target = _text_columns(F.col("_Q2"), F.lit(""), lexicon)
+    out = out.withColumns({f"Q2_{c}": target[c] for c in TARGET_FEATURES})
+    return out.drop("_Q1", "_A1", "_Q2", "q_marks")
+
+
 def with_interaction_scores(edges: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
     """Dissatisfaction, pressure, claim, challenge, explanation and evidence."""
-    a1, q2 = clean_text(F.col("A1")), clean_text(F.col("Q2"))
-    raw = term_score(a1, lexicon.unsatisfied, 2.0)
-    lifted = (
-        F.when(raw <= 0, raw)
-        .when(F.length(a1) <= 18, F.greatest(raw, F.lit(0.75)))
-        .when(F.length(a1) <= 35, F.greatest(raw, F.lit(0.60)))
-        .otherwise(raw)
-    )
-    marks = question_mark_score(q2)
-    return edges.withColumns(
+    out = edge_features(edges, lexicon)
+    a1, q2 = F.col("a_found"), F.col("Q2_q_found")
+    marks, size = F.col("Q2_q_marks"), F.length(clean_text(F.col("A1")))
+    out = out.withColumns(
         {
-            "answer_unsatisfied_score": lifted,
-            "q2_pressure_score": F.greatest(term_score(q2, lexicon.pressure, 2.0), marks * 0.25),
-            "a1_claim_score": term_score(a1, lexicon.claim, 2.0),
-            "q2_challenge_score": F.greatest(term_score(q2, lexicon.challenge, 2.0), marks * 0.35),
-            "q2_explain_only_score": term_score(q2, lexicon.explain_only, 2.0),
+            "_unsat": found_score(a1, lexicon.unsatisfied, 2.0),
+            "_size": size,
+            "q2_pressure_score": F.greatest(found_score(q2, lexicon.pressure, 2.0), marks * 0.25),
+            "a1_claim_score": found_score(a1, lexicon.claim, 2.0),
+            "q2_challenge_score": F.greatest(found_score(q2, lexicon.challenge, 2.0), marks * 0.35),
+            "q2_explain_only_score": found_score(q2, lexicon.explain_only, 2.0),
             "evidence_score": F.greatest(
-                term_score(q2, lexicon.evidence, 2.0), term_score(a1, lexicon.evidence, 3.0)
+                found_score(q2, lexicon.evidence, 2.0), found_score(a1, lexicon.evidence, 3.0)
             ),
         }
     )
+    raw = F.col("_unsat")
+    lifted = (
+        F.when(raw <= 0, raw)
+        .when(F.col("_size") <= 18, F.greatest(raw, F.lit(0.75)))
+        .when(F.col("_size") <= 35, F.greatest(raw, F.lit(0.60)))
+        .otherwise(raw)
+    )
+    return out.withColumn("answer_unsatisfied_score", lifted).drop("_unsat", "_size")
 
 
 def complaint_level(semantic: Column, distance: Column) -> Column:
@@ -97,37 +142,38 @@ def with_bridge_scores(
     min_semantic: float = 0.0,
 ) -> DataFrame:
     """Structured bridge between an answered business event and a later intent."""
-    a1, q2 = clean_text(F.col("A1")), clean_text(F.col("Q2"))
-    anchor = F.concat_ws(" ", clean_text(F.col("Q1")), a1)
-    out = edges.withColumns(
-        {f"a1_event_{g}": group_score(anchor, t) for g, t in lexicon.events.items()}
-    ).withColumns({f"q2_intent_{g}": group_score(q2, t) for g, t in lexicon.intents.items()})
-
-    out = out.withColumns(
+    # No term holds white space, so the anchor's terms are those of its two texts.
+    out = edge_features(edges, lexicon).withColumns(
         {
-            "_q2_objects": object_terms(q2, lexicon),
-            "_a1_objects": object_terms(a1, lexicon),
-            "_anchor_objects": object_terms(anchor, lexicon),
+            "_anchor": F.array_union("q_found", "a_found"),
+            "_anchor_objects": F.array_union("q_objects", "a_objects"),
         }
     )
-    shared, shared_names = shared_objects(F.col("_anchor_objects"), F.col("_q2_objects"))
-    a1_shared, a1_names = shared_objects(F.col("_a1_objects"), F.col("_q2_objects"))
-    grows = contains_any(anchor, lexicon.capacity_anchor) & contains_any(q2, lexicon.capacity_query)
+    anchor, a1, q2 = F.col("_anchor"), F.col("a_found"), F.col("Q2_q_found")
+    out = out.withColumns(
+        {f"a1_event_{g}": found_score(anchor, t, 2.0) for g, t in lexicon.events.items()}
+    ).withColumns({f"q2_intent_{g}": found_score(q2, t, 2.0) for g, t in lexicon.intents.items()})
+
+    shared, shared_names = shared_objects(F.col("_anchor_objects"), F.col("Q2_q_objects"))
+    a1_shared, a1_names = shared_objects(F.col("a_objects"), F.col("Q2_q_objects"))
+    grows = (count_found(anchor, lexicon.capacity_anchor) > 0) & (
+        count_found(q2, lexicon.capacity_query) > 0
+    )
     out = out.withColumns(
         {
-            "structured_followup_action_score": term_score(q2, lexicon.action, 2.0),
-            "structured_reference_score": term_score(q2, lexicon.reference, 1.0),
+            "structured_followup_action_score": found_score(q2, lexicon.action, 2.0),
+            "structured_reference_score": found_score(q2, lexicon.reference, 1.0),
             "structured_shared_object_score": shared,
             "structured_a1_shared_object_score": a1_shared,
             "structured_capacity_growth_signal": grows.cast("double"),
-            "structured_answer_state_score": term_score(a1, lexicon.answer_state, 2.0),
-            "structured_answer_commitment_score": term_score(a1, lexicon.commitment, 2.0),
-            "structured_answer_numeric_score": a1.rlike(r"(?U)\d").cast("double"),
-            "structured_q2_continuation_need_score": term_score(q2, lexicon.continuation_need, 2.0),
+            "structured_answer_state_score": found_score(a1, lexicon.answer_state, 2.0),
+            "structured_answer_commitment_score": found_score(a1, lexicon.commitment, 2.0),
+            "structured_answer_numeric_score": F.col("a_digits"),
+            "structured_q2_continuation_need_score": found_score(q2, lexicon.continuation_need, 2.0),
             "structured_shared_terms": shared_names,
             "structured_a1_shared_terms": a1_names,
         }
-    ).drop("_q2_objects", "_a1_objects", "_anchor_objects")
+    ).drop("_anchor", "_anchor_objects")
 
     distance = to_number(F.col("distance"), 99.0)
     sem = F.col(semantic)
@@ -225,7 +271,7 @@ def interaction_channels(
             "structured_standalone_blocked": (alone & ~(answered | growth)).cast("double"),
         }
     )
-    return out.withColumns(
+    return out.drop(*_SOURCE, *_TARGET).withColumns(
         {
             "stage1_structured_prob": F.when(
                 F.col("structured_standalone_blocked") == 1.0, F.lit(0.0)

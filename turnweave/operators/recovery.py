@@ -104,7 +104,12 @@ def recovery_totals(recovered: DataFrame, lambda_0: float, lambda_t: float) -> D
 # --------------------------------------------------------------------------
 
 def _target_arrays(
-    edges: DataFrame, evidence: str, tie: Sequence[str], extra: Sequence[str], limit: int
+    edges: DataFrame,
+    evidence: str,
+    tie: Sequence[str],
+    extra: Sequence[str],
+    limit: int,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """One row per target: its candidates in rank order.
 
@@ -115,10 +120,12 @@ def _target_arrays(
         evidence, to_number(F.col(evidence), 0.0)
     )
     order = Window.partitionBy(*TARGET).orderBy(F.col(evidence).desc(), *[F.col(t) for t in tie])
-    ranked = clean.select(*TARGET, F.col(evidence).alias("r"), *extra, F.row_number().over(order).alias("k"))
+    ranked = clean.select(
+        *by, *TARGET, F.col(evidence).alias("r"), *extra, F.row_number().over(order).alias("k")
+    )
     grouped = (
         ranked.where(F.col("k") <= limit + 1)
-        .groupBy(*TARGET)
+        .groupBy(*TARGET, *by)
         .agg(F.sort_array(F.collect_list(F.struct("k", "r", *extra))).alias("c"))
     )
     checked = F.when(F.size("c") <= limit, F.col("c")).otherwise(
@@ -131,15 +138,19 @@ def exactness_audit(
     recovered: DataFrame,
     lambda_0: float,
     lambda_t: float,
-    split: str = "all",
     evidence: str = "stage2a_local_evidence",
     tie: Sequence[str] = ("Q1_row",),
     limit: int = MAX_CANDIDATES_PER_TARGET,
     tolerance: float = AUDIT_TOLERANCE,
 ) -> DataFrame:
-    """Compare the solver with all 2^m subsets of every target (m <= limit)."""
+    """Compare the solver with all 2^m subsets of every target (m <= limit).
+
+    One row per ``split`` value; a graph without that column is one split.
+    """
+    if "split" not in recovered.columns:
+        recovered = recovered.withColumn("split", F.lit("all"))
     picked = recovered.withColumn("z", F.col("final_graph_pred_edge").cast("int"))
-    groups = _target_arrays(picked, evidence, tie, ["z"], limit)
+    groups = _target_arrays(picked, evidence, tie, ["z"], limit, ["split"])
     masks = groups.withColumn("m", F.size("c")).withColumn(
         "mask", F.explode(F.expr("sequence(0, shiftleft(1, m) - 1)"))
     )
@@ -152,13 +163,13 @@ def exactness_audit(
     masks = masks.withColumn(
         "_v", _value(F.col("_sum"), F.col("_n"), F.lit(float(lambda_0)), F.lit(float(lambda_t)))
     ).withColumn("_solver", solver)
-    per_target = masks.groupBy(*TARGET).agg(
+    per_target = masks.groupBy("split", *TARGET).agg(
         F.first("m").alias("m"),
         F.max("_v").alias("_top"),
         F.max(F.when(F.col("mask") == F.col("_solver"), F.col("_v"))).alias("_got"),
     )
     gap = F.greatest(F.lit(0.0), F.col("_top") - F.col("_got"))
-    found = per_target.agg(
+    found = per_target.groupBy("split").agg(
         F.count(F.lit(1)).alias("candidate_target_groups"),
         F.coalesce(F.max("m"), F.lit(0)).alias("max_candidates_per_target"),
         F.coalesce(F.sum(F.expr("shiftleft(1L, m)")), F.lit(0)).alias("enumerated_subsets"),
@@ -166,18 +177,23 @@ def exactness_audit(
         F.count_if(F.abs(F.col("_top") - F.col("_got")) > tolerance).alias("subset_mismatches"),
         F.coalesce(F.max(gap), F.lit(0.0)).alias("max_objective_gap"),
     )
-    every = recovered.groupBy(*TARGET).agg(F.lit(1).alias("_one")).agg(
+    every = recovered.select("split", *TARGET).distinct().groupBy("split").agg(
         F.count(F.lit(1)).alias("all_target_groups")
     )
     clean = (F.col("objective_mismatches") == 0) & (F.col("subset_mismatches") == 0)
-    return every.crossJoin(found).select(
-        F.lit(split).alias("split"),
+    counts = [
+        "candidate_target_groups", "max_candidates_per_target", "enumerated_subsets",
+        "objective_mismatches", "subset_mismatches",
+    ]
+    zero = F.lit(0).cast("long")
+    filled = every.join(F.broadcast(found), "split", "left").withColumns(
+        {**{c: F.coalesce(F.col(c), zero) for c in counts},
+         "max_objective_gap": F.coalesce("max_objective_gap", F.lit(0.0))}
+    )
+    return filled.select(
+        "split",
         "all_target_groups",
-        "candidate_target_groups",
-        "max_candidates_per_target",
-        "enumerated_subsets",
-        "objective_mismatches",
-        "subset_mismatches",
+        *counts,
         "max_objective_gap",
         F.lit(float(tolerance)).alias("tolerance"),
         clean.alias("passed"),
@@ -193,9 +209,13 @@ def penalty_grid(
     tie: Sequence[str] = ("Q1_row",),
     limit: int = MAX_CANDIDATES_PER_TARGET,
     ranking: bool = True,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Every (λ0, λt) in one job instead of one job per setting.
 
+    ``by`` (columns fixed within a session, such as the split) gives one grid
+    per group.
+
     Candidates are ranked once.  Each target then meets each setting inside its
     own row and only per-setting sums leave the task, so the shuffle carries
     grid-size rows.  ``ranking`` adds AUC and AP of the final score, which needs
@@ -204,7 +224,7 @@ def penalty_grid(
     settings = [(float(a), float(b)) for a, b in product(sorted(set(lambda0_grid)), sorted(set(lambdat_grid)))]
     grid = F.array(*[F.struct(F.lit(a).alias("l0"), F.lit(b).alias("lt")) for a, b in settings])
     labelled = edges.withColumn("y", F.col(label).cast("int"))
-    groups = _target_arrays(labelled, evidence, tie, ["y"], limit)
+    groups = _target_arrays(labelled, evidence, tie, ["y"], limit, by)
     # prefix sums in rank order, independent of the penalties
     groups = groups.withColumn(
         "p",
@@ -212,7 +232,9 @@ def penalty_grid(
             "aggregate(c, array(0D), (acc, e) -> concat(acc, array(element_at(acc, -1) + e.r)))"
         ),
     )
+    keys = [*by, "lambda_0", "lambda_t"]
     tried = groups.withColumn("g", F.explode(grid)).select(
+        *by,
         "c",
         F.col("g.l0").alias("lambda_0"),
         F.col("g.lt").alias("lambda_t"),
@@ -223,16 +245,15 @@ def penalty_grid(
         "k", (F.array_position("v", F.col("_best")) - 1).cast("int")
     )
     picked = F.expr("aggregate(slice(c, 1, k), 0, (acc, e) -> acc + e.y)")
-    sums = tried.groupBy("lambda_0", "lambda_t").agg(
+    sums = tried.groupBy(*keys).agg(
         F.sum(picked).alias("tp"), F.sum("k").alias("pred"), F.sum("_best").alias("objective")
     )
-    totals = edges.agg(F.count_if(F.col(label).cast("int") == 1).alias("_pos"), F.count(F.lit(1)).alias("_rows"))
-    out = sums.crossJoin(F.broadcast(totals))
+    totals = edges.groupBy(*by).agg(F.count_if(F.col(label).cast("int") == 1).alias("_pos"))
+    out = sums.join(F.broadcast(totals), list(by)) if by else sums.crossJoin(F.broadcast(totals))
     tp, pred = F.col("tp"), F.col("pred")
     fp, fn = pred - tp, F.col("_pos") - tp
     columns = [
-        "lambda_0",
-        "lambda_t",
+        *keys,
         ratio(tp, pred).alias("Precision"),
         ratio(tp, F.col("_pos")).alias("Recall"),
         f1_score(tp, fp, fn).alias("F1"),
@@ -245,29 +266,32 @@ def penalty_grid(
     result = out.select(*columns)
     if not ranking:
         return result
-    return result.join(F.broadcast(_grid_ranking(edges, groups, grid, label)), ["lambda_0", "lambda_t"])
+    return result.join(F.broadcast(_grid_ranking(edges, groups, grid, label, keys, by)), keys)
 
 
-def _grid_ranking(edges: DataFrame, groups: DataFrame, grid: Column, label: str) -> DataFrame:
+def _grid_ranking(
+    edges: DataFrame, groups: DataFrame, grid: Column, label: str, keys: list[str], by: Sequence[str]
+) -> DataFrame:
     """AUC and AP per setting; rows outside the graph score 0 in each of them."""
-    flat = groups.select(F.inline("c")).select("k", "r", "y")
+    flat = groups.select(*by, F.inline("c")).select(*by, "k", "r", "y")
     gain = F.col("r") - F.col("g.l0") - F.col("g.lt") * (F.col("k") - 1).cast("double")
     scored = flat.withColumn("g", F.explode(grid)).select(
+        *by,
         F.col("g.l0").alias("lambda_0"), F.col("g.lt").alias("lambda_t"),
         sigmoid(gain).alias("score"), "y",
     )
-    inside = score_histogram(scored, "y", "score", ["lambda_0", "lambda_t"])
+    inside = score_histogram(scored, "y", "score", keys)
     outside = (
         edges.where(F.col("stage2_graph_input_pred") != 1)
+        .groupBy(*by)
         .agg(
             F.count_if(F.col(label).cast("int") == 1).alias("pos"),
             F.count_if(F.col(label).cast("int") != 1).alias("neg"),
         )
         .withColumn("g", F.explode(grid))
-        .select(F.col("g.l0").alias("lambda_0"), F.col("g.lt").alias("lambda_t"),
+        .select(*by, F.col("g.l0").alias("lambda_0"), F.col("g.lt").alias("lambda_t"),
                 F.lit(0.0).alias("score"), "pos", "neg")
     )
-    keys = ["lambda_0", "lambda_t"]
     curve = running_counts(inside.unionByName(outside), keys)
     ranks = ranking_from_counts(curve, keys)
     return ranks.select(*keys, F.col("auc").alias("AUC"), F.col("ap").alias("AP"))

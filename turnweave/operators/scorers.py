@@ -6,12 +6,14 @@ class-balanced L2 logistic regression with C = 1 / (lambda * n).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,10 +51,15 @@ def fit_logistic(
         raise RuntimeError("the training rows hold only one class")
     rows = negatives + positives
     vectors = as_vector(train, features).withColumn("_w", balanced_weight(label, negatives, positives))
-    scaler = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True).fit(vectors)
-    stages = [scaler]
+    scaler = StandardScaler(inputCol="_raw", outputCol="_unit", withMean=True, withStd=True).fit(vectors)
+    # The scaler divides by the sample deviation; this turns it into the population one.
+    factor = math.sqrt(rows / (rows - 1.0))
+    rescale = ElementwiseProduct(
+        scalingVec=Vectors.dense([factor] * scaler.std.size), inputCol="_unit", outputCol="_scaled"
+    )
+    stages = [scaler, rescale]
     inputs = "_scaled"
-    scaled = scaler.transform(vectors)
+    scaled = rescale.transform(scaler.transform(vectors))
     if penalize_intercept:
         joined = VectorAssembler(inputCols=["_scaled", "_one"], outputCol="_x")
         scaled = joined.transform(scaled)
@@ -88,7 +95,7 @@ def predict(
     df: DataFrame, model: PipelineModel, features: str | Sequence[str], name: str = "stage1_semantic_prob"
 ) -> DataFrame:
     scored = model.transform(as_vector(df, features))
-    drop = [c for c in ("_raw", "_one", "_scaled", "_x", "_margin", "_pred", "_prob") if c in scored.columns]
+    drop = [c for c in ("_raw", "_one", "_unit", "_scaled", "_x", "_margin", "_pred", "_prob") if c in scored.columns]
     return scored.withColumn(name, vector_to_array("_prob")[1]).drop(*drop)
 
 
