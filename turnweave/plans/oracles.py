@@ -86,9 +86,9 @@ e AS (SELECT concat_ws('_', s.session_id, s.pos, d.pos) AS edge_id, s.session_id
 
 
 SCORED = f"""
-tm AS (SELECT *, {terms_of("concat_ws(' ', Q1, A1)")} AS at, {terms_of('Q2')} AS qt FROM e),
-ov AS (SELECT *, CASE WHEN least(len(at), len(qt)) > 0
-                 THEN len(list_intersect(at, qt))::DOUBLE / least(len(at), len(qt)) ELSE 0.0::DOUBLE END AS overlap FROM tm),
+tm AS (SELECT *, {terms_of("concat_ws(' ', Q1, A1)")} AS ats, {terms_of('Q2')} AS qt FROM e),
+ov AS (SELECT *, CASE WHEN least(len(ats), len(qt)) > 0
+                 THEN len(list_intersect(ats, qt))::DOUBLE / least(len(ats), len(qt)) ELSE 0.0::DOUBLE END AS overlap FROM tm),
 sc AS (SELECT *, round(least(1.0::DOUBLE, overlap * {SCORE_FACTOR}::DOUBLE), 6) AS stage1_prob,
               CAST((session_id * 7 + Q1_row * 3 + Q2_row) % 5 = 0 AS INTEGER) AS edge_label,
               CASE WHEN session_id % 25 < 16 THEN 'train' WHEN session_id % 25 < 20 THEN 'validation' ELSE 'test' END AS split
@@ -538,7 +538,7 @@ def all_sql() -> dict[str, str]:
     q["char_jaccard"] = on_edges(
         f"SELECT edge_id, round({jac(chars('Q1'), chars('Q2'))}, 6) AS word_chars, round({jac(visible('A1'), visible('Q2'))}, 6) AS visible_chars FROM e")
     q["term_overlap"] = on_scored(
-        "SELECT edge_id, CAST(len(at) AS INTEGER) AS anchor_terms, CAST(len(qt) AS INTEGER) AS q2_terms, round(overlap, 6) AS overlap FROM ov")
+        "SELECT edge_id, CAST(len(ats) AS INTEGER) AS anchor_terms, CAST(len(qt) AS INTEGER) AS q2_terms, round(overlap, 6) AS overlap FROM ov")
     one = lambda cond: f"CASE WHEN {cond} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
     heur = f"""
 hs AS (SELECT *, round(least(1.0::DOUBLE, 0.26::DOUBLE * {one(has('Q2', LEX.followup))} + 0.30::DOUBLE * {one(has('Q2', LEX.complaint))}
@@ -595,7 +595,7 @@ hs AS (SELECT *, round(least(1.0::DOUBLE, 0.26::DOUBLE * {one(has('Q2', LEX.foll
         "round(CASE WHEN blocked THEN 0.0::DOUBLE ELSE half END, 6) AS structured, CAST(g1 AS DOUBLE) AS structured_answer_state_guard, "
         "CAST(g2 AS DOUBLE) AS structured_capacity_growth_guard, CAST(blocked AS DOUBLE) AS structured_standalone_blocked, stage1_prob FROM b8",
         """
-b6 AS (SELECT *, greatest(least(strength * 0.5::DOUBLE, 0.45::DOUBLE), 0.0::DOUBLE) AS half, greatest(ast, com) AS state FROM b5),
+b6 AS (SELECT *, greatest(least(strength, 0.45::DOUBLE), 0.0::DOUBLE) AS half, greatest(ast, com) AS state FROM b5),
 b7 AS (SELECT *, rule > 0 AND need >= 0.35 AND state >= 0.35 AND (ashs >= 0.12 OR shs >= 0.24 OR ref >= 0.5) AND near AS g1,
   cap >= 1 AND q2_intent_growth_profit_question >= 0.5 AND state >= 0.35 AND distance <= 1 AS g2 FROM b6),
 b8 AS (SELECT *, half >= 0.12 AND NOT (sem >= 0.005 OR complaint >= 0.12 OR challenge >= 0.12) AND NOT (g1 OR g2) AS blocked FROM b7)""")
@@ -624,7 +624,7 @@ b8 AS (SELECT *, half >= 0.12 AND NOT (sem >= 0.005 OR complaint >= 0.12 OR chal
         "count(*) FILTER (WHERE given = 1 AND k = 1) AS target_groups, CAST(sum(pred) AS BIGINT) AS pred_edges FROM rec")
     q["exactness_audit"] = on_recovered(
         """SELECT t.split, CAST(t.n AS BIGINT) AS all_target_groups, CAST(count(*) AS BIGINT) AS candidate_target_groups,
- CAST(max(m) AS INTEGER) AS max_candidates_per_target, CAST(sum(subsets) AS BIGINT) AS enumerated_subsets,
+ CAST(max(m) AS BIGINT) AS max_candidates_per_target, CAST(sum(subsets) AS BIGINT) AS enumerated_subsets,
  count(*) FILTER (WHERE top - got > 1e-10) AS objective_mismatches, count(*) FILTER (WHERE abs(top - got) > 1e-10) AS subset_mismatches,
  round(max(greatest(0.0::DOUBLE, top - got)), 6) AS max_objective_gap, 1e-10::DOUBLE AS tolerance,
  count(*) FILTER (WHERE abs(top - got) > 1e-10) = 0 AS passed

@@ -322,7 +322,7 @@ def bridge_rules(spark, d):
 
 @query
 def interaction_channels(spark, d):
-    out = channels.interaction_channels(_featured(spark, d), "stage1_semantic_prob", LEX, bridge_scale=0.5)
+    out = channels.interaction_channels(_featured(spark, d), "stage1_semantic_prob", LEX, bridge_scale=1.0)
     return out.select(
         "edge_id",
         *[r6(f"stage1_{c}_prob", c) for c in ("complaint", "challenge", "structured")],
