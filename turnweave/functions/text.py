@@ -149,9 +149,12 @@ def visible_chars(text: Column) -> Column:
 
 def set_jaccard(left: Column, right: Column) -> Column:
     """|A∩B| / |A∪B| of two distinct arrays; 0 when either is empty."""
-    shared = F.size(F.array_intersect(left, right))
-    union = F.size(left) + F.size(right) - shared
-    return F.when(shared > 0, shared / union).otherwise(F.lit(0.0))
+    def ratio_of(sets: Column) -> Column:
+        shared = F.size(F.array_intersect(sets["a"], sets["b"]))
+        union = F.size(sets["a"]) + F.size(sets["b"]) - shared
+        return F.when(shared > 0, shared / union).otherwise(F.lit(0.0))
+
+    return bind(F.struct(left.alias("a"), right.alias("b")), ratio_of)
 
 
 def char_jaccard(left: Column, right: Column) -> Column:
@@ -212,16 +215,17 @@ def bm25_tokens(text: Column) -> Column:
     ascii_words = F.regexp_extract_all(ascii_lower(text), F.lit("[a-z0-9]+"), F.lit(0))
     bigrams = F.regexp_extract_all(text, F.lit(rf"(?=([{CJK}][{CJK}]))"), F.lit(1))
     singles = F.regexp_extract_all(text, F.lit(rf"(?<![{CJK}])[{CJK}](?![{CJK}])"), F.lit(0))
-    tokens = F.concat(ascii_words, bigrams, singles)
+    return _or_letters(F.concat(ascii_words, bigrams, singles), text)
+
+
+def _or_letters(tokens: Column, text: Column) -> Column:
     letters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    return F.when(F.size(tokens) > 0, tokens).otherwise(letters)
+    return bind(tokens, lambda found: F.when(F.size(found) > 0, found).otherwise(letters))
 
 
 def run_tokens(text: Column) -> Column:
     """Whole CJK runs and ASCII runs, case kept; characters when there is none."""
-    runs = F.regexp_extract_all(text, F.lit(rf"[{CJK}]+|[A-Za-z0-9]+"), F.lit(0))
-    letters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    return F.when(F.size(runs) > 0, runs).otherwise(letters)
+    return _or_letters(F.regexp_extract_all(text, F.lit(rf"[{CJK}]+|[A-Za-z0-9]+"), F.lit(0)), text)
 
 
 def anchor_text(question: Column, answer: Column,

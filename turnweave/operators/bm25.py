@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bm25_tokens, clean_text
+from ..session import materialize
 
 K1 = 1.5
 B = 0.75
@@ -51,11 +52,26 @@ def corpus_terms(texts: DataFrame, column: str = "anchor_text", tokens: Column |
 
 
 def fit(texts: DataFrame, column: str = "anchor_text") -> Corpus:
-    """Freeze corpus statistics: two numbers on the driver, terms as a table."""
-    terms = corpus_terms(texts, column)
-    row = terms.select("n_docs", "avgdl").first()
-    docs, avgdl = (int(row[0]), float(row[1])) if row else (0, 0.0)
-    return Corpus(terms.select("token", "df", "idf"), docs, avgdl)
+    """Freeze corpus statistics: two numbers on the driver, terms as a table.
+
+    One pass over the texts: an extra empty token per document carries its
+    length, so its row holds document count and total length.
+    """
+    docs = texts.select(clean_text(F.col(column)).alias("text")).distinct()
+    docs = docs.select(bm25_tokens(F.col("text")).alias("tokens"))
+    tokens = F.concat(F.array(F.lit("")), F.array_distinct("tokens"))
+    freq = materialize(
+        docs.select(F.size("tokens").cast("long").alias("n"), F.explode(tokens).alias("token"))
+        .groupBy("token")
+        .agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("token") == "", F.col("n"))).alias("len"))
+    )
+    row = freq.where(F.col("token") == "").first()
+    n_docs, avgdl = (int(row["df"]), row["len"] / row["df"]) if row else (0, 0.0)
+    n = F.lit(max(n_docs, 1))
+    terms = freq.where(F.col("token") != "").select(
+        "token", "df", F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
+    )
+    return Corpus(terms, n_docs, avgdl)
 
 
 def query_hits(edges: DataFrame, query_tokens: str, doc_tokens: str, keys: list[str]) -> DataFrame:

@@ -16,7 +16,14 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT_LEXICON, Lexicon
 from ..functions.numeric import to_number
-from ..functions.text import char_jaccard, clean_text, contains_any, zero_fill
+from ..functions.text import (
+    char_jaccard,
+    clean_text,
+    contains_any,
+    set_jaccard,
+    word_chars,
+    zero_fill,
+)
 from .prefix import integer_slice, sliced_running_sum
 
 DEFAULT_WINDOW = 5
@@ -229,16 +236,25 @@ def min_target_length(edges: DataFrame, length: int) -> DataFrame:
 
 
 def heuristic_score(
-    q1: Column, a1: Column, q2: Column, distance: Column, lexicon: Lexicon = DEFAULT_LEXICON
+    q1: Column,
+    a1: Column,
+    q2: Column,
+    distance: Column,
+    lexicon: Lexicon = DEFAULT_LEXICON,
+    overlap: Column | None = None,
 ) -> Column:
-    """Cheap follow-up likelihood used to pick rows for a prompt test."""
+    """Cheap follow-up likelihood used to pick rows for a prompt test.
+
+    ``overlap`` (see ``carried_overlap``) spares the character sets per edge.
+    """
     q1, a1, q2 = clean_text(q1), clean_text(a1), clean_text(q2)
     gap = to_number(distance, 1.0)
     gap = F.when(gap == 0, F.lit(1.0)).otherwise(gap)
     flag = lambda condition: condition.cast("double")
     complaint = contains_any(q2, lexicon.complaint)
     short = (F.length(q2) <= 12) & (complaint | contains_any(q2, lexicon.short_complaint))
-    overlap = F.greatest(char_jaccard(q1, q2), char_jaccard(a1, q2))
+    if overlap is None:
+        overlap = F.greatest(char_jaccard(q1, q2), char_jaccard(a1, q2))
     near = 1.0 / (1.0 + F.greatest(gap, F.lit(1.0)))
     total = (
         0.26 * flag(contains_any(q2, lexicon.followup))
@@ -251,6 +267,20 @@ def heuristic_score(
     return F.least(F.lit(1.0), total)
 
 
+CHAR_SOURCE, CHAR_TARGET = ("q_chars", "a_chars"), ("q_chars",)
+
+
+def record_chars(records: DataFrame) -> DataFrame:
+    """Character sets once per record; carry them through ``candidate_edges``."""
+    return records.withColumns({"q_chars": word_chars(F.col("Q")), "a_chars": word_chars(F.col("A"))})
+
+
+def carried_overlap() -> Column:
+    """The larger character overlap of question and answer with the target."""
+    target = F.col("Q2_q_chars")
+    return F.greatest(set_jaccard(F.col("q_chars"), target), set_jaccard(F.col("a_chars"), target))
+
+
 def hash_order(key: Column, seed: int) -> Column:
     """A reproducible shuffle order (md5 text of seed and key)."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
@@ -267,9 +297,11 @@ def sample_candidates(
     Both halves are distributed top-n selections of the requested sample size;
     a table no larger than the sample passes through with a null score.
     """
+    carried = {"q_chars", "a_chars", "Q2_q_chars"} <= set(edges.columns)
+    overlap = carried_overlap() if carried else None
     scored = edges.withColumn(
         "prompt_test_score",
-        heuristic_score(F.col("Q1"), F.col("A1"), F.col("Q2"), F.col("distance"), lexicon),
+        heuristic_score(F.col("Q1"), F.col("A1"), F.col("Q2"), F.col("distance"), lexicon, overlap),
     )
     if max_candidates <= 0 or edges.limit(max_candidates + 1).count() <= max_candidates:
         return edges

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT_LEXICON, Lexicon
 from ..functions.numeric import close_to, ratio, to_number
-from ..functions.text import contains_any, visible_jaccard
+from ..functions.text import contains_any, set_jaccard, visible_chars
 
 OVERLAP_TRIGGER = 0.30
 
@@ -52,6 +52,14 @@ def _off_topic(bucket: Column) -> Column:
     return ~F.coalesce(bucket, F.lit("")).isin("", "keep", "nan")
 
 
+SEEN_SOURCE, SEEN_TARGET = ("q_seen", "a_seen"), ("q_seen",)
+
+
+def record_seen(records: DataFrame) -> DataFrame:
+    """Visible characters once per record; carry them through ``candidate_edges``."""
+    return records.withColumns({"q_seen": visible_chars(F.col("Q")), "a_seen": visible_chars(F.col("A"))})
+
+
 def with_error_columns(graph: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
     """In-degree, buckets, overlaps and the two taxonomies.
 
@@ -60,13 +68,18 @@ def with_error_columns(graph: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) ->
     """
     y, p = F.col("edge_label").cast("int"), F.col("final_graph_pred_edge").cast("int")
     target = Window.partitionBy("session_id", "Q2_row")
+    carried = ("q_seen", "a_seen", "Q2_q_seen")
+    if set(carried) <= set(graph.columns):
+        sets = [F.col(c) for c in carried]
+    else:
+        sets = [visible_chars(F.col(c)) for c in ("Q1", "A1", "Q2")]
     out = graph.withColumns(
         {
             "pred_indegree": F.coalesce(F.sum(p).over(target), F.lit(0)).cast("int"),
             "distance_bucket": distance_bucket(F.col("distance_num")),
             "q2_bucket": score_bucket(F.col("q2_len")),
-            "q1_q2_jaccard": visible_jaccard(F.col("Q1"), F.col("Q2")),
-            "a1_q2_jaccard": visible_jaccard(F.col("A1"), F.col("Q2")),
+            "q1_q2_jaccard": set_jaccard(sets[0], sets[2]),
+            "a1_q2_jaccard": set_jaccard(sets[1], sets[2]),
         }
     )
     far = F.coalesce(to_number(F.col("distance_num"), None) >= 4, F.lit(False))

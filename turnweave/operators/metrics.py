@@ -130,9 +130,30 @@ def evaluate(
     score: str = "score",
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """Confusion record with ``auc`` and ``ap`` attached."""
-    counts = confusion(df, label, pred, by)
-    ranks = ranking_metrics(df, label, score, by).drop("total", "true_edges")
+    """Confusion record with ``auc`` and ``ap`` attached.
+
+    Rows are reduced once, to counts per (score, prediction); both parts of the
+    record are sums over that table.
+    """
+    y, p = F.col(label).cast("int"), F.col(pred).cast("int")
+    cells = df.groupBy(*by, finite_score(F.col(score)).alias("score"), p.alias("_p")).agg(
+        F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")
+    )
+    on = F.col("_p") == 1
+    part = lambda c, cond: F.sum(F.when(cond, F.col(c)).otherwise(F.lit(0)))
+    counts = with_rates(
+        cells.groupBy(*by).agg(
+            F.sum(F.col("pos") + F.col("neg")).alias("total"),
+            F.sum("pos").alias("true_edges"),
+            F.sum(F.when(on, F.col("pos") + F.col("neg")).otherwise(F.lit(0))).alias("pred_edges"),
+            part("pos", on).alias("tp"),
+            part("neg", on).alias("fp"),
+            part("pos", ~on).alias("fn"),
+            part("neg", ~on).alias("tn"),
+        )
+    )
+    histogram = cells.groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    ranks = ranking_from_counts(running_counts(histogram, by), by).drop("total", "true_edges")
     return counts.join(ranks, list(by)) if by else counts.crossJoin(ranks)
 
 

@@ -30,6 +30,7 @@ from ..operators import (
     splits,
     topicshift,
 )
+from ..session import materialize
 from ..sources.writers import prediction_audit
 from . import run
 from .tables import (
@@ -142,10 +143,13 @@ def cue_flags(spark, d):
 
 @query
 def char_jaccard(spark, d):
-    return edges(spark, d).select(
+    block = block_size(spark, d)
+    base = errors.record_seen(candidates.record_chars(records(spark, d, block)))
+    wide = candidates.candidate_edges(base, 5, block, source=["q_chars", "a_seen"], target=["q_chars", "q_seen"])
+    return wide.select(
         "edge_id",
-        r6(tx.char_jaccard(F.col("Q1"), F.col("Q2")), "word_chars"),
-        r6(tx.visible_jaccard(F.col("A1"), F.col("Q2")), "visible_chars"),
+        r6(tx.set_jaccard(F.col("q_chars"), F.col("Q2_q_chars")), "word_chars"),
+        r6(tx.set_jaccard(F.col("a_seen"), F.col("Q2_q_seen")), "visible_chars"),
     )
 
 
@@ -159,9 +163,17 @@ def term_overlap(spark, d):
     )
 
 
+def _char_edges(spark, d):
+    block = block_size(spark, d)
+    base = candidates.record_chars(records(spark, d, block))
+    return candidates.candidate_edges(base, 5, block, candidates.CHAR_SOURCE, candidates.CHAR_TARGET)
+
+
 def _heuristic(spark, d):
-    score = candidates.heuristic_score(F.col("Q1"), F.col("A1"), F.col("Q2"), F.col("distance"), LEX)
-    return edges(spark, d).withColumn("prompt_test_score", F.round(score, 6))
+    score = candidates.heuristic_score(
+        F.col("Q1"), F.col("A1"), F.col("Q2"), F.col("distance"), LEX, candidates.carried_overlap()
+    )
+    return _char_edges(spark, d).withColumn("prompt_test_score", F.round(score, 6))
 
 
 @query
@@ -179,7 +191,7 @@ def heuristic_topn(spark, d):
 @query
 def sample_candidates(spark, d):
     """Mixed sample of 60: half by score, half by hash order."""
-    return candidates.sample_candidates(edges(spark, d), 60, 42, LEX).select("edge_id")
+    return candidates.sample_candidates(_char_edges(spark, d), 60, 42, LEX).select("edge_id")
 
 
 @query
@@ -200,16 +212,16 @@ def term_scores(spark, d):
 
 @query
 def bm25_tokens(spark, d):
-    tokens = tx.bm25_tokens(F.col("t"))
     docs = table(spark, d, "documents").withColumn("t", tx.clean_text(F.col("text")))
-    return docs.select("doc_id", F.size(tokens).alias("tokens"), F.size(F.array_distinct(tokens)).alias("vocabulary"))
+    docs = docs.withColumn("k", tx.bm25_tokens(F.col("t")))
+    return docs.select("doc_id", F.size("k").alias("tokens"), F.size(F.array_distinct("k")).alias("vocabulary"))
 
 
 @query
 def run_tokens(spark, d):
-    tokens = tx.run_tokens(F.col("t"))
     docs = table(spark, d, "documents").withColumn("t", tx.clean_text(F.col("text")))
-    return docs.select("doc_id", F.size(tokens).alias("tokens"), F.md5(F.array_join(tokens, " ")).alias("joined"))
+    docs = docs.withColumn("k", tx.run_tokens(F.col("t")))
+    return docs.select("doc_id", F.size("k").alias("tokens"), F.md5(F.array_join("k", " ")).alias("joined"))
 
 
 @query
@@ -707,7 +719,7 @@ def label_columns(spark, d):
 # -- errors and diagnostics -------------------------------------------------
 
 def _analysed(spark, d):
-    base = scored_edges(spark, d)
+    base = scored_edges(spark, d, errors.SEEN_SOURCE, errors.SEEN_TARGET, errors.record_seen)
     base = topicshift.with_topic_shift(base, LEX)
     base = splits.add_text_features(base)
     kept = evidence.raw_evidence(retention.retain(base, THRESHOLD, TOP_K))
@@ -785,12 +797,13 @@ def error_summary(spark, d):
 
 @query
 def stage_records(spark, d):
-    return rounded(diagnostics.stage_records(_recovered(spark, d)), *diagnostics.STAGE_COLUMNS)
+    final = materialize(_recovered(spark, d))
+    return rounded(diagnostics.stage_records(final), *diagnostics.STAGE_COLUMNS)
 
 
 @query
 def stage_transitions(spark, d):
-    records_ = diagnostics.stage_records(_recovered(spark, d))
+    records_ = diagnostics.stage_records(materialize(_recovered(spark, d)))
     out = diagnostics.transition_summary(records_, LAMBDA_0, LAMBDA_T)
     return rounded(out, *[c for c in out.columns if c != "split"])
 
@@ -810,12 +823,12 @@ FLAG_RATES = (*GRID_RATES, "delta_f1_from_selected", "delta_precision_from_selec
 
 @query
 def penalty_flags(spark, d):
-    return rounded(sensitivity.flag_penalties(_grid(spark, d), LAMBDA_0, LAMBDA_T), *FLAG_RATES)
+    return rounded(sensitivity.flag_penalties(materialize(_grid(spark, d)), LAMBDA_0, LAMBDA_T), *FLAG_RATES)
 
 
 @query
 def penalty_neighbourhood(spark, d):
-    flagged = sensitivity.flag_penalties(_grid(spark, d), LAMBDA_0, LAMBDA_T)
+    flagged = sensitivity.flag_penalties(materialize(_grid(spark, d)), LAMBDA_0, LAMBDA_T)
     return rounded(sensitivity.penalty_neighbourhood(flagged), *FLAG_RATES)
 
 

@@ -175,13 +175,14 @@ def compare_models(edges: DataFrame, models: Mapping[str, str], **options) -> Da
     """Thresholds from validation, metrics on validation and test, per model.
 
     ``models`` maps model names to score columns.  All models share one long
-    table, so the number of jobs does not grow with their number.
+    table, so the number of jobs does not grow with their number.  Scores are
+    written once (the threshold is a decision point) and then read twice.
     """
     pairs = F.array(
         *[F.struct(F.lit(n).alias("Model"), F.col(c).cast("double").alias("score")) for n, c in models.items()]
     )
     keys = ["edge_id", "session_id", "split", "edge_label"]
-    long = edges.where(F.col("split") != "train").select(*keys, F.inline(pairs))
+    long = materialize(edges.where(F.col("split") != "train").select(*keys, F.inline(pairs)))
     cuts = metrics.best_f1_threshold(
         long.where(F.col("split") == "validation"), "edge_label", "score", by=["Model"], **options
     ).select("Model", F.col("threshold").alias("Threshold"))
