@@ -162,19 +162,19 @@ def intervals(draw_table: DataFrame, columns: dict[str, str], n_draws: int) -> D
     ``columns`` maps output metric names to columns of ``draw_table``, which has
     one row per draw.
     """
-    pairs = F.array(
-        *[F.struct(F.lit(m).alias("Metric"), F.col(c).alias("v")) for m, c in columns.items()]
-    )
-    return (
-        draw_table.select(F.inline(pairs))
-        .groupBy("Metric")
-        .agg(
-            F.avg("v").alias("BootstrapMean"),
-            F.percentile("v", F.lit(0.025)).alias("CI_Lower"),
-            F.percentile("v", F.lit(0.975)).alias("CI_Upper"),
-        )
-        .withColumn("BootstrapSamples", F.lit(int(n_draws)))
+    stats = draw_table.agg(
+        *[
+            F.struct(
+                F.lit(metric).alias("Metric"),
+                F.avg(c).alias("BootstrapMean"),
+                F.percentile(c, F.lit(0.025)).alias("CI_Lower"),
+                F.percentile(c, F.lit(0.975)).alias("CI_Upper"),
+                F.lit(int(n_draws)).alias("BootstrapSamples"),
+            ).alias(c)
+            for metric, c in columns.items()
+        ]
     )
+    return stats.select(F.inline(F.array(*columns.values())))
 
 
 def bootstrap_ci(

@@ -173,6 +173,7 @@ def candidate_edges(
     block: int | None = None,
     source: Sequence[str] = (),
     target: Sequence[str] = (),
+    texts: bool = True,
 ) -> DataFrame:
     """All (source, later target) pairs at most ``window`` positions apart.
 
@@ -183,11 +184,25 @@ def candidate_edges(
     target column ``c`` arrives as ``Q2_c``.
 
     The pairs come from one bounded look-ahead per row, not from a self join.
+    Without ``texts`` the result has no ``Q1, A1, Q2``, and texts are dropped
+    before the look-ahead copies them.
     """
     if window < 1:
         raise ValueError("window must be at least 1")
     follower = F.struct(
-        F.col("pos").alias("row"), F.col("Q").alias("Q"), *[F.col(c).alias(c) for c in target]
+        F.col("pos").alias("row"),
+        F.col("_asks"),
+        *([F.col("Q")] if texts else []),
+        *[F.col(c).alias(c) for c in target],
+    )
+    asks = F.length("Q") > 0
+    records = records.select(
+        "session_id",
+        "pos",
+        asks.alias("_asks"),
+        (asks & (F.length("A") > 0)).alias("_opens"),
+        *(["Q", "A"] if texts else []),
+        *dict.fromkeys([*source, *target]),
     )
     if block is None:
         ahead = Window.partitionBy("session_id").orderBy("pos").rowsBetween(1, window)
@@ -208,14 +223,13 @@ def candidate_edges(
             .withColumn("_next", F.collect_list(follower).over(ahead))
             .where(F.col("_home") == F.col("_block"))
         )
-    edges = staged.where((F.length("Q") > 0) & (F.length("A") > 0)).select(
+    edges = staged.where("_opens").select(
         "session_id",
         F.col("pos").cast("int").alias("Q1_row"),
         F.explode("_next").alias("_t"),
-        F.col("Q").alias("Q1"),
-        F.col("A").alias("A1"),
+        *([F.col("Q").alias("Q1"), F.col("A").alias("A1")] if texts else []),
         *source,
-    ).where(F.length("_t.Q") > 0)
+    ).where(F.col("_t._asks"))
     q2_row = F.col("_t.row").cast("int")
     return edges.select(
         F.concat_ws("_", F.col("session_id"), F.col("Q1_row"), q2_row).alias("edge_id"),
@@ -223,9 +237,7 @@ def candidate_edges(
         "Q1_row",
         q2_row.alias("Q2_row"),
         (q2_row - F.col("Q1_row")).alias("distance"),
-        "Q1",
-        "A1",
-        F.col("_t.Q").alias("Q2"),
+        *(["Q1", "A1", F.col("_t.Q").alias("Q2")] if texts else []),
         *source,
         *[F.col(f"_t.{c}").alias(f"Q2_{c}") for c in target],
     )

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
@@ -39,12 +39,10 @@ def fit_logistic(
     label: str = "edge_label",
     c_value: float = 1.0,
     max_iter: int = 2000,
-    penalize_intercept: bool = False,
 ) -> PipelineModel:
     """Scaler + balanced logistic regression, fitted once on the given rows.
 
-    ``features`` is one array column or a list of numeric columns.  With
-    ``penalize_intercept`` a constant feature replaces the free intercept.
+    ``features`` is one array column or a list of numeric columns.
     """
     negatives, positives = class_counts(train, label)
     if not negatives or not positives:
@@ -57,16 +55,9 @@ def fit_logistic(
     rescale = ElementwiseProduct(
         scalingVec=Vectors.dense([factor] * scaler.std.size), inputCol="_unit", outputCol="_scaled"
     )
-    stages = [scaler, rescale]
-    inputs = "_scaled"
     scaled = rescale.transform(scaler.transform(vectors))
-    if penalize_intercept:
-        joined = VectorAssembler(inputCols=["_scaled", "_one"], outputCol="_x")
-        scaled = joined.transform(scaled)
-        stages.append(joined)
-        inputs = "_x"
     model = LogisticRegression(
-        featuresCol=inputs,
+        featuresCol="_scaled",
         labelCol=label,
         weightCol="_w",
         regParam=1.0 / (c_value * rows),
@@ -74,12 +65,12 @@ def fit_logistic(
         maxIter=max_iter,
         tol=1e-10,
         standardization=False,
-        fitIntercept=not penalize_intercept,
+        fitIntercept=True,
         probabilityCol="_prob",
         predictionCol="_pred",
         rawPredictionCol="_margin",
     ).fit(scaled)
-    return PipelineModel(stages=[*stages, model])
+    return PipelineModel(stages=[scaler, rescale, model])
 
 
 def as_vector(df: DataFrame, features: str | Sequence[str]) -> DataFrame:
@@ -88,14 +79,14 @@ def as_vector(df: DataFrame, features: str | Sequence[str]) -> DataFrame:
         if isinstance(features, str)
         else F.array(*[to_number(F.col(c), 0.0) for c in features])
     )
-    return df.withColumns({"_raw": array_to_vector(array), "_one": F.lit(1.0)})
+    return df.withColumn("_raw", array_to_vector(array))
 
 
 def predict(
     df: DataFrame, model: PipelineModel, features: str | Sequence[str], name: str = "stage1_semantic_prob"
 ) -> DataFrame:
     scored = model.transform(as_vector(df, features))
-    drop = [c for c in ("_raw", "_one", "_unit", "_scaled", "_x", "_margin", "_pred", "_prob") if c in scored.columns]
+    drop = [c for c in ("_raw", "_unit", "_scaled", "_margin", "_pred", "_prob") if c in scored.columns]
     return scored.withColumn(name, vector_to_array("_prob")[1]).drop(*drop)
 
 

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.numeric import close_to
 from .recovery import grid_order, is_selected
 
-# Both tables are bounded by the search grid, so whole-table windows are small.
-_ALL = Window.partitionBy()
+
+def _whole() -> WindowSpec:
+    """Both tables are bounded by the search grid, so whole-table windows are small."""
+    return Window.partitionBy()
 
 
 def _from_selected(column: str, fallback: Column) -> Column:
-    chosen = F.max(F.when(F.col("selected_row"), F.col(column).cast("double"))).over(_ALL)
+    chosen = F.max(F.when(F.col("selected_row"), F.col(column).cast("double"))).over(_whole())
     return F.col(column).cast("double") - F.coalesce(chosen, fallback)
 
 
@@ -26,10 +28,10 @@ def flag_retention(search: DataFrame, top_k: int, threshold: float) -> DataFrame
     )
     return out.withColumns(
         {
-            "delta_f1_from_selected": _from_selected("F1", F.max("F1").over(_ALL)),
-            "delta_precision_from_selected": _from_selected("Precision", F.max("Precision").over(_ALL)),
+            "delta_f1_from_selected": _from_selected("F1", F.max("F1").over(_whole())),
+            "delta_precision_from_selected": _from_selected("Precision", F.max("Precision").over(_whole())),
             "delta_retained_edges_from_selected": _from_selected(
-                "RetainedEdges", F.min("RetainedEdges").over(_ALL).cast("double")
+                "RetainedEdges", F.min("RetainedEdges").over(_whole()).cast("double")
             ),
         }
     )
@@ -37,13 +39,13 @@ def flag_retention(search: DataFrame, top_k: int, threshold: float) -> DataFrame
 
 def retention_summary(flagged: DataFrame) -> DataFrame:
     """Cap-by-cap table; without a selected row the best-F1 rows are the base."""
-    at_best = F.col("F1") == F.max("F1").over(_ALL)
+    at_best = F.col("F1") == F.max("F1").over(_whole())
     work = flagged.withColumn("_top", at_best)
-    best = lambda c, f: f(F.when(F.col("_top"), F.col(c).cast("double"))).over(_ALL)
+    best = lambda c, f: f(F.when(F.col("_top"), F.col(c).cast("double"))).over(_whole())
     return work.withColumns(
         {
             "is_selected": F.col("selected_row"),
-            "delta_f1_from_selected": _from_selected("F1", F.max("F1").over(_ALL)),
+            "delta_f1_from_selected": _from_selected("F1", F.max("F1").over(_whole())),
             "delta_precision_from_selected": _from_selected("Precision", best("Precision", F.max)),
             "delta_retained_edges_from_selected": _from_selected(
                 "RetainedEdges", best("RetainedEdges", F.min)

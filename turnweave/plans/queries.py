@@ -145,7 +145,7 @@ def cue_flags(spark, d):
 def char_jaccard(spark, d):
     block = block_size(spark, d)
     base = errors.record_seen(candidates.record_chars(records(spark, d, block)))
-    wide = candidates.candidate_edges(base, 5, block, source=["q_chars", "a_seen"], target=["q_chars", "q_seen"])
+    wide = candidates.candidate_edges(base, 5, block, ["q_chars", "a_seen"], ["q_chars", "q_seen"], texts=False)
     return wide.select(
         "edge_id",
         r6(tx.set_jaccard(F.col("q_chars"), F.col("Q2_q_chars")), "word_chars"),
@@ -155,7 +155,7 @@ def char_jaccard(spark, d):
 
 @query
 def term_overlap(spark, d):
-    return scored_edges(spark, d).select(
+    return scored_edges(spark, d, texts=False).select(
         "edge_id",
         F.size("anchor_terms").alias("anchor_terms"),
         F.size("Q2_q_terms").alias("q2_terms"),
@@ -377,9 +377,13 @@ def target_candidate_max(spark, d):
     return retention.max_candidates_per_target(_retained(spark, d))
 
 
+def _validation(spark, d):
+    """The validation split as a written table: searches read it several times."""
+    return materialize(narrow_edges(spark, d).where(F.col("split") == "validation"))
+
+
 def _search(spark, d):
-    validation = narrow_edges(spark, d).where(F.col("split") == "validation")
-    return retention.retention_search(validation)
+    return retention.retention_search(_validation(spark, d))
 
 
 RETENTION_RATES = ("Threshold", "TargetRecall", "MaxRecallAtK", "Recall", "Precision", "F1", "RetentionRatio")
@@ -442,14 +446,15 @@ def recovery_totals(spark, d):
 
 @query
 def exactness_audit(spark, d):
-    return rounded(recovery.exactness_audit(_recovered(spark, d), LAMBDA_0, LAMBDA_T), "max_objective_gap")
+    final = materialize(_recovered(spark, d))
+    return rounded(recovery.exactness_audit(final, LAMBDA_0, LAMBDA_T), "max_objective_gap")
 
 
 GRID_RATES = ("lambda_0", "lambda_t", "AUC", "AP", "Precision", "Recall", "F1", "ObjectiveTotal")
 
 
 def _grid(spark, d, ranking=False):
-    validation = _evidenced(spark, d).where(F.col("split") == "validation")
+    validation = materialize(_evidenced(spark, d).where(F.col("split") == "validation"))
     return recovery.penalty_grid(validation, GRID_0, GRID_T, ranking=ranking)
 
 
@@ -461,7 +466,7 @@ def penalty_grid(spark, d):
 @query
 def penalty_grid_ranking(spark, d):
     """AUC and AP of the final score for every setting of a coarse grid."""
-    validation = _evidenced(spark, d).where(F.col("split") == "validation")
+    validation = materialize(_evidenced(spark, d).where(F.col("split") == "validation"))
     out = recovery.penalty_grid(validation, (0.0, 0.2, 0.4), (0.0, 0.15))
     return rounded(out, *GRID_RATES)
 
@@ -473,7 +478,7 @@ def penalty_best(spark, d):
 
 @query
 def penalty_ablation(spark, d):
-    return rounded(run.penalty_ablation(_evidenced(spark, d)), *GRID_RATES)
+    return rounded(run.penalty_ablation(materialize(_evidenced(spark, d))), *GRID_RATES)
 
 
 # -- metrics ----------------------------------------------------------------
@@ -511,14 +516,14 @@ def best_f1_threshold(spark, d):
 
 @query
 def topk_threshold_search(spark, d):
-    validation = narrow_edges(spark, d).where(F.col("split") == "validation")
+    validation = _validation(spark, d)
     out = metrics.topk_threshold_search(validation, (1, 2, 3, 5), score="stage1_prob")
     return rounded(out, "precision", "recall", "f1")
 
 
 @query
 def topk_best(spark, d):
-    validation = narrow_edges(spark, d).where(F.col("split") == "validation")
+    validation = _validation(spark, d)
     out = metrics.best_topk(metrics.topk_threshold_search(validation, (1, 2, 3, 5), score="stage1_prob"))
     return rounded(out, "precision", "recall", "f1")
 
@@ -536,7 +541,7 @@ def _token_edges(spark, d):
             }
         )
 
-    out = scored_edges(spark, d, ("anchor_text", "doc_tokens"), ("query_tokens",), tokens)
+    out = scored_edges(spark, d, ("anchor_text", "doc_tokens"), ("query_tokens",), tokens, texts=False)
     return out.withColumnRenamed("Q2_query_tokens", "query_tokens")
 
 
@@ -853,6 +858,7 @@ def _boot(spark, d):
         F.round("final_graph_score", 6).alias("final_graph_score"),
         F.col("stage1_pred_edge").alias("baseline_pred"),
     )
+    test = materialize(test)  # narrow; read for rates, histograms and sessions
     sessions = bootstrap.index_sessions(test, "session_id")
     return test, sessions, bootstrap.hashed_draws(sessions, DRAWS)
 

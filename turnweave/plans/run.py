@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import contracts, evidence, metrics, recovery, retention, scorers
+from ..operators import contracts, evidence, metrics, recovery, retention
 from ..session import materialize
 
 
@@ -47,19 +47,6 @@ def split_frames(edges: DataFrame) -> tuple[DataFrame, DataFrame, HeldOut]:
     return part("train"), part("validation"), HeldOut(part("test"))
 
 
-def calibrate(train: DataFrame, c_value: float = 1.0):
-    """One-dimensional recalibration on retained train candidates."""
-    kept = train.where(F.col("stage1_pred_edge") == 1)
-    return scorers.fit_logistic(
-        kept, ["stage1_prob"], c_value=c_value, max_iter=3000, penalize_intercept=True
-    )
-
-
-def with_calibrated_evidence(edges: DataFrame, model) -> DataFrame:
-    scored = scorers.predict(edges, model, ["stage1_prob"], "_local")
-    return evidence.with_evidence(scored, F.col("_local")).drop("_local")
-
-
 def staged_run(
     edges: DataFrame,
     target_recall: float = retention.TARGET_RECALL,
@@ -81,8 +68,8 @@ def staged_run(
     contracts.check_disjoint({"train": train, "validation": validation})
 
     if calibrated:
-        model = calibrate(train)
-        attach = lambda df: with_calibrated_evidence(df, model)
+        model = evidence.fit_calibration(train)
+        attach = lambda df: evidence.calibrated_evidence(df, model)
     else:
         attach = evidence.raw_evidence
     train, validation = attach(train), materialize(attach(validation))

@@ -93,7 +93,9 @@ def split_of(session: Column) -> Column:
     return F.when(part < 16, "train").when(part < 20, "validation").otherwise("test")
 
 
-def scored_edges(spark: SparkSession, sf_dir: str, source=(), target=(), prepare=None) -> DataFrame:
+def scored_edges(
+    spark: SparkSession, sf_dir: str, source=(), target=(), prepare=None, texts: bool = True
+) -> DataFrame:
     """Edges with term overlap as score, the declared label and the split.
 
     Term sets are built once per record; ``prepare`` may add further record
@@ -104,7 +106,7 @@ def scored_edges(spark: SparkSession, sf_dir: str, source=(), target=(), prepare
     if prepare is not None:
         base = prepare(base)
     wide = candidate_edges(
-        base, 5, block, source=("anchor_terms", *source), target=("q_terms", *target)
+        base, 5, block, ("anchor_terms", *source), ("q_terms", *target), texts
     )
     overlap = term_overlap(F.col("anchor_terms"), F.col("Q2_q_terms"))
     return wide.withColumns(
@@ -121,7 +123,7 @@ NARROW = ("edge_id", "session_id", "Q1_row", "Q2_row", "distance", "stage1_prob"
 
 def narrow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored edges without texts."""
-    return scored_edges(spark, sf_dir).select(*NARROW)
+    return scored_edges(spark, sf_dir, texts=False).select(*NARROW)
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,8 @@ def local_session(app: str = "turnweave", cores: str = "*", **conf: str) -> Spar
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.adaptive.enabled", "true")
+        # no call-site capture per Column call: plans here have many expressions
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # text work is heavy per byte: keep small shuffles on all cores
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
     )
