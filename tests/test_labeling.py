@@ -103,3 +103,42 @@ def test_manifest_contract(spark, tmp_path):
         assert "repeated_sessions=1" in str(error) and "empty_sessions=1" in str(error)
     else:
         raise AssertionError("a broken manifest passed")
+
+
+def test_embedding_table_is_keyed_by_content(spark):
+    import numpy as np
+
+    from turnweave.operators import encoding
+
+    encoder = lambda texts: np.array([[len(t), t.count("a")] for t in texts], dtype=float)
+    df = spark.createDataFrame([("e1", "aa"), ("e2", "b"), ("e3", "aa")], "edge_id string, text string")
+    table = encoding.encode_texts(df, encoder)
+    assert table.count() == 2
+    fail = lambda texts: 1 / 0
+    again = encoding.encode_texts(df, fail, known=table)
+    for limit in (10, 1):
+        out = encoding.attach(df, again, "text", broadcast_rows=limit).orderBy("edge_id").collect()
+        assert [list(r["embedding"]) for r in out] == [[2.0, 2.0], [1.0, 0.0], [2.0, 2.0]]
+    pairs_ = encoding.encode_pairs(df.withColumn("b", F.lit("z")), lambda a, b: encoder(a), "text", "b")
+    assert encoding.attach(df.withColumn("b", F.lit("z")), pairs_, "text", "b").where("embedding is null").isEmpty()
+
+
+def test_records_and_hashes(tmp_path):
+    from turnweave.functions.text import text_protocol_hash
+    from turnweave.operators import contracts
+    from turnweave.sources import writers
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.txt").write_text("1")
+    first = writers.directory_hash(str(tmp_path))
+    (tmp_path / "a" / "x.txt").write_text("2")
+    assert first != writers.directory_hash(str(tmp_path))
+    assert text_protocol_hash() == text_protocol_hash() != text_protocol_hash(version="2")
+    record = {**contracts.ENCODER_PROTOCOL, "train_file_sha256": "d", "session_manifest_sha256": "m", "session_counts": {"train": 1}}
+    contracts.check_encoder_record(record, "d", "m", {"train": 1})
+    try:
+        contracts.check_encoder_record({**record, "train_only": False}, "x", "m", {"train": 1})
+    except RuntimeError as error:
+        assert "train_only" in str(error) and "train_file_sha256" in str(error)
+    else:
+        raise AssertionError("a foreign encoder passed")

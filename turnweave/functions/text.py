@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Sequence
 
@@ -237,6 +238,14 @@ def candidate_text(question: Column, prefix: str = CANDIDATE_PREFIX) -> Column:
     return F.concat(F.lit(prefix), clean_text(question))
 
 
+def text_protocol_hash(
+    prefixes: tuple[str, str, str] = (ANCHOR_QUESTION_PREFIX, ANCHOR_ANSWER_PREFIX, CANDIDATE_PREFIX),
+    version: str = "raw_q1_a1__q2_v1",
+) -> str:
+    """Identity of cleaning rule and templates; equal text input, equal hash."""
+    return hashlib.sha256("\x1f".join((version, BLANKS, *prefixes)).encode("utf-8")).hexdigest()
+
+
 def zero_fill(value: Column, width: int = 6) -> Column:
     """Left-pad with zeros, never truncate, a sign stays in front."""
     text = F.trim(value.cast("string"))

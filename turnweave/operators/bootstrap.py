@@ -10,13 +10,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import f1_score, ratio
 from ..session import lookup_join
 from .metrics import ranking_from_counts, running_counts, score_histogram
-from .prefix import sliced_running_sum
+from .prefix import integer_slice, sliced_index
 
 DRAWS = 2000
 SEED = 42
@@ -27,19 +27,18 @@ MODULUS = 2147483647
 def index_sessions(edges: DataFrame, order: str | None = None, slices: int = 4096) -> DataFrame:
     """``session_id, session_idx``: dense numbers, in ``order`` or hash order.
 
-    ``order`` is a numeric column (its minimum per session counts), used for
-    small session sets whose draw order must be fixed from outside.
+    ``order`` is an integer column (its minimum per session counts), used where
+    the draw order must be fixed from outside.
     """
     if order is not None:
         sessions = edges.groupBy("session_id").agg(F.min(order).alias("_o"))
-        rank = F.row_number().over(Window.orderBy("_o", "session_id")) - 1
-        return sessions.select("session_id", rank.cast("long").alias("session_idx"))
+        placed = sliced_index(
+            sessions, [], integer_slice(F.col("_o"), 65_536), [F.col("_o"), F.col("session_id")], "session_idx"
+        )
+        return placed.select("session_id", "session_idx")
     sessions = edges.select("session_id").distinct()
     hashed = F.pmod(F.xxhash64("session_id"), F.lit(slices))
-    numbered = sliced_running_sum(
-        sessions, [], hashed, [F.col("session_id")], {"session_idx": F.lit(1).cast("long")}
-    )
-    return numbered.withColumn("session_idx", F.col("session_idx") - 1)
+    return sliced_index(sessions, [], hashed, [F.col("session_id")], "session_idx")
 
 
 def seeded_draws(

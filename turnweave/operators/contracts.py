@@ -133,6 +133,31 @@ ENCODER_PROTOCOL = {
 }
 
 
+def check_encoder_record(
+    record: Mapping[str, object],
+    data_hash: str,
+    manifest_hash: str,
+    session_counts: Mapping[str, int],
+    protocol: Mapping[str, object] = ENCODER_PROTOCOL,
+) -> None:
+    """Accept an encoder only if it was trained on these very files."""
+    required = {
+        **protocol,
+        "train_file_sha256": data_hash,
+        "session_manifest_sha256": manifest_hash,
+        "session_counts": dict(session_counts),
+    }
+    check_values(record, required, "encoder record")
+
+
+def check_run_record(params: Mapping[str, object], splits: Mapping[str, Mapping[str, int]]) -> None:
+    """A finished run must report the sizes of its splits and no test leakage."""
+    check_values(params, {"test_labels_used_for_fitting_or_selection": False}, "run record")
+    for split, sizes in splits.items():
+        metrics = params.get(f"{split}_metrics") or {}
+        check_values(metrics, sizes, f"run record, {split}")
+
+
 def check_retention_manifest(params: Mapping[str, object], max_top_k: int = 5) -> None:
     check_values(params, RETENTION_PROTOCOL, "retention manifest")
     threshold, cap = params.get("selected_threshold"), params.get("selected_top_k")

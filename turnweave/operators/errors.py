@@ -187,6 +187,38 @@ def miss_attribution(graph: DataFrame) -> DataFrame:
     return _metric_rows(record, record.columns, "count", "long")
 
 
+# Rows of the error-boundary table.
+BOUNDARY_ROWS = (
+    ("False negative", "stage1_recall_miss", "Not retained by Stage 1"),
+    ("False negative", "stage2_graph_pruning_drop", "Not selected by Stage 2B"),
+    ("False positive", "long_distance_carryover", "Carryover across distant turns"),
+    ("False positive", "vague_answer_false_trigger", "False triggers from vague answers"),
+    ("False positive", "multiple_source_over_recovery", "Excessive recovery of multiple sources"),
+    ("False positive", "boundary_question_form", "Questions at the annotation boundary"),
+    ("False positive", "other_manual_review", "Other observed patterns"),
+)
+
+
+def boundary_table(misses: DataFrame, false_positives: DataFrame) -> DataFrame:
+    """Named error patterns with counts and shares within their outcome.
+
+    Inputs are ``miss_attribution`` and the FP ``taxonomy_table``; shares refer
+    to all misses and to all false positives, listed patterns or not.
+    """
+    fn = misses.select(F.lit("False negative").alias("outcome"), F.col("metric").alias("key"), "count")
+    fp = false_positives.select(F.lit("False positive").alias("outcome"), F.col("category").alias("key"), "count")
+    counts = fn.unionByName(fp)
+    per = Window.partitionBy("outcome")
+    whole = F.when(
+        F.col("outcome") == "False negative", F.max(F.when(F.col("key") == "total_fn", F.col("count"))).over(per)
+    ).otherwise(F.sum("count").over(per))
+    named = misses.sparkSession.createDataFrame(BOUNDARY_ROWS, "outcome string, key string, pattern string")
+    shared = counts.withColumn("share", ratio(F.col("count"), whole))
+    return named.join(shared, ["outcome", "key"], "left").select(
+        "outcome", "pattern", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("share", F.lit(0.0)).alias("share")
+    )
+
+
 def consistency(
     left: DataFrame,
     right: DataFrame,

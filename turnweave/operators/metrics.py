@@ -172,7 +172,7 @@ def threshold_sweep(
     rows = df if eligible is None else df.where(eligible)
     totals = df.groupBy(*by).agg(F.count_if(F.col(label).cast("int") == 1).alias("_all_pos"))
     curve = running_counts(score_histogram(rows, label, score, by), by, **options)
-    curve = curve.join(F.broadcast(totals), list(by)) if by else curve.crossJoin(F.broadcast(totals))
+    curve = curve.join(totals, list(by)) if by else curve.crossJoin(F.broadcast(totals))
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     fn = F.col("_all_pos") - tp
     return curve.select(

@@ -186,7 +186,7 @@ def exactness_audit(
         "objective_mismatches", "subset_mismatches",
     ]
     zero = F.lit(0).cast("long")
-    filled = every.join(F.broadcast(found), "split", "left").withColumns(
+    filled = every.join(found, "split", "left").withColumns(
         {**{c: F.coalesce(F.col(c), zero) for c in counts},
          "max_objective_gap": F.coalesce("max_objective_gap", F.lit(0.0))}
     )
@@ -249,7 +249,7 @@ def penalty_grid(
         F.sum(picked).alias("tp"), F.sum("k").alias("pred"), F.sum("_best").alias("objective")
     )
     totals = edges.groupBy(*by).agg(F.count_if(F.col(label).cast("int") == 1).alias("_pos"))
-    out = sums.join(F.broadcast(totals), list(by)) if by else sums.crossJoin(F.broadcast(totals))
+    out = sums.join(totals, list(by)) if by else sums.crossJoin(F.broadcast(totals))
     tp, pred = F.col("tp"), F.col("pred")
     fp, fn = pred - tp, F.col("_pos") - tp
     columns = [
@@ -266,7 +266,7 @@ def penalty_grid(
     result = out.select(*columns)
     if not ranking:
         return result
-    return result.join(F.broadcast(_grid_ranking(edges, groups, grid, label, keys, by)), keys)
+    return result.join(_grid_ranking(edges, groups, grid, label, keys, by), keys)
 
 
 def _grid_ranking(
@@ -316,5 +316,11 @@ def reject_upper_boundary(name: str, selected: float, grid: Sequence[float]) ->
         )
 
 
+def tied_best(search: DataFrame) -> DataFrame:
+    """All settings that share the largest F1, in selection order."""
+    top = F.max("F1").over(Window.partitionBy())  # grid-size table
+    return search.withColumn("_top", top).where(close_to(F.col("F1"), F.col("_top"))).drop("_top").orderBy(*grid_order())
+
+
 def is_selected(lambda_0: float, lambda_t: float) -> Column:
     return close_to(F.col("lambda_0"), lambda_0) & close_to(F.col("lambda_t"), lambda_t)

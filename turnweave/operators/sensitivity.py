@@ -65,6 +65,13 @@ def retention_neighbourhood(flagged: DataFrame, top_k: int, max_top_k: int = 5)
     return flagged.where(F.col("TopK").between(low, high)).orderBy("TopK", F.desc("F1"), F.desc("Precision"))
 
 
+def compression_table(search: DataFrame, total_edges: int) -> DataFrame:
+    """Recall against the share of candidates removed, cap by cap."""
+    return search.select(
+        "TopK", "Feasible", "Recall", (1.0 - F.col("RetainedEdges") / F.lit(float(total_edges))).alias("Compression")
+    ).orderBy("TopK")
+
+
 def best_feasible(flagged: DataFrame) -> DataFrame:
     return flagged.where("Feasible").orderBy(
         F.desc("F1"), F.desc("Precision"), F.asc("RetainedEdges"), F.asc("TopK")

@@ -638,6 +638,7 @@ ms AS (SELECT *, coalesce(list_sum(list_transform(chosen, lambda i: rs[i])), 0.0
 au AS (SELECT split, session_id, Q2_row, any_value(m) AS m, count(*) AS subsets, max(v) AS top, max(v) FILTER (WHERE mask = mine) AS got FROM ms GROUP BY split, session_id, Q2_row)""")
     q["penalty_grid"] = on_evidence(f"SELECT {GRID_OUT} FROM gr", GRID)
     q["penalty_best"] = on_evidence(f"SELECT {GRID_OUT} FROM gr ORDER BY gr.\"F1\" DESC, gr.\"Precision\" DESC, gr.\"PredEdges\", gr.lambda_0, gr.lambda_t LIMIT 1", GRID)
+    q["penalty_ties"] = on_evidence(f"SELECT {GRID_OUT} FROM gr WHERE gr.\"F1\" = (SELECT max(\"F1\") FROM gr)", GRID)
     q["penalty_grid_ranking"] = on_evidence(
         f"SELECT {GRID_OUT}, round(gm.auc, 6) AS \"AUC\", round(gm.ap, 6) AS \"AP\" FROM gr JOIN gm USING (lambda_0, lambda_t)",
         grid_ctes((0.0, 0.2, 0.4), (0.0, 0.15)),
@@ -760,6 +761,19 @@ pc AS (SELECT 'M0' AS condition, 0.0::DOUBLE AS lambda_0, 0.0::DOUBLE AS lambda_
         "SELECT 'stage1_recall_miss' AS metric, count(*) FILTER (WHERE edge_label = 1 AND given = 0) AS count FROM rec UNION ALL "
         "SELECT 'stage2_graph_pruning_drop', count(*) FILTER (WHERE edge_label = 1 AND given = 1 AND pred = 0) FROM rec UNION ALL "
         "SELECT 'total_fn', count(*) FILTER (WHERE edge_label = 1 AND pred = 0) FROM rec")
+    miss = lambda cond: f"(SELECT count(*) FROM an WHERE edge_label = 1 AND pred = 0{cond})"
+    fpc = lambda c: f"(SELECT count(*) FROM an WHERE fp_taxonomy {c})"
+    q["error_boundaries"] = on_errors(" UNION ALL ".join(
+        f"SELECT {lit(o)} AS outcome, {lit(text)} AS pattern, {n} AS count, round({div(n, t)}, 6) AS share"
+        for o, text, n, t in (
+            ("False negative", "Not retained by Stage 1", miss(" AND given = 0"), miss("")),
+            ("False negative", "Not selected by Stage 2B", miss(" AND given = 1"), miss("")),
+            *(("False positive", text, fpc(f"= {lit(c)}"), fpc("<> 'not_fp'")) for c, text in (
+                ("long_distance_carryover", "Carryover across distant turns"),
+                ("vague_answer_false_trigger", "False triggers from vague answers"),
+                ("multiple_source_over_recovery", "Excessive recovery of multiple sources"),
+                ("boundary_question_form", "Questions at the annotation boundary"),
+                ("other_manual_review", "Other observed patterns"))))))
     other = "CAST(CASE WHEN given = 1 THEN local_prob ELSE 0.0::DOUBLE END >= 0.55 AS INTEGER)"
     q["consistency_check"] = on_recovered(
         f"SELECT 'matched_rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM rec UNION ALL SELECT 'pred_mismatches', CAST(count(*) FILTER (WHERE pred <> {other}) AS DOUBLE) FROM rec "
@@ -783,6 +797,8 @@ pc AS (SELECT 'M0' AS condition, 0.0::DOUBLE AS lambda_0, 0.0::DOUBLE AS lambda_
  (SELECT max(f1) FILTER (WHERE s) AS sf, max(pr) FILTER (WHERE s) AS sp, max("RetainedEdges") FILTER (WHERE s) AS sr FROM
    (SELECT *, "TopK" = 3 AND coalesce(abs("Threshold") <= 1e-12, false) AS s FROM res)),
  (SELECT max(f1) AS bf, max(pr) AS bp, min("RetainedEdges") AS br FROM res WHERE f1 = (SELECT max(f1) FROM res))""", RETENTION)
+    q["retention_compression"] = on_kept(
+        'SELECT "TopK", "Feasible", round(rc, 6) AS "Recall", round(1.0::DOUBLE - "RetainedEdges" / (SELECT count(*) FROM v)::DOUBLE, 6) AS "Compression" FROM res', RETENTION)
     q["penalty_flags"] = on_evidence(FLAG_OUT, GRID, FLAGS)
     q["penalty_neighbourhood"] = on_evidence(FLAG_OUT + " WHERE a0 <= 0.05 + 1e-9 AND a1 <= 0.05 + 1e-9", GRID, FLAGS)
     q["penalty_slice"] = on_evidence(FLAG_OUT + f" WHERE abs(fl.lambda_t - {LAMBDA_T}) <= 1e-12", GRID, FLAGS)

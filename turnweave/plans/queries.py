@@ -476,6 +476,11 @@ def penalty_best(spark, d):
     return rounded(recovery.best_penalties(_grid(spark, d)), *GRID_RATES)
 
 
+@query
+def penalty_ties(spark, d):
+    return rounded(recovery.tied_best(materialize(_grid(spark, d))), *GRID_RATES)
+
+
 @query
 def penalty_ablation(spark, d):
     return rounded(run.penalty_ablation(materialize(_evidenced(spark, d))), *GRID_RATES)
@@ -781,6 +786,13 @@ def miss_attribution(spark, d):
     return errors.miss_attribution(_recovered(spark, d))
 
 
+@query
+def error_boundaries(spark, d):
+    final = materialize(_analysed(spark, d).drop("Q1", "A1", "Q2"))
+    false = errors.taxonomy_table(errors.error_rows(final, "FP"), "FP", "fp_taxonomy")
+    return rounded(errors.boundary_table(errors.miss_attribution(final), false), "share")
+
+
 @query
 def consistency_check(spark, d):
     """The graph against a threshold rule on its own local probability."""
@@ -822,6 +834,12 @@ def retention_flags(spark, d):
                    "delta_f1_from_selected", "delta_precision_from_selected", "delta_retained_edges_from_selected")
 
 
+@query
+def retention_compression(spark, d):
+    total = _validation(spark, d).count()
+    return rounded(sensitivity.compression_table(_search(spark, d), total), "Recall", "Compression")
+
+
 FLAG_RATES = (*GRID_RATES, "delta_f1_from_selected", "delta_precision_from_selected",
               "delta_pred_edges_from_selected", "abs_lambda_0_distance", "abs_lambda_t_distance")
 

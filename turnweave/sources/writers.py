@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -54,10 +55,19 @@ def file_hash(path: str, block: int = 1 << 20) -> str:
     return digest.hexdigest()
 
 
+def directory_hash(root: str) -> str:
+    """Hash of relative paths and contents of all files below a folder."""
+    digest = hashlib.sha256()
+    found = (os.path.join(base, f) for base, _, files in os.walk(root) for f in files)
+    for path in sorted(found, key=lambda p: os.path.relpath(p, root).replace(os.sep, "/")):
+        name = os.path.relpath(path, root).replace(os.sep, "/")
+        digest.update(f"{name}\n{file_hash(path)}\n".encode("utf-8"))
+    return digest.hexdigest()
+
+
 def cache_path(root: str, name: str, meta: Mapping[str, object]) -> str:
     """Folder of a score cache, keyed by model name and parameters."""
-    safe = "".join(c if c.isalnum() and c.isascii() else "_" for c in name.lower()).strip("_")
-    return os.path.join(root, "cache", f"{safe or 'baseline'}_{record_hash({'name': name, **meta})[:24]}")
+    return os.path.join(root, "cache", f"{_slug(name)}_{record_hash({'name': name, **meta})[:24]}")
 
 
 def write_score_cache(scores: DataFrame, path: str, meta: Mapping[str, object]) -> str:
@@ -70,13 +80,17 @@ def write_score_cache(scores: DataFrame, path: str, meta: Mapping[str, object])
     return path
 
 
+def _slug(name: str) -> str:
+    return re.sub("[^0-9a-z]+", "_", name.lower()).strip("_") or "baseline"
+
+
 def prediction_audit(long: DataFrame, models: Sequence[str]) -> DataFrame:
     """Wide audit table from ``edge_id, Model, score, pred`` rows: one pivot.
 
     The model list is known, so the pivot needs no extra pass to find it.
     """
     keyed = long.withColumn("_slug", slugify(F.col("Model")))
-    names = [r[0] for r in long.sparkSession.createDataFrame([(m,) for m in models], "m string").select(slugify(F.col("m"))).collect()]
+    names = [_slug(m) for m in models]
     keys = [c for c in ("edge_id", "session_id", "Q1_row", "Q2_row", "edge_label") if c in long.columns]
     wide = keyed.groupBy(*keys).pivot("_slug", names).agg(
         F.first("score").alias("score"), F.first("pred").alias("pred")
