@@ -77,6 +77,9 @@ def test_number_records_in_blocks(spark):
     a = C.number_records(df).select("session_id", "Qnumbr", "pos")
     b = C.number_records(df, block=4).select("session_id", "Qnumbr", "pos")
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    dated = df.withColumn("Date", F.when(F.col("x") % 9 > 0, F.concat(F.lit("2019-0"), (F.col("x") % 9).cast("string"))))
+    a, b = (C.number_records(dated, order=("Date", "x"), block=k).select("session_id", "x", "pos") for k in (None, 4))
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
 def test_sliced_sums_equal_one_window(spark):

@@ -123,18 +123,23 @@ def number_records(
 ) -> DataFrame:
     """Zero-based position inside each session.
 
-    The block form needs an integer first order column that is (nearly) unique
-    per session, as record numbers are.
+    The block form slices by the first order column: ranges of an integer key,
+    else its values (dates, say), none of which may hold a whole large session.
     """
     keys = [F.col(c).asc_nulls_last() for c in order]
     if block is None:
         return records.withColumn(
             name, F.row_number().over(Window.partitionBy(session).orderBy(*keys)) - 1
         )
+    first = F.col(order[0])
+    if dict(records.dtypes)[order[0]] in ("tinyint", "smallint", "int", "bigint"):
+        cut = integer_slice(F.coalesce(first, F.lit(2**62)), block)
+    else:
+        cut = F.coalesce(first.cast("string"), F.lit("\U0010ffff"))
     numbered = sliced_running_sum(
         records,
         [session],
-        integer_slice(F.coalesce(F.col(order[0]), F.lit(2**62)), block),
+        cut,
         keys,
         {name: F.lit(1).cast("long")},
     )

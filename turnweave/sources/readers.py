@@ -59,7 +59,7 @@ def read_raw_records(spark: SparkSession, path: str, encoding: str | None = None
         order = ("_n", "Qnumbr")
     # file order is not kept by a distributed read; the texts break ties
     texts = [c for c in ("Qcntet", "Acntet") if c in raw.columns]
-    block = choose_block(raw, "session_id") if order[:1] == ("_n",) else None
+    block = choose_block(raw, "session_id") if order else None
     numbered = number_records(raw, "session_id", (*order, *texts), "pos", block)
     return numbered.drop("_n").withColumns(
         {"Q": clean_text(F.col("Qcntet")), "A": clean_text(F.col("Acntet"))}
