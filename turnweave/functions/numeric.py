@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 
 def to_number(value: Column, default: float | None = 0.0) -> Column:
-    """Double, with unparsable, null and NaN values replaced by ``default``."""
-    number = value.try_cast("double")
+    """Double, with unparsable, null and NaN values replaced by ``default``.
+
+    A Java cast also takes type suffixes ('1d', '2f'); those are no numbers here.
+    """
+    suffixed = F.coalesce(value.cast("string").rlike(r"(?i)[0-9.][df]\s*$"), F.lit(False))
+    number = F.when(~suffixed, value.try_cast("double"))
     number = F.when(F.isnan(number), F.lit(None).cast("double")).otherwise(number)
     return number if default is None else F.coalesce(number, F.lit(float(default)))
 

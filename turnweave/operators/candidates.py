@@ -92,22 +92,23 @@ def records_from_turns(
 
 
 def _paired_in_blocks(base: DataFrame, asks: Column, answer: Column, block: int) -> DataFrame:
-    sliced = base.withColumn("_slice", integer_slice(F.col("turn"), block))
+    # a struct key: null sessions and null turns equal themselves, as in the other layout
+    slot = F.struct(F.col("session_id").alias("s"), integer_slice(F.col("turn"), block).alias("slice"))
+    sliced = base.withColumn("_slot", slot)
     # One row per slice: how many asker turns it has and how it begins.
-    heads = sliced.groupBy("session_id", "_slice").agg(
+    heads = sliced.groupBy("_slot").agg(
         F.sum(asks).alias("_asks"),
         F.min_by(F.struct(answer.alias("a")), F.col("turn")).alias("_head"),
     )
-    along = Window.partitionBy("session_id").orderBy("_slice")
+    along = Window.partitionBy("_slot.s").orderBy("_slot.slice")
     heads = heads.select(
-        "session_id",
-        "_slice",
+        "_slot",
         (F.sum("_asks").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_asks")).alias("_before"),
         F.lead("_head").over(along).getField("a").alias("_next_answer"),
     )
-    inside = Window.partitionBy("session_id", "_slice").orderBy("turn")
+    inside = Window.partitionBy("_slot").orderBy("turn")
     last = F.lead(F.lit(1)).over(inside).isNull()
-    return sliced.join(heads, ["session_id", "_slice"]).select(
+    return sliced.join(heads, "_slot").select(
         "*",
         F.when(last, F.col("_next_answer")).otherwise(F.lead(answer).over(inside)).alias("_answer"),
         (F.col("_before") + F.sum(asks).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("pos"),
@@ -312,7 +313,8 @@ def sample_candidates(
     """Half by heuristic score, half by hash order, in hash order.
 
     Both halves are distributed top-n selections of the requested sample size;
-    a table no larger than the sample passes through with a null score.
+    a table no larger than the sample passes through with a null
+    ``prompt_test_score``, so the columns are the same at every size.
     """
     carried = {"q_chars", "a_chars", "Q2_q_chars"} <= set(edges.columns)
     overlap = carried_overlap() if carried else None
@@ -321,7 +323,7 @@ def sample_candidates(
         heuristic_score(F.col("Q1"), F.col("A1"), F.col("Q2"), F.col("distance"), lexicon, overlap),
     )
     if max_candidates <= 0 or edges.limit(max_candidates + 1).count() <= max_candidates:
-        return edges
+        return edges.withColumn("prompt_test_score", F.lit(None).cast(scored.schema["prompt_test_score"].dataType))
     high_n = max_candidates // 2
     best = [F.col("prompt_test_score").desc(), F.col("session_id"), F.col("Q1_row"), F.col("Q2_row")]
     high = scored.orderBy(*best).limit(high_n)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import f1_score, finite_score, ratio
-from .prefix import boundary_slice, sliced_running_sum, unit_slice
+from .prefix import boundary_slice, group_join, sliced_running_sum, unit_slice
 
 
 def confusion(
@@ -154,7 +154,7 @@ def evaluate(
     )
     histogram = cells.groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     ranks = ranking_from_counts(running_counts(histogram, by), by).drop("total", "true_edges")
-    return counts.join(ranks, list(by)) if by else counts.crossJoin(ranks)
+    return group_join(counts, ranks, by)
 
 
 def threshold_sweep(
@@ -172,7 +172,7 @@ def threshold_sweep(
     rows = df if eligible is None else df.where(eligible)
     totals = df.groupBy(*by).agg(F.count_if(F.col(label).cast("int") == 1).alias("_all_pos"))
     curve = running_counts(score_histogram(rows, label, score, by), by, **options)
-    curve = curve.join(totals, list(by)) if by else curve.crossJoin(F.broadcast(totals))
+    curve = group_join(curve, totals, by)
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     fn = F.col("_all_pos") - tp
     return curve.select(
@@ -209,7 +209,7 @@ def best_f1_threshold(
     best = sweep.groupBy(*by).agg(F.max_by(row, key).alias("_best"))
     best = best.select(*by, "_best.*")
     groups = df.groupBy(*by).agg(F.count_if(F.col(label).cast("int") == 1).alias("_all_pos"))
-    joined = groups.join(best, list(by), "left") if by else groups.crossJoin(best)
+    joined = group_join(groups, best, by, "left")
     zero = F.lit(0).cast("long")
     return joined.select(
         *by,

@@ -25,31 +25,30 @@ def sliced_running_sum(
     """Add inclusive running totals ``sums[name]`` in ``order`` within ``by``.
 
     ``slice_by`` must be monotone in the order: non-decreasing along it, or
-    non-increasing when ``descending``.  ``by`` and the slice are never null, so
-    rows, offsets and the in-slice window share one hash partitioning.
+    non-increasing when ``descending``.  Rows, offsets and the in-slice window
+    share one hash partitioning, by a struct: null groups and null slices equal
+    themselves there, so no row is lost.
     """
     names = list(sums)
-    work = df.withColumn("_slice", slice_by)
+    work = df.withColumn("_key", F.struct(F.struct(F.lit(0), *by).alias("by"), slice_by.alias("slice")))
     for name in names:
         work = work.withColumn(f"_in_{name}", sums[name])
-    totals = work.groupBy(*by, "_slice").agg(
+    totals = work.groupBy("_key").agg(
         *[F.sum(f"_in_{n}").alias(f"_tot_{n}") for n in names]
     )
-    slice_order = F.col("_slice").desc() if descending else F.col("_slice").asc()
-    before = Window.partitionBy(*by).orderBy(slice_order).rowsBetween(
+    slice_order = F.col("_key.slice").desc() if descending else F.col("_key.slice").asc()
+    before = Window.partitionBy("_key.by").orderBy(slice_order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     offsets = totals.select(
-        *by,
-        "_slice",
+        "_key",
         *[
             (F.sum(f"_tot_{n}").over(before) - F.col(f"_tot_{n}")).alias(f"_off_{n}")
             for n in names
         ],
     )
-    keys = [*by, "_slice"]
-    joined = work.join(offsets, keys)
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
+    joined = work.join(offsets, "_key")
+    inside = Window.partitionBy("_key").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     for name in names:
@@ -57,7 +56,16 @@ def sliced_running_sum(
             name, F.col(f"_off_{name}") + F.sum(f"_in_{name}").over(inside)
         )
     helpers = [c for n in names for c in (f"_in_{n}", f"_off_{n}")]
-    return joined.drop("_slice", *helpers)
+    return joined.drop("_key", *helpers)
+
+
+def group_join(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join of two tables with one row per group (or none to name): null groups match."""
+    if not by:
+        return left.crossJoin(F.broadcast(right))
+    other = right.select(*[F.col(c).alias(f"_by_{c}") if c in by else F.col(c) for c in right.columns])
+    on = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    return left.join(other, on, how).drop(*[f"_by_{c}" for c in by])
 
 
 def sliced_index(

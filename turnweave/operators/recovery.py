@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import close_to, f1_score, ratio, sigmoid, to_number
 from .metrics import ranking_from_counts, running_counts, score_histogram
+from .prefix import group_join
 
 TARGET = ("session_id", "Q2_row")
 MAX_CANDIDATES_PER_TARGET = 5
@@ -249,7 +250,7 @@ def penalty_grid(
         F.sum(picked).alias("tp"), F.sum("k").alias("pred"), F.sum("_best").alias("objective")
     )
     totals = edges.groupBy(*by).agg(F.count_if(F.col(label).cast("int") == 1).alias("_pos"))
-    out = sums.join(totals, list(by)) if by else sums.crossJoin(F.broadcast(totals))
+    out = group_join(sums, totals, by)
     tp, pred = F.col("tp"), F.col("pred")
     fp, fn = pred - tp, F.col("_pos") - tp
     columns = [
@@ -266,7 +267,7 @@ def penalty_grid(
     result = out.select(*columns)
     if not ranking:
         return result
-    return result.join(_grid_ranking(edges, groups, grid, label, keys, by), keys)
+    return group_join(result, _grid_ranking(edges, groups, grid, label, keys, by), keys)
 
 
 def _grid_ranking(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,11 +77,18 @@ def read_edges(spark: SparkSession, path: str, columns: list[str] | None = None)
     return df.select(*columns) if columns else df
 
 
+def nothing_there(error: AnalysisException) -> bool:
+    """A missing path or a file without content; any other fault must not pass as a first run."""
+    return (error.getCondition() or "").startswith(("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"))
+
+
 def resume_edges(spark: SparkSession, path: str) -> DataFrame | None:
     """An earlier labelled snapshot, or None when there is none to resume."""
     try:
         df = read_edges(spark, path)
-    except Exception:  # noqa: BLE001 - a missing or empty snapshot means: start anew
+    except AnalysisException as error:
+        if not nothing_there(error):
+            raise
         return None
     return initialize_labels(df) if df.columns else None
 
@@ -117,7 +125,9 @@ def read_score_cache(spark: SparkSession, path: str, meta: dict) -> DataFrame |
     """Cached scores when their stored metadata equals ``meta``."""
     try:
         stored = spark.read.parquet(f"{path}/meta").first()
-    except Exception:  # noqa: BLE001 - no cache yet
+    except AnalysisException as error:
+        if not nothing_there(error):
+            raise
         return None
     if stored is None or json.loads(stored["meta"]) != json.loads(json.dumps(meta)):
         return None
