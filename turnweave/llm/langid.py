@@ -208,7 +208,7 @@ def label_texts(texts: list[str], model: Model, switch: float = SWITCH) -> tuple
         whole = totals.sum(axis=1)
         chosen = totals.argmax(axis=1)
         turn = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(labels, prepend=-1) != 0))
-        after = np.append(turn[1:], len(labels))
+        after = np.append(turn[1:], len(labels))[: len(turn)]
         for a, b in zip(turn.tolist(), after.tolist(), strict=True):
             spans[members[text[a]]].append((int(labels[a]), int(a - starts[text[a]]), b - a))
         for j, i in enumerate(members):
