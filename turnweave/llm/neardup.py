@@ -2,7 +2,7 @@
 
 Shingles are hashed once.  The top bits of a hash name its bucket; of each
 bucket's smallest hash only the number of leading zeros and a few mantissa bits
-are kept (one 16-bit register).  Bands of registers give candidate pairs, the
+are kept (one register).  Bands of registers give candidate pairs, the
 share of equal registers, corrected for accidental equality, gives an estimate
 of the Jaccard similarity, and what the estimate cannot rule out is confirmed
 on full sets.
@@ -32,7 +32,9 @@ SIMILARITY = 0.8
 #: 2**BUCKET_BITS registers make the bands, 2**FINE_BITS the estimate
 BUCKET_BITS = 8
 FINE_BITS = 10
+#: mantissa bits of a register of the bands (16 bits in all) and of the estimate (8 bits)
 MANTISSA_BITS = 10
+FINE_MANTISSA_BITS = 4
 BAND_ROWS = 6
 BANDS = 42
 #: standard deviations (and slack) below the threshold that an estimate must lie to rule a pair out
@@ -40,8 +42,10 @@ SIGMAS = 5.0
 SLACK = 0.01
 #: buckets up to this many classes list their pairs at once
 SMALL_BUCKET = 8
+#: cells of 64 bits in the filter that picks texts to be read again
+FILTER_CELLS = 1 << 14
 #: classes on one side of a block
-BLOCK = 512
+BLOCK = 2_048
 
 _ODD = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -84,31 +88,57 @@ def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
         return np.unique(_mix(total))
 
 
-def registers(hashes: np.ndarray, bits: int) -> np.ndarray:
+def registers(hashes: np.ndarray, bits: int, mantissa_bits: int = MANTISSA_BITS) -> np.ndarray:
     """HyperMinHash registers of sorted hashes: 0 is empty, else 1 + zeros and mantissa."""
-    out = np.zeros(1 << bits, np.uint16)
+    kind, most = (np.uint16, 62) if mantissa_bits > FINE_MANTISSA_BITS else (np.uint8, 14)
+    out = np.zeros(1 << bits, kind)
     if len(hashes):
         bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
         first = np.flatnonzero(np.diff(bucket, prepend=-1))  # the smallest hash of each bucket
         rest = (hashes[first] << np.uint64(bits)) >> np.uint64(11)  # 53 bits: exact as a float
         length = np.frexp(rest.astype(np.float64))[1].astype(np.int64)
-        zeros = np.minimum(53 - length, 62)
-        shift = length - 1 - MANTISSA_BITS
-        one = np.uint64(1)
+        zeros = np.minimum(53 - length, most).astype(np.uint64)
+        shift = length - 1 - mantissa_bits
         mantissa = np.where(
             shift >= 0, rest >> np.maximum(shift, 0).astype(np.uint64), rest << np.maximum(-shift, 0).astype(np.uint64)
-        ) & ((one << np.uint64(MANTISSA_BITS)) - one)
-        out[bucket[first]] = (zeros.astype(np.uint64) * np.uint64(1 << MANTISSA_BITS) + mantissa + one).astype(np.uint16)
+        ) & np.uint64((1 << mantissa_bits) - 1)
+        out[bucket[first]] = (zeros * np.uint64(1 << mantissa_bits) + mantissa + np.uint64(1)).astype(kind)
+    return out
+
+
+def fine_registers(hashes: np.ndarray) -> np.ndarray:
+    return registers(hashes, FINE_BITS, FINE_MANTISSA_BITS)
+
+
+#: where an empty register looks for a value: the same places in every text
+_PROBES = np.random.default_rng(1).integers(0, 1 << BUCKET_BITS, (1 << BUCKET_BITS, 512), np.int16)
+
+
+def filled(regs: np.ndarray) -> np.ndarray:
+    """Empty registers take the first value on their way through the others.
+
+    Then any register of two texts is equal with the chance of their Jaccard
+    similarity, and short texts do not meet by what their bands lack.
+    """
+    out = regs.copy()
+    for width in (16, 512):
+        empty = np.flatnonzero(out == 0)
+        if not len(empty):
+            break
+        found = regs[_PROBES[empty, :width]]
+        out[empty] = found[np.arange(len(empty)), (found != 0).argmax(axis=1)]
+    if (out == 0).any():
+        out[out == 0] = regs.max()
     return out
 
 
 def band_keys(regs: np.ndarray, rows: int = BAND_ROWS, bands: int = BANDS) -> np.ndarray:
-    """One 64-bit key per band that has a register in use."""
+    """One 64-bit key per band of registers without gaps."""
     part = regs[: rows * bands].reshape(bands, rows).astype(np.uint64)
     with np.errstate(over="ignore"):
         key = _mix((part * _ODD[:rows]).sum(axis=1, dtype=np.uint64) + np.arange(1, bands + 1, dtype=np.uint64) * _ODD[7])
         key = _mix(key + _mix(part + _ODD[6]).dot(_ODD[:rows]))
-    return key[part.any(axis=1)].view(np.int64)
+    return key.view(np.int64)
 
 
 def accidental(n_a: float, n_b: float, bits: int) -> float:
@@ -123,7 +153,7 @@ def accidental(n_a: float, n_b: float, bits: int) -> float:
     mass_a = np.exp(-a * low) - np.exp(-a * high)
     mass_b = np.exp(-b * low) - np.exp(-b * high)
     either = 1 - np.exp(-(a + b))
-    return float((mass_a * mass_b).sum() / (1 << MANTISSA_BITS) / max(either, 1e-12))
+    return float((mass_a * mass_b).sum() / (1 << FINE_MANTISSA_BITS) / max(either, 1e-12))
 
 
 def estimates(one: np.ndarray, others: np.ndarray, n_one: int, n_others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +186,7 @@ def _sketch(size: int):
                 found = shingle_set(text, size)
                 counts.append(len(found))
                 nodes.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                keys.append(band_keys(registers(found, BUCKET_BITS)) if len(found) else np.empty(0, np.int64))
+                keys.append(band_keys(filled(registers(found, BUCKET_BITS))) if len(found) else np.empty(0, np.int64))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -171,17 +201,20 @@ def _sketch(size: int):
 def _full_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = ([], [], [], [])
+            out = ([], [], [], [], [])
             for nid, node, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 found = shingle_set(text, size)
                 if hashlib.blake2b(found.tobytes(), digest_size=16).digest() == node:
                     for column, value in zip(
-                        out, (nid, len(found), registers(found, FINE_BITS).tobytes(), found.tobytes()), strict=True
+                        out,
+                        (nid, len(found), fine_registers(found).tobytes(), found.tobytes(),
+                         band_keys(filled(registers(found, BUCKET_BITS))).tobytes()),
+                        strict=True,
                     ):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["nid", "n", "regs", "hashes"]
+                [pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["nid", "n", "regs", "hashes", "bands"]
             )
 
     return run
@@ -193,8 +226,8 @@ def _ruled_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right, n_a, n_b, regs_a, regs_b = (batch.column(i).to_pylist() for i in range(6))
         keep = []
         for i in range(len(left)):
-            one = np.frombuffer(regs_a[i], np.uint16)
-            other = np.frombuffer(regs_b[i], np.uint16)[None, :]
+            one = np.frombuffer(regs_a[i], np.uint8)
+            other = np.frombuffer(regs_b[i], np.uint8)[None, :]
             share, least = estimates(one, other, n_a[i], np.array([n_b[i]]))
             keep.append(bool(share[0] >= least[0]))
         mask = pa.array(keep, pa.bool_())
@@ -215,12 +248,17 @@ def _confirmed(percent: int):
 
 
 def _block(table: pa.Table) -> pa.Table:
-    """Pairs of a block whose classes are in different components and that the estimate cannot rule out."""
+    """Pairs of a block that are in different components, and that the estimate cannot rule out.
+
+    Classes that share several buckets give their pair in the first of them only.
+    """
     nid = table["nid"].to_numpy()
     side = table["side"].to_numpy()
     label = table["label"].to_numpy()
     n = table["n"].to_numpy()
-    regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(len(nid), -1)
+    regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint8).reshape(len(nid), -1)
+    bands = np.frombuffer(b"".join(table["bands"].to_pylist()), np.int64).reshape(len(nid), -1)
+    key = table["key"][0].as_py()
     same = bool(table["same"][0].as_py())
     rows = np.flatnonzero(side == 0)
     others = rows if same else np.flatnonzero(side == 1)
@@ -229,7 +267,9 @@ def _block(table: pa.Table) -> pa.Table:
         apart = others[(label[others] != label[i]) & ((nid[others] > nid[i]) if same else True)]
         if len(apart):
             share, least = estimates(regs[i], regs[apart], int(n[i]), n[apart])
-            hits = nid[apart[share >= least]]
+            near = apart[share >= least]
+            first = (bands[near] == bands[i]).argmax(axis=1) if len(near) else near
+            hits = nid[near[bands[i][first] == key]]
             found[0].extend(np.minimum(hits, nid[i]).tolist())
             found[1].extend(np.maximum(hits, nid[i]).tolist())
     return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
@@ -330,8 +370,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = roun
 
     # full sets of the classes that share a bucket, read again from their texts
     involved = members.select("nid").distinct().join(classes.select("nid", "node", "rep"), "nid")
-    texts = base.join(involved, base["doc_id"].eqNullSafe(involved["rep"])).select("nid", "node", "text")
-    sets = texts.mapInArrow(_full_sets(shingle), "nid bigint, n bigint, regs binary, hashes binary")
+    involved = space.save("involved", involved)
+    place = F.xxhash64(F.coalesce("doc_id", F.lit(-1)))
+    # a bit per hashed doc_id, of fixed size: it lets few other texts into the shuffle
+    bits = involved.select(F.xxhash64(F.coalesce("rep", F.lit(-1))).alias("h"))
+    bits = bits.select(F.pmod(F.shiftright("h", 6), F.lit(FILTER_CELLS)).alias("cell"), F.pmod("h", F.lit(64)).cast("int").alias("bit"))
+    cells = bits.groupBy("cell").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    some = base.withColumn("h", place).withColumn("cell", F.pmod(F.shiftright("h", 6), F.lit(FILTER_CELLS)))
+    some = some.join(F.broadcast(cells), "cell").where("getbit(bits, cast(pmod(h, 64) as int)) = 1").select("doc_id", "text")
+    texts = some.join(involved, some["doc_id"].eqNullSafe(involved["rep"])).select("nid", "node", "text")
+    sets = texts.mapInArrow(_full_sets(shingle), "nid bigint, n bigint, regs binary, hashes binary, bands binary")
     sets = space.save("sets", sets.dropDuplicates(["nid"]))
 
     links = space.save("links", _check_pairs(pairs, sets, percent))
@@ -350,7 +398,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = roun
         "key", "nid", "label",
         F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
         (F.col("chunk") > F.col("other")).cast("int").alias("side"), (F.col("chunk") == F.col("other")).alias("same"),
-    ).join(sets.select("nid", "n", "regs"), "nid")
+    ).join(sets.select("nid", "n", "regs", "bands"), "nid")
     rest = blocks.groupBy("key", "i", "j").applyInArrow(_block, "a bigint, b bigint").distinct()
     more = space.save("more", _check_pairs(space.save("rest", rest), sets, percent))
     if not more.isEmpty():
