@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import close_to, f1_score, ratio, sigmoid, to_number
-from .metrics import ranking_from_counts, running_counts, score_histogram
-from .prefix import group_join
+from .metrics import ranking_from_counts, score_histogram
+from .prefix import group_join, sliced_running_sum, unit_slice
 
 TARGET = ("session_id", "Q2_row")
 MAX_CANDIDATES_PER_TARGET = 5
@@ -23,6 +23,10 @@ MAX_CANDIDATES_PER_TARGET = 5
 LAMBDA0_GRID = tuple(round(0.05 * i, 10) for i in range(17))
 LAMBDAT_GRID = tuple(round(0.05 * i, 10) for i in range(11))
 AUDIT_TOLERANCE = 1e-10
+#: gains equal to so many places are ties, whatever the order of subtractions
+GAIN_PLACES = 9
+#: up to this gain the final score, a double, tells such gains apart
+GAIN_BOUND = 15.0
 
 
 def _value(prefix: Column, k: Column, lambda_0: Column, lambda_t: Column) -> Column:
@@ -69,7 +73,7 @@ def recover(
     )
     candidate = F.col("stage2_graph_input_pred") == 1
     chosen = candidate & (F.col("_rank") <= F.col("_k"))
-    gain = F.col(evidence) - l0 - lt * (F.col("_rank") - 1).cast("double")
+    gain = F.round(F.col(evidence) - l0 - lt * (F.col("_rank") - 1).cast("double"), GAIN_PLACES)
     return out.withColumns(
         {
             "stage2b_target_rank": F.when(candidate, F.col("_rank").cast("double")),
@@ -217,10 +221,9 @@ def penalty_grid(
     ``by`` (columns fixed within a session, such as the split) gives one grid
     per group.
 
-    Candidates are ranked once.  Each target then meets each setting inside its
-    own row and only per-setting sums leave the task, so the shuffle carries
-    grid-size rows.  ``ranking`` adds AUC and AP of the final score, which needs
-    a score histogram per setting.
+    Candidates are ranked once.  Targets are then expanded by the settings in
+    the task that ranked them, and only per-setting sums are shuffled.
+    ``ranking`` adds AUC and AP of the final score.
     """
     settings = [(float(a), float(b)) for a, b in product(sorted(set(lambda0_grid)), sorted(set(lambdat_grid)))]
     grid = F.array(*[F.struct(F.lit(a).alias("l0"), F.lit(b).alias("lt")) for a, b in settings])
@@ -267,20 +270,35 @@ def penalty_grid(
     result = out.select(*columns)
     if not ranking:
         return result
-    return group_join(result, _grid_ranking(edges, groups, grid, label, keys, by), keys)
+    ranks = _grid_ranking(edges, groups, [a for a, _ in settings], [b for _, b in settings], label, limit, by)
+    return group_join(result, ranks, [*by, "lambda_t"])
 
 
 def _grid_ranking(
-    edges: DataFrame, groups: DataFrame, grid: Column, label: str, keys: list[str], by: Sequence[str]
+    edges: DataFrame,
+    groups: DataFrame,
+    lambda0: Sequence[float],
+    lambdat: Sequence[float],
+    label: str,
+    limit: int,
+    by: Sequence[str],
 ) -> DataFrame:
-    """AUC and AP per setting; rows outside the graph score 0 in each of them."""
-    flat = groups.select(*by, F.inline("c")).select(*by, "k", "r", "y")
-    gain = F.col("r") - F.col("g.l0") - F.col("g.lt") * (F.col("k") - 1).cast("double")
-    scored = flat.withColumn("g", F.explode(grid)).select(
-        *by,
-        F.col("g.l0").alias("lambda_0"), F.col("g.lt").alias("lambda_t"),
-        sigmoid(gain).alias("score"), "y",
+    """AUC and AP per λt; rows outside the graph score below all others.
+
+    λ0 lowers every gain alike, so the order of the final scores, and with it
+    AUC and AP, depends on λt alone.  That holds while final scores tell gains
+    apart (``GAIN_BOUND``; logits of probabilities stay below 14); evidence
+    beyond it raises.
+    """
+    keys = [*by, "lambda_t"]
+    each = F.array(*[F.lit(b) for b in sorted(set(lambdat))])
+    low = -30.0 + max(lambda0) + max(lambdat) * limit
+    bounded = F.when(F.col("r").between(low, GAIN_BOUND), F.col("r")).otherwise(
+        F.raise_error(F.lit(f"final scores cannot rank evidence outside [{low:g}, {GAIN_BOUND:g}]"))
     )
+    flat = groups.select(*by, F.inline("c")).select(*by, "k", bounded.alias("r"), "y")
+    gain = F.col("r") - F.col("lambda_t") * (F.col("k") - 1).cast("double")
+    scored = flat.withColumn("lambda_t", F.explode(each)).select(*keys, F.round(gain, GAIN_PLACES).alias("score"), "y")
     inside = score_histogram(scored, "y", "score", keys)
     outside = (
         edges.where(F.col("stage2_graph_input_pred") != 1)
@@ -289,11 +307,17 @@ def _grid_ranking(
             F.count_if(F.col(label).cast("int") == 1).alias("pos"),
             F.count_if(F.col(label).cast("int") != 1).alias("neg"),
         )
-        .withColumn("g", F.explode(grid))
-        .select(*by, F.col("g.l0").alias("lambda_0"), F.col("g.lt").alias("lambda_t"),
-                F.lit(0.0).alias("score"), "pos", "neg")
+        .withColumn("lambda_t", F.explode(each))
+        .select(*keys, F.lit(-1e30).alias("score"), "pos", "neg")
+    )
+    curve = sliced_running_sum(
+        inside.unionByName(outside),
+        keys,
+        unit_slice(sigmoid(F.col("score"))),
+        [F.col("score").desc()],
+        {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")},
+        descending=True,
     )
-    curve = running_counts(inside.unionByName(outside), keys)
     ranks = ranking_from_counts(curve, keys)
     return ranks.select(*keys, F.col("auc").alias("AUC"), F.col("ap").alias("AP"))
 

@@ -115,7 +115,7 @@ be AS (SELECT *, greatest(0.0::DOUBLE, max(v) OVER (PARTITION BY session_id, Q2_
 ks AS (SELECT *, coalesce(min(CASE WHEN best > 0 AND v = best THEN k END)
                           OVER (PARTITION BY session_id, Q2_row, given), 0) AS kstar FROM be),
 fin AS (SELECT *, CAST(given = 1 AND k <= kstar AS INTEGER) AS pred,
-               CASE WHEN given = 1 THEN r - {LAMBDA_0}::DOUBLE - {LAMBDA_T}::DOUBLE * (k - 1) END AS gain FROM ks),
+               CASE WHEN given = 1 THEN round(r - {LAMBDA_0}::DOUBLE - {LAMBDA_T}::DOUBLE * (k - 1), 9) END AS gain FROM ks),
 rec AS (SELECT *, CASE WHEN given = 1 THEN 1.0::DOUBLE / (1.0::DOUBLE + exp(-greatest(least(gain, 30.0::DOUBLE), -30.0::DOUBLE)))
                   ELSE 0.0::DOUBLE END AS final_score,
                CAST(given = 1 AND pred = 0 AS INTEGER) AS pruned FROM fin)"""
@@ -636,16 +636,16 @@ mv AS (SELECT *, list_filter(range(1, m + 1), lambda i: (mask >> (i - 1)::INTEGE
 ms AS (SELECT *, coalesce(list_sum(list_transform(chosen, lambda i: rs[i])), 0.0::DOUBLE) - {LAMBDA_0}::DOUBLE * len(chosen)
         - {LAMBDA_T}::DOUBLE * len(chosen) * (len(chosen) - 1) / 2.0::DOUBLE AS v FROM mv),
 au AS (SELECT split, session_id, Q2_row, any_value(m) AS m, count(*) AS subsets, max(v) AS top, max(v) FILTER (WHERE mask = mine) AS got FROM ms GROUP BY split, session_id, Q2_row)""")
-    q["penalty_grid"] = on_evidence(f"SELECT {GRID_OUT} FROM gr", GRID)
+    # final scores of one setting, in gains: rows outside the graph come last
+    final = """
+gf AS (SELECT lambda_0, lambda_t, edge_label, round(r - lambda_0 - lambda_t * (k - 1), 9) AS fs FROM gx
+  UNION ALL SELECT lambda_0, lambda_t, edge_label, -1e30::DOUBLE FROM gv, gs WHERE given = 0)"""
+    ranked = f"SELECT {GRID_OUT}, round(gm.auc, 6) AS \"AUC\", round(gm.ap, 6) AS \"AP\" FROM gr JOIN gm USING (lambda_0, lambda_t)"
+    by_setting = rank_cte("gf", "edge_label", "fs", "gm", ["lambda_0", "lambda_t"])
+    q["penalty_grid"] = on_evidence(ranked, GRID, final, by_setting)
     q["penalty_best"] = on_evidence(f"SELECT {GRID_OUT} FROM gr ORDER BY gr.\"F1\" DESC, gr.\"Precision\" DESC, gr.\"PredEdges\", gr.lambda_0, gr.lambda_t LIMIT 1", GRID)
     q["penalty_ties"] = on_evidence(f"SELECT {GRID_OUT} FROM gr WHERE gr.\"F1\" = (SELECT max(\"F1\") FROM gr)", GRID)
-    q["penalty_grid_ranking"] = on_evidence(
-        f"SELECT {GRID_OUT}, round(gm.auc, 6) AS \"AUC\", round(gm.ap, 6) AS \"AP\" FROM gr JOIN gm USING (lambda_0, lambda_t)",
-        grid_ctes((0.0, 0.2, 0.4), (0.0, 0.15)),
-        """
-gf AS (SELECT lambda_0, lambda_t, edge_label, 1.0::DOUBLE / (1.0::DOUBLE + exp(-greatest(least(r - lambda_0 - lambda_t * (k - 1), 30.0::DOUBLE), -30.0::DOUBLE))) AS fs FROM gx
-  UNION ALL SELECT lambda_0, lambda_t, edge_label, 0.0::DOUBLE FROM gv, gs WHERE given = 0)""",
-        rank_cte("gf", "edge_label", "fs", "gm", ["lambda_0", "lambda_t"]))
+    q["penalty_grid_ranking"] = on_evidence(ranked, grid_ctes((0.0, 0.2, 0.4), (0.0, 0.15)), final, by_setting)
     q["penalty_ablation"] = on_evidence(
         f"SELECT condition, gr.split, {GRID_OUT.replace('round(lambda_0', 'round(gr.lambda_0').replace('round(lambda_t', 'round(gr.lambda_t')} "
         "FROM gr JOIN pc ON gr.lambda_0 = pc.lambda_0 AND gr.lambda_t = pc.lambda_t",

@@ -460,7 +460,7 @@ def _grid(spark, d, ranking=False):
 
 @query
 def penalty_grid(spark, d):
-    return rounded(_grid(spark, d), *GRID_RATES)
+    return rounded(_grid(spark, d, ranking=True), *GRID_RATES)
 
 
 @query
