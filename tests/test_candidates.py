@@ -124,3 +124,17 @@ def test_sampling_keeps_the_best_half(spark):
     again = C.sample_candidates(edges.repartition(7), 10, 1)
     assert [r["edge_id"] for r in sample.collect()] == [r["edge_id"] for r in again.collect()]
     assert C.sample_candidates(edges, 10**6).count() == edges.count()
+
+
+def test_turn_features_match_record_features_in_both_layouts(spark):
+    df, _ = turns(spark)
+    use = {"chars": C.word_chars}
+    want = C.record_chars(C.records_from_turns(df)).select(
+        "session_id", "pos", "q_chars", "a_chars", F.length("Q").alias("q_size"), F.length("A").alias("a_size")
+    )
+    for block in (None, 5):
+        got = C.records_from_turns(df, block=block, features=use, texts=False).select(want.columns)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+        edges = C.candidate_edges(C.records_from_turns(df, block=block, texts=False), 5, block, texts=False)
+        keys = C.candidate_edges(C.records_from_turns(df), 5).select("edge_id")
+        assert edges.select("edge_id").exceptAll(keys).isEmpty() and edges.count() == keys.count()

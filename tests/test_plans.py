@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnweave.operators import contracts, evidence, graph, recovery, retention, scorers, splits
-from turnweave.plans import run, tables
+from turnweave.plans import queries, run, tables
 from turnweave.session import lookup_join
 from turnweave.sources import readers, writers
 
@@ -47,6 +47,29 @@ def test_one_exchange_from_scan_to_graph(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_no_text_is_shuffled_where_none_is_read(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        def exchanged(df):
+            """The output columns of all exchanges."""
+            found, stack = [], [df._jdf.queryExecution().executedPlan()]
+            while stack:
+                node = stack.pop()
+                if "ShuffleExchange" in node.getClass().getSimpleName():
+                    found.append(node.output().mkString(","))
+                stack += [node.children().apply(i) for i in range(node.children().size())]
+            return found
+
+        for name in ("candidate_distance_hist", "candidate_edges_w3", "interaction_channels", "cue_flags"):
+            assert all("text" not in columns for columns in exchanged(queries.REGISTRY[name](spark, SF)))
+        narrow = exchanged(tables.narrow_edges(spark, SF))
+        assert len(narrow) == 1 and "_text" not in narrow[0] and "_own_terms" in narrow[0]
+        whole = exchanged(tables.edges(spark, SF))
+        assert len(whole) == 1 and whole[0].count("_text") == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_rank_filter_prunes_before_the_shuffle(spark):
     from turnweave.operators.metrics import with_source_rank
 

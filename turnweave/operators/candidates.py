@@ -9,7 +9,7 @@ holding a large share of all rows is still spread over the cluster.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +27,8 @@ from ..functions.text import (
 from .prefix import integer_slice, sliced_running_sum
 
 DEFAULT_WINDOW = 5
+#: functions of a turn's cleaned text, by name
+Features = Mapping[str, Callable[[Column], Column]]
 SESSION_ROW_LIMIT = 200_000
 BLOCK_ROWS = 16_384
 
@@ -58,59 +60,76 @@ def records_from_turns(
     asker: str = "user",
     answerer: str = "assistant",
     block: int | None = None,
+    features: Features | None = None,
+    texts: bool = True,
 ) -> DataFrame:
     """Pair each asker turn with the answer directly after it.
 
     Returns ``session_id, pos, turn, Q, A``: ``pos`` numbers the asker turns of
     a session from 0, ``A`` is empty unless the very next turn is an answer.
     ``(session, order)`` is unique and ``order`` an integer.
+
+    ``features`` are computed per turn, before the rows are shuffled by session:
+    feature ``f`` arrives as ``q_f`` and ``a_f``.  Without ``texts`` the result
+    has text sizes (``q_size, a_size``) in place of ``Q, A``, and the shuffle
+    carries only the features that are used.
     """
+    wanted = dict(features or {})
+    if not texts:
+        wanted["size"] = F.length
     base = turns.select(
         F.col(session).alias("session_id"),
         F.col(order).alias("turn"),
         F.col(role).alias("_role"),
-        F.col(text).alias("_text"),
+        clean_text(F.col(text)).alias("_text"),
     )
-    asks = (F.col("_role") == asker).cast("long")
-    answer = F.when(F.col("_role") == answerer, F.col("_text"))
-    if block is None:
-        in_order = Window.partitionBy("session_id").orderBy("turn")
-        paired = base.select(
-            "*",
-            F.lead(answer).over(in_order).alias("_answer"),
-            (F.sum(asks).over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("pos"),
-        )
-    else:
-        paired = _paired_in_blocks(base, asks, answer, block)
+    base = base.select(
+        "session_id", "turn", "_role", *(["_text"] if texts else []),
+        *[use(F.col("_text")).alias(f"_own_{name}") for name, use in wanted.items()],
+    )
+    own = {f"_own_{name}": (f"q_{name}", f"a_{name}", use(F.lit(""))) for name, use in wanted.items()}
+    if texts:
+        own["_text"] = ("Q", "A", F.lit(""))
+    paired = _paired(base, asker, ["_role", *own], block)
+    answered = F.col("_next_role") == answerer
     return paired.where(F.col("_role") == asker).select(
         "session_id",
         "pos",
         "turn",
-        clean_text(F.col("_text")).alias("Q"),
-        clean_text(F.col("_answer")).alias("A"),
-    )
+        *[F.col(c).alias(q) for c, (q, _, _) in own.items()],
+        *[F.when(answered, F.col(f"_next{c}")).otherwise(empty).alias(a) for c, (_, a, empty) in own.items()],
+    ).select("session_id", "pos", "turn", *(["Q", "A"] if texts else []), *[f"{s}_{n}" for n in wanted for s in "qa"])
 
 
-def _paired_in_blocks(base: DataFrame, asks: Column, answer: Column, block: int) -> DataFrame:
+def _paired(base: DataFrame, asker: str, carried: Sequence[str], block: int | None) -> DataFrame:
+    """Add ``pos`` and, for each carried column ``c``, ``_next{c}`` of the next turn."""
+    asks = (F.col("_role") == asker).cast("long")
+    if block is None:
+        in_order = Window.partitionBy("session_id").orderBy("turn")
+        return base.select(
+            "*",
+            *[F.lead(c).over(in_order).alias(f"_next{c}") for c in carried],
+            (F.sum(asks).over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("pos"),
+        )
     # a struct key: null sessions and null turns equal themselves, as in the other layout
     slot = F.struct(F.col("session_id").alias("s"), integer_slice(F.col("turn"), block).alias("slice"))
     sliced = base.withColumn("_slot", slot)
     # One row per slice: how many asker turns it has and how it begins.
     heads = sliced.groupBy("_slot").agg(
         F.sum(asks).alias("_asks"),
-        F.min_by(F.struct(answer.alias("a")), F.col("turn")).alias("_head"),
+        F.min_by(F.struct(*carried), F.col("turn")).alias("_head"),
     )
     along = Window.partitionBy("_slot.s").orderBy("_slot.slice")
     heads = heads.select(
         "_slot",
         (F.sum("_asks").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_asks")).alias("_before"),
-        F.lead("_head").over(along).getField("a").alias("_next_answer"),
+        F.lead("_head").over(along).alias("_after"),
     )
     inside = Window.partitionBy("_slot").orderBy("turn")
     last = F.lead(F.lit(1)).over(inside).isNull()
     return sliced.join(heads, "_slot").select(
         "*",
-        F.when(last, F.col("_next_answer")).otherwise(F.lead(answer).over(inside)).alias("_answer"),
+        *[F.when(last, F.col("_after")[c]).otherwise(F.lead(c).over(inside)).alias(f"_next{c}") for c in carried],
         (F.col("_before") + F.sum(asks).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("pos"),
     )
 
@@ -183,7 +202,8 @@ def candidate_edges(
 ) -> DataFrame:
     """All (source, later target) pairs at most ``window`` positions apart.
 
-    ``records`` has ``session_id, pos, Q, A``.  A source needs a question and an
+    ``records`` has ``session_id, pos, Q, A``, or ``q_size, a_size`` in place of
+    the texts if these are not asked for.  A source needs a question and an
     answer, a target a question; rows that fail still take up a position.
     ``source`` and ``target`` name further record columns to carry along, so
     per-record work (tokens, term sets) is done once and not once per edge; a
@@ -201,12 +221,13 @@ def candidate_edges(
         *([F.col("Q")] if texts else []),
         *[F.col(c).alias(c) for c in target],
     )
-    asks = F.length("Q") > 0
+    q_size, a_size = (F.col(c) if c in records.columns else F.length(c[0].upper()) for c in ("q_size", "a_size"))
+    asks = q_size > 0
     records = records.select(
         "session_id",
         "pos",
         asks.alias("_asks"),
-        (asks & (F.length("A") > 0)).alias("_opens"),
+        (asks & (a_size > 0)).alias("_opens"),
         *(["Q", "A"] if texts else []),
         *dict.fromkeys([*source, *target]),
     )
@@ -249,8 +270,10 @@ def candidate_edges(
     )
 
 
-def min_target_length(edges: DataFrame, length: int) -> DataFrame:
-    return edges.where(F.length("Q2") >= length) if length > 0 else edges
+def min_target_length(edges: DataFrame, length: int, size: Column | None = None) -> DataFrame:
+    """Edges whose target question has ``length`` characters; ``size`` where edges carry it in place of texts."""
+    size = F.length("Q2") if size is None else size
+    return edges.where(size >= length) if length > 0 else edges
 
 
 def heuristic_score(
@@ -285,6 +308,7 @@ def heuristic_score(
     return F.least(F.lit(1.0), total)
 
 
+CHARS: Features = {"chars": word_chars}
 CHAR_SOURCE, CHAR_TARGET = ("q_chars", "a_chars"), ("q_chars",)
 
 

@@ -22,6 +22,7 @@ from ..functions.text import (
     question_mark_score,
     shared_objects,
 )
+from .candidates import Features
 
 NEAR_DISTANCE = 5
 
@@ -34,23 +35,28 @@ def _levels(*steps: tuple[Column, float]) -> Column:
 
 
 # Columns the channels read; texts are scanned for terms once, not per list.
-RECORD_COLUMNS = ("q_found", "a_found", "q_objects", "a_objects", "q_marks", "a_digits")
-_SOURCE = ("q_found", "a_found", "q_objects", "a_objects", "a_digits")
+RECORD_COLUMNS = ("q_found", "a_found", "q_objects", "a_objects", "q_marks", "a_digits", "a_size")
+_SOURCE = ("q_found", "a_found", "q_objects", "a_objects", "a_digits", "a_size")
 _TARGET = ("Q2_q_found", "Q2_q_objects", "Q2_q_marks")
 
 
-def _text_columns(q: Column, a: Column, lexicon: Lexicon) -> dict[str, Column]:
+def turn_features(lexicon: Lexicon = DEFAULT_LEXICON) -> Features:
+    """What the channels read of a turn, for ``records_from_turns``."""
     vocabulary = lexicon.channel_vocabulary()
     return {
-        "q_found": find_terms(q, vocabulary),
-        "a_found": find_terms(a, vocabulary),
-        "q_objects": object_terms(q, lexicon),
-        "a_objects": object_terms(a, lexicon),
-        "q_marks": question_mark_score(q),
-        "a_digits": a.rlike(r"(?U)\d").cast("double"),
+        "found": lambda text: find_terms(text, vocabulary),
+        "objects": lambda text: object_terms(text, lexicon),
+        "marks": question_mark_score,
+        "digits": lambda text: text.rlike(r"(?U)\d").cast("double"),
+        "size": F.length,
     }
 
 
+def _text_columns(q: Column, a: Column, lexicon: Lexicon) -> dict[str, Column]:
+    features = turn_features(lexicon)
+    return {name: features[name[2:]](q if name.startswith("q_") else a) for name in RECORD_COLUMNS}
+
+
 def record_features(records: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
     """Scan each record's texts once, before it fans out into edges.
 
@@ -79,7 +85,7 @@ def with_interaction_scores(edges: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON
     """Dissatisfaction, pressure, claim, challenge, explanation and evidence."""
     out = edge_features(edges, lexicon)
     a1, q2 = F.col("a_found"), F.col("Q2_q_found")
-    marks, size = F.col("Q2_q_marks"), F.length(clean_text(F.col("A1")))
+    marks, size = F.col("Q2_q_marks"), F.col("a_size")
     out = out.withColumns(
         {
             "_unsat": found_score(a1, lexicon.unsatisfied, 2.0),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import DEFAULT_LEXICON, Lexicon
 from ..functions.numeric import close_to, ratio, to_number
 from ..functions.text import contains_any, set_jaccard, visible_chars
+from .candidates import Features
 
 OVERLAP_TRIGGER = 0.30
 
@@ -55,6 +56,9 @@ def _off_topic(bucket: Column) -> Column:
 SEEN_SOURCE, SEEN_TARGET = ("q_seen", "a_seen"), ("q_seen",)
 
 
+SEEN: Features = {"seen": visible_chars}
+
+
 def record_seen(records: DataFrame) -> DataFrame:
     """Visible characters once per record; carry them through ``candidate_edges``."""
     return records.withColumns({"q_seen": visible_chars(F.col("Q")), "a_seen": visible_chars(F.col("A"))})

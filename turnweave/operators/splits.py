@@ -120,8 +120,11 @@ def positive_mask(edges: DataFrame) -> Column:
     )
 
 
-def add_text_features(edges: DataFrame) -> DataFrame:
+def add_text_features(edges: DataFrame, sizes: Mapping[str, str] | None = None) -> DataFrame:
+    """Text lengths and a numeric distance; ``sizes`` names carried lengths where edges have no texts."""
     lengths = {f"{c.lower()}_len": F.length(clean_text(F.col(c))) for c in ("Q1", "A1", "Q2")}
+    if sizes is not None:
+        lengths = {name: F.col(c) for name, c in sizes.items()}
     return edges.withColumns({**lengths, "distance_num": to_number(F.col("distance"), 0.0)})
 
 

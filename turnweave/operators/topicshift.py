@@ -9,18 +9,26 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import DEFAULT_LEXICON, Lexicon
 from ..functions.text import clean_text, contains_any, extract_terms, term_overlap
+from .candidates import Features
 
 EASY_THRESHOLD = 0.80
 BOUNDARY_THRESHOLD = 0.45
 AUTO_REASON = "Automatic topic shift denoise."
 
 
+def term_features(lexicon: Lexicon = DEFAULT_LEXICON) -> Features:
+    """Term sets of a turn, for ``records_from_turns``."""
+    return {"terms": lambda text: extract_terms(text, lexicon.term_stopwords)}
+
+
 def record_terms(records: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
     """Term sets once per record; no term crosses the question/answer border."""
-    stop = lexicon.term_stopwords
-    return records.withColumn("q_terms", extract_terms(F.col("Q"), stop)).withColumn(
-        "anchor_terms", F.array_union("q_terms", extract_terms(F.col("A"), stop))
-    )
+    if not {"q_terms", "a_terms"} <= set(records.columns):
+        stop = lexicon.term_stopwords
+        records = records.withColumns(
+            {"q_terms": extract_terms(F.col("Q"), stop), "a_terms": extract_terms(F.col("A"), stop)}
+        )
+    return records.withColumn("anchor_terms", F.array_union("q_terms", "a_terms")).drop("a_terms")
 
 
 def topic_shift(

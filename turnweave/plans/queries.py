@@ -87,12 +87,12 @@ def candidate_edges_w5(spark, d):
 
 @query
 def candidate_edges_w3(spark, d):
-    return edges(spark, d, 3).select("edge_id", "session_id", "Q1_row", "Q2_row", "distance")
+    return edges(spark, d, 3, texts=False).select("edge_id", "session_id", "Q1_row", "Q2_row", "distance")
 
 
 @query
 def candidate_edges_w1(spark, d):
-    return edges(spark, d, 1).select("edge_id", "session_id", "Q1_row", "Q2_row", "distance")
+    return edges(spark, d, 1, texts=False).select("edge_id", "session_id", "Q1_row", "Q2_row", "distance")
 
 
 @query
@@ -104,19 +104,20 @@ def candidate_edges_blocks(spark, d):
 
 @query
 def candidate_distance_hist(spark, d):
-    return edges(spark, d).groupBy("distance").agg(F.count(F.lit(1)).alias("edges"))
+    return edges(spark, d, texts=False).groupBy("distance").agg(F.count(F.lit(1)).alias("edges"))
 
 
 @query
 def min_q2_length_filter(spark, d):
-    return candidates.min_target_length(edges(spark, d), 120).select("edge_id", F.length("Q2").alias("q2_len"))
+    sized = edges(spark, d, texts=False, target=["q_size"])
+    return candidates.min_target_length(sized, 120, F.col("Q2_q_size")).select("edge_id", F.col("Q2_q_size").alias("q2_len"))
 
 
 @query
 def text_features(spark, d):
-    return splits.add_text_features(edges(spark, d)).select(
-        "edge_id", "q1_len", "a1_len", "q2_len", "distance_num"
-    )
+    sized = edges(spark, d, texts=False, source=["q_size", "a_size"], target=["q_size"])
+    lengths = {"q1_len": "q_size", "a1_len": "a_size", "q2_len": "Q2_q_size"}
+    return splits.add_text_features(sized, lengths).select("edge_id", *lengths, "distance_num")
 
 
 @query
@@ -131,21 +132,23 @@ def clean_documents(spark, d):
 
 @query
 def cue_flags(spark, d):
-    has = lambda c, terms: tx.contains_any(F.col(c), terms).cast("int")
-    return edges(spark, d).select(
-        "edge_id",
-        has("Q2", LEX.followup).alias("followup"),
-        has("Q2", LEX.complaint).alias("complaint"),
-        has("A1", LEX.vague).alias("vague"),
-        has("Q2", LEX.question).alias("question"),
+    cues = {
+        name: lambda text, terms=terms: tx.contains_any(text, terms).cast("int")
+        for name, terms in (
+            ("followup", LEX.followup), ("complaint", LEX.complaint), ("vague", LEX.vague), ("question", LEX.question)
+        )
+    }
+    asked = ["q_followup", "q_complaint", "q_question"]
+    wide = edges(spark, d, features=cues, texts=False, source=["a_vague"], target=asked)
+    return wide.select(
+        "edge_id", F.col("a_vague").alias("vague"), *[F.col(f"Q2_{c}").alias(c[2:]) for c in asked]
     )
 
 
 @query
 def char_jaccard(spark, d):
-    block = block_size(spark, d)
-    base = errors.record_seen(candidates.record_chars(records(spark, d, block)))
-    wide = candidates.candidate_edges(base, 5, block, ["q_chars", "a_seen"], ["q_chars", "q_seen"], texts=False)
+    sets = candidates.CHARS | errors.SEEN
+    wide = edges(spark, d, features=sets, texts=False, source=["q_chars", "a_seen"], target=["q_chars", "q_seen"])
     return wide.select(
         "edge_id",
         r6(tx.set_jaccard(F.col("q_chars"), F.col("Q2_q_chars")), "word_chars"),
@@ -272,7 +275,8 @@ def _featured(spark, d):
         spark, d,
         source=channels.SOURCE_FEATURES,
         target=channels.TARGET_FEATURES,
-        prepare=lambda r: channels.record_features(r, LEX),
+        texts=False,
+        features=channels.turn_features(LEX),
     ).withColumn("stage1_semantic_prob", F.col("stage1_prob"))
 
 
@@ -676,7 +680,7 @@ def _manifest(spark, d):
 
 @query
 def split_manifest(spark, d):
-    assigned = splits.assign_split(edges(spark, d).select("edge_id", "session_id"), _manifest(spark, d))
+    assigned = splits.assign_split(edges(spark, d, texts=False).select("edge_id", "session_id"), _manifest(spark, d))
     return splits.split_manifest(assigned)
 
 
@@ -693,13 +697,13 @@ def manifest_report(spark, d):
 @query
 def manifest_gaps(spark, d):
     """Sessions without any candidate edge, and the other way round."""
-    return splits.coverage_gaps(edges(spark, d).select("session_id"), _manifest(spark, d).select("session_id"))
+    return splits.coverage_gaps(edges(spark, d, texts=False).select("session_id"), _manifest(spark, d).select("session_id"))
 
 
 @query
 def split_overlap(spark, d):
     """Sessions in two splits, with an edge-wise split that leaks on purpose."""
-    leaky = edges(spark, d).select("session_id", split_of(F.col("session_id") + F.col("Q2_row")).alias("split"))
+    leaky = edges(spark, d, texts=False).select("session_id", split_of(F.col("session_id") + F.col("Q2_row")).alias("split"))
     return splits.overlapping_sessions(leaky)
 
 
@@ -716,7 +720,7 @@ def graph_align(spark, d):
 
 @query
 def label_columns(spark, d):
-    source = edges(spark, d).withColumns(
+    source = edges(spark, d, texts=False).withColumns(
         {
             "dependent": F.when(F.col("distance") == 1, "Yes").otherwise("No"),
             "relation_type": F.when(F.col("Q2_row") % 2 == 0, "Clarification").otherwise("Complaint"),
@@ -954,7 +958,7 @@ def label_responses(spark, d):
         .when(kind % 5 == 3, F.lit('{"dependent":"Maybe","dependency_type":"a","relation_type":"b","reason":"m"}'))
         .otherwise(F.lit("no object here"))
     )
-    work = edges(spark, d).select("edge_id", response.alias("response"))
+    work = edges(spark, d, texts=False).select("edge_id", response.alias("response"))
     work = work.withColumn("_p", labeling.parse_response(F.col("response")))
     rules = labeling.normalize_labels(F.col("_p"), F.col("response"))
     return work.select("edge_id", *[v.alias(k) for k, v in rules.items()])

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import Lexicon
 from ..functions.text import term_overlap
-from ..operators.candidates import candidate_edges, choose_block, records_from_turns
-from ..operators.topicshift import record_terms
+from ..operators.candidates import Features, candidate_edges, choose_block, records_from_turns
+from ..operators.topicshift import record_terms, term_features
 
 THRESHOLD, TOP_K = 0.2, 3
 LAMBDA_0, LAMBDA_T = 0.2, 0.15
@@ -75,13 +75,19 @@ def block_size(spark: SparkSession, sf_dir: str) -> int | None:
     return choose_block(table(spark, sf_dir, "conversations"), "conv_id")
 
 
-def records(spark: SparkSession, sf_dir: str, block: int | None = None) -> DataFrame:
-    return records_from_turns(table(spark, sf_dir, "conversations"), block=block)
+def records(
+    spark: SparkSession, sf_dir: str, block: int | None = None, features: Features | None = None, texts: bool = True
+) -> DataFrame:
+    return records_from_turns(table(spark, sf_dir, "conversations"), block=block, features=features, texts=texts)
 
 
-def edges(spark: SparkSession, sf_dir: str, window: int = 5) -> DataFrame:
+def edges(
+    spark: SparkSession, sf_dir: str, window: int = 5, features: Features | None = None, texts: bool = True,
+    source=(), target=(),
+) -> DataFrame:
+    """Candidate edges; ``source`` and ``target`` name record columns made by ``features``."""
     block = block_size(spark, sf_dir)
-    return candidate_edges(records(spark, sf_dir, block), window, block)
+    return candidate_edges(records(spark, sf_dir, block, features, texts), window, block, source, target, texts)
 
 
 def edge_label() -> Column:
@@ -94,15 +100,20 @@ def split_of(session: Column) -> Column:
 
 
 def scored_edges(
-    spark: SparkSession, sf_dir: str, source=(), target=(), prepare=None, texts: bool = True
+    spark: SparkSession, sf_dir: str, source=(), target=(), prepare=None, texts: bool = True,
+    features: Features | None = None,
 ) -> DataFrame:
     """Edges with term overlap as score, the declared label and the split.
 
-    Term sets are built once per record; ``prepare`` may add further record
-    columns, which ``source``/``target`` then carry.
+    Where nothing downstream reads texts, term sets (and ``features``) are built
+    per turn and shuffled in their place; else once per record after the
+    shuffle.  ``prepare`` sees texts and may add record columns, which
+    ``source``/``target`` then carry.
     """
     block = block_size(spark, sf_dir)
-    base = record_terms(records(spark, sf_dir, block), TABLE_LEXICON)
+    whole = texts or prepare is not None
+    found = dict(features or {}) if whole else term_features(TABLE_LEXICON) | dict(features or {})
+    base = record_terms(records(spark, sf_dir, block, found, whole), TABLE_LEXICON)
     if prepare is not None:
         base = prepare(base)
     wide = candidate_edges(
