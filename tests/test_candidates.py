@@ -87,7 +87,7 @@ def test_sliced_sums_equal_one_window(spark):
     rows = [("hot" if rng.random() < 0.8 else "cold", rng.random() * 1.2 - 0.1, rng.randint(0, 4)) for _ in range(400)]
     df = spark.createDataFrame(rows, "g string, s double, v int").dropDuplicates(["g", "s"])
     got = None
-    for cut in (unit_slice(F.col("s"), 16), boundary_slice(F.col("s"), [0.1, 0.11, 0.9]), F.lit(0).cast("long")):
+    for cut in (unit_slice(F.col("s"), 16), unit_slice(F.col("s") * 40 - 9, 4), boundary_slice(F.col("s"), [0.1, 0.11, 0.9]), F.lit(0).cast("long")):
         out = sliced_running_sum(df, ["g"], cut, [F.col("s").desc()], {"c": F.col("v")}, descending=True)
         now = sorted((r["g"], r["s"], r["c"]) for r in out.collect())
         assert got is None or now == got

@@ -116,8 +116,8 @@ def test_embedding_table_is_keyed_by_content(spark):
     assert table.count() == 2
     fail = lambda texts: 1 / 0
     again = encoding.encode_texts(df, fail, known=table)
-    for limit in (10, 1):
-        out = encoding.attach(df, again, "text", broadcast_rows=limit).orderBy("edge_id").collect()
+    for salts in (0, 4):
+        out = encoding.attach(df, again, "text", salts=salts).orderBy("edge_id").collect()
         assert [list(r["embedding"]) for r in out] == [[2.0, 2.0], [1.0, 0.0], [2.0, 2.0]]
     pairs_ = encoding.encode_pairs(df.withColumn("b", F.lit("z")), lambda a, b: encoder(a), "text", "b")
     assert encoding.attach(df.withColumn("b", F.lit("z")), pairs_, "text", "b").where("embedding is null").isEmpty()

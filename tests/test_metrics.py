@@ -142,11 +142,15 @@ def test_seeded_bootstrap_replays_numpy(spark):
     assert abs(got["F1"]["BootstrapMean"] - np.mean(f1)) < 1e-12
     assert abs(got["F1"]["CI_Lower"] - np.quantile(f1, 0.025)) < 1e-12
     assert abs(got["AUC"]["CI_Upper"] - np.quantile(auc, 0.975)) < 1e-12
-    # the salted join beyond the broadcast limit gives the same draws
+    # the salted join, without adaptive execution, gives the same draws
     a = bootstrap.draw_ranking(df, sessions, draws, "edge_label", "score")
-    b = bootstrap.draw_ranking(df, sessions, draws, "edge_label", "score", max_broadcast=1)
-    rows_of = lambda t: sorted((r["draw"], round(r["AUC"], 12)) for r in t.collect())
-    assert rows_of(a) == rows_of(b)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        b = bootstrap.draw_ranking(df, sessions, draws, "edge_label", "score").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    rows_of = lambda t: sorted((r["draw"], round(r["AUC"], 12)) for r in t)
+    assert rows_of(a.collect()) == rows_of(b)
 
 
 def test_hashed_draws_and_hash_index(spark):

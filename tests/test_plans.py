@@ -147,7 +147,7 @@ def test_salted_lookup_equals_broadcast(spark):
     left = spark.range(500).withColumn("k", F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 7))
     right = spark.range(7).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     a = lookup_join(left, right, ["k"], F.col("id"))
-    b = lookup_join(left, right, ["k"], F.col("id"), broadcast_rows=2, salts=8)
+    b = lookup_join(left, right, ["k"], F.col("id"), salts=8)
     assert a.select("id", "v").exceptAll(b.select("id", "v")).isEmpty() and b.count() == 500
 
 

@@ -71,7 +71,9 @@ def hashed_draws(
     """The same shape from integer arithmetic, generated where it is used.
 
     Pick k of draw d is a mixed function of (d, k, seed) modulo the session
-    count, so any task can make its share and any engine can replay it.
+    count, so any task can make its share and any engine can replay it.  Each
+    pick is a row of weight 1: sums over rows need no session counted up first,
+    so sessions times draws are not shuffled by session and draw.
     """
     count = sessions.agg(F.count(F.lit(1)).alias("n"))
     # sessions carry 0..n-1, which serve as the pick numbers of every draw
@@ -84,11 +86,7 @@ def hashed_draws(
     mixed = (mixed * 48271) % m
     mixed = (mixed * mixed + F.col("draw")) % m
     mixed = (mixed * 16807 + F.col("k")) % m
-    return (
-        picks.select("draw", (mixed % F.col("n")).alias("session_idx"))
-        .groupBy("draw", "session_idx")
-        .agg(F.count(F.lit(1)).alias("weight"))
-    )
+    return picks.select("draw", (mixed % F.col("n")).alias("session_idx"), F.lit(1).cast("long").alias("weight"))
 
 
 def session_counts(
@@ -132,7 +130,6 @@ def draw_ranking(
     draws: DataFrame,
     label: str,
     score: str,
-    max_broadcast: int = 1_000_000,
 ) -> DataFrame:
     """AUC and AP of each draw, from weighted score histograms.
 
@@ -142,7 +139,7 @@ def draw_ranking(
     packed = draws.groupBy("session_idx").agg(F.collect_list(F.struct("draw", "weight")).alias("w"))
     packed = packed.join(sessions, "session_idx").select("session_id", "w")
     hist = score_histogram(edges, label, score, ["session_id"])
-    weighted = lookup_join(hist, packed, ["session_id"], F.col("score"), "inner", max_broadcast)
+    weighted = lookup_join(hist, packed, ["session_id"], F.col("score"), "inner")
     per_draw = (
         weighted.select("score", "pos", "neg", F.inline("w"))
         .groupBy("draw", "score")

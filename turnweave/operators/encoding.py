@@ -71,7 +71,7 @@ def encode_pairs(
 
 def attach(
     df: DataFrame, table: DataFrame, *columns: str,
-    name: str = "embedding", spread: str = "edge_id", broadcast_rows: int = 50_000,
+    name: str = "embedding", spread: str = "edge_id", salts: int = 0,
 ) -> DataFrame:
     """Add the embedding of the text (or text pair) in ``columns``.
 
@@ -80,4 +80,4 @@ def attach(
     """
     renamed = table.select("text_sha", F.col("embedding").alias(name))
     keyed = df.withColumn("text_sha", text_key(*[F.col(c) for c in columns]))
-    return lookup_join(keyed, renamed, ["text_sha"], F.col(spread), "left", broadcast_rows).drop("text_sha")
+    return lookup_join(keyed, renamed, ["text_sha"], F.col(spread), "left", salts).drop("text_sha")

@@ -73,8 +73,9 @@ def running_counts(
 ) -> DataFrame:
     """Add ``cum_pos``/``cum_neg``: rows scoring at least this score.
 
-    Slices default to equal score widths; pass ``boundaries`` (see
-    ``score_boundaries``) when scores crowd together.  The result is the same.
+    Slices default to equal widths up to 1 and equal ratios beyond; pass
+    ``boundaries`` (see ``score_boundaries``) when scores crowd together.  The
+    result is the same.
     """
     cut = unit_slice(F.col("score"), slices) if boundaries is None else boundary_slice(F.col("score"), boundaries)
     return sliced_running_sum(
@@ -129,6 +130,7 @@ def evaluate(
     pred: str = "pred",
     score: str = "score",
     by: Sequence[str] = (),
+    **options,
 ) -> DataFrame:
     """Confusion record with ``auc`` and ``ap`` attached.
 
@@ -153,7 +155,7 @@ def evaluate(
         )
     )
     histogram = cells.groupBy(*by, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    ranks = ranking_from_counts(running_counts(histogram, by), by).drop("total", "true_edges")
+    ranks = ranking_from_counts(running_counts(histogram, by, **options), by).drop("total", "true_edges")
     return group_join(counts, ranks, by)
 
 

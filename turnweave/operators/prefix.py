@@ -88,8 +88,14 @@ def integer_slice(key: Column, width: int) -> Column:
 
 
 def unit_slice(score: Column, slices: int = 1024) -> Column:
-    """Order-preserving slices of a score; equal width on [0, 1], ends open."""
-    return F.floor(F.greatest(F.least(score, F.lit(2.0)), F.lit(-1.0)) * F.lit(float(slices))).cast("long")
+    """Order-preserving slices of a score: equal width on [-1, 1], equal ratio beyond.
+
+    A doubling of the score gets ``slices`` slices too, so unbounded scores
+    (BM25, logits) spread like probabilities do.
+    """
+    size = F.least(F.abs(score), F.lit(1e300))
+    steps = F.when(size <= 1.0, size).otherwise(F.log2(size) + 1.0) * F.lit(float(slices))
+    return F.floor(F.when(score < 0, -steps).otherwise(steps)).cast("long")
 
 
 def boundary_slice(score: Column, boundaries: Sequence[float]) -> Column:

@@ -70,9 +70,9 @@ def split_counts(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("split").agg(F.count_distinct("session_id").alias("sessions"))
 
 
-def assign_split(edges: DataFrame, manifest: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+def assign_split(edges: DataFrame, manifest: DataFrame, salts: int = 0) -> DataFrame:
     """Attach ``split``; a session with very many rows is dealt over salts."""
-    return lookup_join(edges, manifest, ["session_id"], F.col("edge_id"), "left", broadcast_rows)
+    return lookup_join(edges, manifest, ["session_id"], F.col("edge_id"), "left", salts)
 
 
 def coverage_gaps(edges: DataFrame, manifest: DataFrame) -> DataFrame:

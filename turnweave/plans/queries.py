@@ -54,7 +54,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 GRID_0 = recovery.LAMBDA0_GRID
 GRID_T = recovery.LAMBDAT_GRID
-DRAWS = 100
+DRAWS = bootstrap.DRAWS
 
 
 def query(fn: Query) -> Query:

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: copies of a lookup where adaptive execution cannot split hot keys
+DEFAULT_SALTS = 64
+
+
 def local_session(app: str = "turnweave", cores: str = "*", **conf: str) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
     builder = (
@@ -35,40 +39,41 @@ def local_session(app: str = "turnweave", cores: str = "*", **conf: str) -> Spar
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage through the reliable checkpoint folder of the cluster.
 
-    The folder is the one named in ``spark.checkpoint.dir``; only where that is
-    unset (tests, a laptop) does this choose one.
+    The folder is the one named in ``spark.checkpoint.dir``.  Only a local session
+    without that setting (tests, a laptop) gets a temporary one; on a cluster
+    executors would write to disks that nobody else can read.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="turnweave-ckpt-"))
     return df.checkpoint(eager=True)
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows, reading no more than needed."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
     spread: Column,
     how: str = "left",
-    broadcast_rows: int = 1_000_000,
-    salts: int = 64,
+    salts: int = 0,
 ) -> DataFrame:
     """Many-to-one join that survives hot keys on the many side.
 
-    ``right`` is broadcast when its row count is proven small; otherwise it is
-    copied once per salt, and ``spread`` (any expression that varies inside a
-    key) deals the rows of a hot key over the copies.  ``right`` must be unique
-    on ``on``.  Both ways give the same rows.
+    Adaptive execution decides by measured bytes: a small ``right`` is sent to
+    every executor, and of a large join the partitions with hot keys are split.
+    No job runs while the query is built.  Where adaptive execution is off, or
+    ``salts`` are asked for, ``right`` is copied once per salt and ``spread``
+    (any expression that varies inside a key) deals the rows of a key over the
+    copies.  ``right`` must be unique on ``on``.  All ways give the same rows.
     """
-    if fits(right, broadcast_rows):
-        return left.join(F.broadcast(right), list(on), how)
+    adaptive = left.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
+    if adaptive and not salts:
+        return left.join(right, list(on), how)
+    salts = salts or DEFAULT_SALTS
     salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     return dealt.join(salted, [*on, "_salt"], how).drop("_salt")
