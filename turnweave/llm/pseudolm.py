@@ -103,7 +103,9 @@ class Vocabulary(dict):
 def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     """The commonest words, in code-point order among equals, and the count of each entry."""
     named = VOCABULARY - SHARED
-    top = counts.orderBy(F.desc("n"), "word").limit(named).collect()  # a fixed number of rows
+    # collecting the limit itself would send as many rows from every partition to the driver
+    best = counts.orderBy(F.desc("n"), "word").limit(named).agg(F.collect_list(F.struct("n", "word")).alias("top")).first()["top"]
+    top = sorted(best, key=lambda r: (-r["n"], bytes(r["word"])))  # a fixed number of rows
     known = Vocabulary((bytes(r["word"]), i) for i, r in enumerate(top))
     total = counts.agg(F.sum("n")).first()[0] or 0
     n = np.zeros(VOCABULARY)
