@@ -96,6 +96,23 @@ def test_large_bucket_meets_in_blocks(spark):
     assert [r.component_id for r in found.orderBy("doc_id").collect()] == label
 
 
+def test_similarities_beyond_the_bands_are_refused(spark):
+    for percent in (79, 101):
+        with pytest.raises(ValueError):
+            neardup.near_duplicates(empty(spark), percent=percent)
+
+
+def test_vocabulary_takes_the_commonest_words(spark):
+    texts = ["b a", "B c a", None, "", " ".join(f"w{i}" for i in range(1_500))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known, n = pseudolm.vocabulary(pseudolm.word_counts(docs))
+    named = pseudolm.VOCABULARY - pseudolm.SHARED
+    count = Counter(w for t in texts if t for w in t.lower().split())
+    want = sorted(count, key=lambda w: (-count[w], w))[:named]
+    assert [known[w.encode()] for w in want] == list(range(named))
+    assert n[:named].tolist() == [count[w] for w in want] and n.sum() == sum(count.values())
+
+
 def test_registers_estimate_jaccard():
     rng = np.random.default_rng(0)
     for n, shared in ((40, 30), (400, 300), (5000, 4000)):

@@ -331,8 +331,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = roun
     Nulls, empty texts and texts of white space have no shingles: they link with
     nothing and keep their own id.  Rows without doc_id take part; they are kept
     only if nothing reachable has an id.  Repeated rows all stay, with one answer.
-    An empty table gives an empty result; other columns are ignored.
+    An empty table gives an empty result; other columns are ignored.  Bands and
+    estimates are laid out for similarities of 0.8 and more: a lower ``percent``
+    would lose links and raises.
     """
+    if not round(100 * SIMILARITY) <= percent <= 100:
+        raise ValueError(f"percent must lie between {round(100 * SIMILARITY)} and 100")
     spark = docs.sparkSession
     ship(spark)
     space = Workspace(spark)
