@@ -156,6 +156,19 @@ def test_decontamination(spark, docs, texts):
     assert decontam.contaminated_words(empty(spark), bench).count() == 0
 
 
+def test_decontamination_by_items_of_every_length(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefghijklmnop") + str(rng.randint(0, 9)) for _ in range(60)) for _ in range(24)]
+    # items of 1 to 12 words: inside, at the start, at the end of a text, and alone with a long item of the same words
+    items = [(n, " ".join(texts[n].split()[at : at + n])) for n in range(1, 13) for at in (0, 20, 60 - n)]
+    items += [(100, " ".join(texts[20].split()[:5])), (101, " ".join(texts[20].split()[:30])), (102, " ".join(texts[21].split()[:5])), (102, texts[5])]
+    docs = [*enumerate(texts), (30, " ".join(texts[5].split()[:5])), (31, " ".join(texts[5].split()[:4])), (32, None)]
+    docs_df = spark.createDataFrame(docs, "doc_id long, text string")
+    for some in (items, [i for i in items if i[0] == 5]):
+        found = decontam.contaminated_words(docs_df, spark.createDataFrame(some, "item_id long, text string"))
+        assert Counter(tuple(r) for r in found.collect()) == brute_contamination(docs, some)
+
+
 def test_shards_are_even_and_slots_gapless(spark):
     rows = [(i, f"text {i % 900} " + "y" * (i * 37 % 500)) for i in range(4000)] + [(10_000 + i, "hot " * 50) for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("size", F.octet_length("text") + 16)

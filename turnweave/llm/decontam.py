@@ -53,7 +53,8 @@ def benchmark_fingerprints(benchmark: DataFrame, window: int = WINDOW, k: int =
     """(fp, width, item_id, ctx): fingerprints of an item and the words around each.
 
     ``width`` is k for items of at least ``window`` words; shorter items are one
-    window and have the hash of all their words, with their number as width.
+    window and have the hash of all their words, with minus their number as width,
+    so that whole items of k words are told from winnowed grams.
     ``ctx`` holds ``window - k`` places to either side, null beyond the ends.
     """
     side = window - k
@@ -67,7 +68,7 @@ def benchmark_fingerprints(benchmark: DataFrame, window: int = WINDOW, k: int =
     parts = [long]
     for n in range(1, window):
         some = items.where(F.size("w") == n).withColumn("g", _grams("h", n))
-        parts.append(some.select(F.get("g", F.lit(0)).alias("fp"), F.lit(n).alias("width"), "item_id", F.col("w").alias("ctx")))
+        parts.append(some.select(F.get("g", F.lit(0)).alias("fp"), F.lit(-n).alias("width"), "item_id", F.col("w").alias("ctx")))
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
@@ -103,15 +104,18 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     side = window - k
     seeds = []
     for width, cell in sorted(maps.items()):
-        grams = f"g{width}"
-        base = base.withColumn(grams, _grams("h", width))
+        whole, n = width < 0, abs(width)
+        grams = f"g{n}"
+        if grams not in base.columns:  # items of k words and winnowed grams have the same hashes
+            base = base.withColumn(grams, _grams("h", n))
         bitmap = ",".join(str(cell.get(i, 0)) for i in range(BITMAP_LONGS))
-        base = base.withColumn(f"bits{width}", F.split(F.lit(bitmap), ",").cast("array<bigint>"))
+        bits_of = f"bits{n}{'w' if whole else ''}"
+        base = base.withColumn(bits_of, F.split(F.lit(bitmap), ",").cast("array<bigint>"))
         at = f"pmod(get({grams}, i), {bits})"
-        hit = f"getbit(get(bits{width}, cast({at} div 64 as int)), cast({at} % 64 as int)) = 1"
-        if width == k:
+        hit = f"getbit(get({bits_of}, cast({at} div 64 as int)), cast({at} % 64 as int)) = 1"
+        if not whole:
             hit += f" and {_selected(grams, window, k)}"
-        before, after = (side, window - 1) if width == k else (0, width - 1)
+        before, after = (0, n - 1) if whole else (side, window - 1)
         seeds.append(
             f"transform(filter(sequence(0, size({grams}) - 1), i -> size({grams}) > 0 and {hit}), i -> "
             f"struct(get({grams}, i) as fp, {width} as width, i as p, "
@@ -138,10 +142,10 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     grown = met.withColumn("l", F.expr(f"if(item_width = {k} and {core}, {left}, 0)")).withColumn(
         "r", F.expr(f"if(item_width = {k} and {core}, {right}, 0)")
     )
-    short = f"size(ctx) = item_width and item_width < {window} and around = ctx"
-    long = f"item_width = {k} and size(ctx) = {window + side} and {core} and l + r + {k} >= {window}"
+    short = "item_width < 0 and around = ctx"
+    long = f"item_width = {k} and {core} and l + r + {k} >= {window}"
     span = F.expr(
-        f"case when {long} then struct(p - l as s, p + {k} + r as e) when {short} then struct(p as s, p + item_width as e) end"
+        f"case when {long} then struct(p - l as s, p + {k} + r as e) when {short} then struct(p as s, p - item_width as e) end"
     )
     grown = grown.withColumn("span", span)
     gathered = grown.groupBy("uid", *names.values(), "n_words").agg(
