@@ -24,12 +24,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id.
 
-    Rows that repeat doc_id and text stay once; documents without doc_id stay if
-    nothing in their group has one.
+    A missing doc_id comes last; documents of equal doc_id are told apart by their
+    text.  Rows that repeat doc_id and text stay once.
     """
-    found = neardup.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    found = neardup.near_duplicates(docs.select("doc_id", "text"), by_row=True)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("content").alias("gone_content")).distinct()
+    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (neardup.content() == gone["gone_content"])
+    left = docs.join(gone, same, "left_anti")
     copy = F.expr("row_number() over (partition by doc_id, xxhash64(text) order by text)")
     # a missing doc_id says nothing about sameness, but an equal text does
     return left.withColumn("_copy", copy).where("_copy = 1").select(docs.columns)

@@ -376,3 +376,39 @@ def test_pipeline_stages(spark):
         ids = {r.doc_id for r in docs.select("doc_id").collect()}
     last = pipeline.STAGES[4][1](spark, docs, folder).collect()
     assert len(last) == docs.count() and {r.shard for r in last} <= set(range(40))
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark, texts, monkeypatch, tmp_path):
+    """Null and repeated ids: every group keeps its first row, unique texts all stay; run() against brute force."""
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(8)
+    fresh = lambda: " ".join(f"w{rng.randrange(10_000)}" for _ in range(80))
+    near = lambda t, n: [t + f" end{i}" for i in range(n)]
+    rows = [(1, fresh()), (2, fresh()), (None, fresh()), (None, fresh()), (7, fresh()), (7, fresh()), (None, None), (None, ""), (9, "")]
+    rows += [(None, near(rows[0][1], 1)[0])]  # near a row with an id
+    rows += [(7, near(rows[1][1], 1)[0])]  # a repeated id, of which one text is a near copy
+    rows += [(None, t) for t in near(fresh(), 3)]  # a group without ids
+    rows += [(4, t) for t in near(fresh(), 3)] + [(3, "A b c d e f"), (5, "a B c d e f")]
+    rows += rows[:3] + rows[-4:]
+    sets = [shingles(t, 5) for _, t in rows]
+    label = list(range(len(rows)))
+    for _ in rows:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                    label[i] = min(label[i], label[j])
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    hashed = {r.text: r.h for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    groups = defaultdict(list)
+    for (d, t), s, g in zip(rows, sets, label, strict=True):
+        groups[g if s else (d, t)].append((d is None, d or 0, hashed[t], d, t))
+    want = Counter(min(g)[3:] for g in groups.values())
+    found = pipeline.near_dup_stage(spark, docs, "")
+    assert Counter((r.doc_id, r.text) for r in found.collect()) == want
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "no such words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    # short rows are not what the quality rules or the mix are asked about here
+    whole = [s for s in pipeline.STAGES if s[0] not in ("quality_rules", "source_mixing")]
+    monkeypatch.setattr(pipeline, "STAGES", whole)
+    assert Counter((r.doc_id, r.text) for r in pipeline.run(spark, str(tmp_path)).collect()) == want

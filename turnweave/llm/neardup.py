@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnweave.llm.common import ASCII_LOWER, Workspace, salted_lookup, ship, utf8
@@ -182,7 +182,7 @@ def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, nodes, keys = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 found = shingle_set(text, size)
                 counts.append(len(found))
                 nodes.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
@@ -190,9 +190,9 @@ def _sketch(size: int):
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()),
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["doc_id", "n_shingles", "node", "keys"],
+                names=["doc_id", "content", "n_shingles", "node", "keys"],
             )
 
     return run
@@ -320,7 +320,12 @@ def components(space: Workspace, links: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = round(100 * SIMILARITY)) -> DataFrame:
+def content(text: str = "text") -> Column:
+    """Hash of a text's bytes; null counts as empty."""
+    return F.xxhash64(utf8(text))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = round(100 * SIMILARITY), by_row: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs`` (doc_id, text).
 
     Words are runs of anything but ASCII white space, A-Z lower-cased.  Rows with
@@ -331,6 +336,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = roun
     Nulls, empty texts and texts of white space have no shingles: they link with
     nothing and keep their own id.  Rows without doc_id take part; they are kept
     only if nothing reachable has an id.  Repeated rows all stay, with one answer.
+    With ``by_row`` there is also ``content``, the hash of the row's text, and of a
+    group only the row with the smallest doc_id (null last) and then the smallest
+    content is kept, whatever ids are null or repeated; rows without shingles all are.
     An empty table gives an empty result; other columns are ignored.  Bands and
     estimates are laid out for similarities of 0.8 and more: a lower ``percent``
     would lose links and raises.
@@ -340,21 +348,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = roun
     spark = docs.sparkSession
     ship(spark)
     space = Workspace(spark)
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), utf8().alias("text"))
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), content().alias("content"), utf8().alias("text"))
     rows = space.save(
-        "rows", base.mapInArrow(_sketch(shingle), "doc_id bigint, n_shingles bigint, node binary, keys array<bigint>")
+        "rows", base.mapInArrow(_sketch(shingle), "doc_id bigint, content bigint, n_shingles bigint, node binary, keys array<bigint>")
     )
 
-    # one row per class, numbered in the order of its smallest doc_id
-    least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    # one row per class, numbered in the order of its first row
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_rep"), F.col("doc_id").alias("rep"), F.col("content").alias("rep_content")))
+    least = rows.where("node is not null").groupBy("node").agg(first.alias("first")).select("node", "first.*")
     keyed = rows.where("node is not null").select("node", "keys").dropDuplicates(["node"])
     numbered = (
         least.join(keyed, "node")
-        .withColumn("no_rep", F.col("rep").isNull())
-        .repartitionByRange("no_rep", "rep", "node")
-        .sortWithinPartitions("no_rep", "rep", "node")
+        .repartitionByRange("no_rep", "rep", "rep_content", "node")
+        .sortWithinPartitions("no_rep", "rep", "rep_content", "node")
     )
-    classes = space.save("classes", numbered.select(F.monotonically_increasing_id().alias("nid"), "node", "rep", "keys"))
+    classes = space.save("classes", numbered.select(F.monotonically_increasing_id().alias("nid"), "node", "rep", "rep_content", "keys"))
 
     # buckets of two and more classes
     banded = classes.select("nid", F.explode("keys").alias("key"))
@@ -372,17 +380,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = roun
     )
     pairs = space.save("pairs", listed.union(stars).distinct())
 
-    # full sets of the classes that share a bucket, read again from their texts
-    involved = members.select("nid").distinct().join(classes.select("nid", "node", "rep"), "nid")
+    # full sets of the classes that share a bucket, read again from the text of their first row
+    involved = members.select("nid").distinct().join(classes.select("nid", "node", "rep", "rep_content"), "nid")
     involved = space.save("involved", involved)
-    place = F.xxhash64(F.coalesce("doc_id", F.lit(-1)))
-    # a bit per hashed doc_id, of fixed size: it lets few other texts into the shuffle
-    bits = involved.select(F.xxhash64(F.coalesce("rep", F.lit(-1))).alias("h"))
+    place = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "content")
+    # a bit per hashed doc_id and content, of fixed size: it lets few other texts into the shuffle
+    bits = involved.select(F.xxhash64(F.coalesce("rep", F.lit(-1)), "rep_content").alias("h"))
     bits = bits.select(F.pmod(F.shiftright("h", 6), F.lit(FILTER_CELLS)).alias("cell"), F.pmod("h", F.lit(64)).cast("int").alias("bit"))
     cells = bits.groupBy("cell").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
     some = base.withColumn("h", place).withColumn("cell", F.pmod(F.shiftright("h", 6), F.lit(FILTER_CELLS)))
-    some = some.join(F.broadcast(cells), "cell").where("getbit(bits, cast(pmod(h, 64) as int)) = 1").select("doc_id", "text")
-    texts = some.join(involved, some["doc_id"].eqNullSafe(involved["rep"])).select("nid", "node", "text")
+    some = some.join(F.broadcast(cells), "cell").where("getbit(bits, cast(pmod(h, 64) as int)) = 1").select("doc_id", "content", "text")
+    first_row = some["doc_id"].eqNullSafe(involved["rep"]) & (some["content"] == involved["rep_content"])
+    texts = some.join(involved, first_row).select("nid", "node", "text")
     sets = texts.mapInArrow(_full_sets(shingle), "nid bigint, n bigint, regs binary, hashes binary, bands binary")
     sets = space.save("sets", sets.dropDuplicates(["nid"]))
 
@@ -408,11 +417,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = roun
     if not more.isEmpty():
         labels = components(space, links.union(more), "second")
 
-    # back to rows: class -> label -> smallest doc_id of the label
-    reps = classes.select(F.col("nid").alias("label"), F.col("rep").alias("component_id"))
-    moved = salted_lookup(labels, reps, ["label"], F.col("nid"), "inner", 8).select("nid", "component_id")
-    final = classes.select("nid", "node", "rep").join(moved, "nid", "left")
-    answer = final.select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    named = salted_lookup(rows.select("doc_id", "n_shingles", "node"), answer, ["node"], F.coalesce("doc_id", F.lit(-1)), "left")
-    found = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return named.select("doc_id", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
+    # back to rows: class -> label -> first row of the label
+    reps = classes.select(F.col("nid").alias("label"), F.col("rep").alias("component_id"), F.col("rep_content").alias("component_content"))
+    moved = salted_lookup(labels, reps, ["label"], F.col("nid"), "inner", 8).select("nid", "component_id", "component_content", F.lit(True).alias("linked"))
+    final = classes.select("nid", "node", "rep", "rep_content").join(moved, "nid", "left")
+    own = F.col("linked").isNull()
+    answer = final.select(
+        "node",
+        F.when(own, F.col("rep")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(own, F.col("rep_content")).otherwise(F.col("component_content")).alias("component_content"),
+    )
+    named = salted_lookup(rows.select("doc_id", "content", "n_shingles", "node"), answer, ["node"], F.coalesce("doc_id", F.lit(-1)), "left")
+    alone = F.col("node").isNull()
+    found = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
+    kept = F.col("doc_id").eqNullSafe(found)
+    if by_row:
+        kept = kept & (alone | (F.col("content") == F.col("component_content")))
+    given = named.select("doc_id", "content", "n_shingles", found.alias("component_id"), kept.alias("kept"))
+    return given if by_row else given.drop("content")
