@@ -315,6 +315,29 @@ def test_pseudo_likelihood(spark, docs):
     assert pseudolm.pseudo_likelihood(empty(spark), pseudolm.train(empty(spark))).count() == 0
 
 
+def test_rare_words_share_an_entry_by_their_counts(spark):
+    import zlib
+
+    named, shared = pseudolm.VOCABULARY - pseudolm.SHARED, pseudolm.SHARED
+    common = [f"c{i}" for i in range(named)]
+    rare = [f"r{i}" for i in range(200)]
+    texts = [" ".join(common * 5)] + [" ".join(rare[: 200 // (i + 1)]) for i in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    network = pseudolm.train(docs, rounds=1)
+    count = Counter(w for t in texts[1:] for w in t.split())
+    whole = Counter()
+    for w, n in count.items():
+        whole[zlib.crc32(w.encode()) % shared] += n
+    asked = ["c1 r0 c2", "c1 r199 r199 c2", "c1 gibberish c2", "c1 c2", "", None]
+    rows = spark.createDataFrame([(i, t, t) for i, t in enumerate(asked)], "uid long, rare string, text string")
+    found = {r.uid: r for r in pseudolm.pseudo_likelihood(rows, network).collect()}
+    assert [found[i].rare for i in range(6)] == asked
+    _, plain = pseudolm.score_texts([(t or "").encode() for t in asked], network)
+    for i, t in enumerate(asked):
+        shares = [np.log(count.get(w, 1) / (whole[zlib.crc32(w.encode()) % shared] + 1)) for w in (t or "").split() if w[0] in "rg"]
+        assert found[i].log_prob == pytest.approx(plain[i] + sum(shares), abs=1e-6)
+
+
 def test_archives_round_trip(spark):
     big = "<html>" + "ü" * 200
     rows = [(5, "http://a/ b\n", big), (2, "http://b", big), (2, "http://b", big), (9, None, big), (None, "http://c", big), (1, "u", "short"),

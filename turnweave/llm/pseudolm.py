@@ -2,7 +2,9 @@
 
 A word is predicted from two words on either side: the embeddings of the four
 places are added, squashed, and give the class of the word and then the word
-within its class.  Word counts over the whole corpus choose the vocabulary.
+within its class.  Word counts over the whole corpus choose the vocabulary.  Words
+beyond the commonest share entries by hash; the probability of a shared entry is
+divided among its words by their counts, which stay a distributed table.
 Training is local: in each round every partition starts from the same parameters
 and trains on its own words, and the average of what they learned, weighted by
 words, starts the next round.  A text's score is the sum of the log-probabilities
@@ -18,16 +20,17 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.llm.common import ASCII_LOWER, ship, utf8
+from turnweave.llm.common import ASCII_LOWER, Workspace, ship, utf8
 
 CLASSES = 32
 PER_CLASS = 32
 VOCABULARY = CLASSES * PER_CLASS
 #: entries at the end of the vocabulary shared by all other words, by hash
 SHARED = 32
+NAMED = VOCABULARY - SHARED
 OFFSETS = (-2, -1, 1, 2)
 WIDTH = 16
 EDGE = VOCABULARY  # stands beyond both ends of a text
@@ -94,7 +97,7 @@ class Vocabulary(dict):
     """Word to entry; words outside share the last entries by their hash, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        entry = VOCABULARY - SHARED + zlib.crc32(word) % SHARED
+        entry = NAMED + zlib.crc32(word) % SHARED
         if len(self) < 300_000:
             self[word] = entry
         return entry
@@ -102,18 +105,42 @@ class Vocabulary(dict):
 
 def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     """The commonest words, in code-point order among equals, and the count of each entry."""
-    named = VOCABULARY - SHARED
     # collecting the limit itself would send as many rows from every partition to the driver
-    best = counts.orderBy(F.desc("n"), "word").limit(named).agg(F.collect_list(F.struct("n", "word")).alias("top")).first()["top"]
+    best = counts.orderBy(F.desc("n"), "word").limit(NAMED).agg(F.collect_list(F.struct("n", "word")).alias("top")).first()["top"]
     top = sorted(best, key=lambda r: (-r["n"], bytes(r["word"])))  # a fixed number of rows
     known = Vocabulary((bytes(r["word"]), i) for i, r in enumerate(top))
-    total = counts.agg(F.sum("n")).first()[0] or 0
     n = np.zeros(VOCABULARY)
     n[: len(top)] = [r["n"] for r in top]
-    n[named:] = (total - n.sum()) / SHARED
+    for r in counts.groupBy(_shared_entry().alias("entry")).agg(F.sum("n").alias("n")).collect():  # a row per shared entry
+        n[NAMED + r["entry"]] = r["n"]
+    for r in top:
+        n[NAMED + zlib.crc32(bytes(r["word"])) % SHARED] -= r["n"]
     return known, n
 
 
+def _shared_entry() -> Column:
+    return F.pmod(F.crc32("word"), F.lit(SHARED)).cast("int")
+
+
+def add_shares(scored: DataFrame, network: Network) -> DataFrame:
+    """``log_prob`` of rows (uid, rare, log_prob, ..) plus the logs of the shares of their words in shared entries.
+
+    A word has its count over the entry's count and one; a word that was never
+    counted has what the one stands for.  No such word is more than 1/NAMED of the
+    corpus, so none makes a join key hot.
+    """
+    told = scored.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.times")
+    if network.words is not None:
+        told = told.join(network.words.select("word", "n"), "word", "left")
+    else:
+        told = told.withColumn("n", F.lit(None).cast("bigint"))
+    whole = F.array(*[F.lit(float(x)) for x in network.counts[NAMED:] + 1])
+    share = F.log(F.coalesce("n", F.lit(1)) / F.get(whole, _shared_entry()))
+    sums = told.groupBy("uid").agg(F.sum(F.col("times") * share).alias("shares"))
+    log_prob = F.col("log_prob") + F.coalesce("shares", F.lit(0.0))
+    return scored.drop("rare").join(sums, "uid", "left").withColumn("log_prob", log_prob).drop("uid", "shares")
+
+
 def windows(texts: list[bytes], known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entries of all texts with edges between, places of words in them, and words per text."""
     lengths, ids = [], [EDGE, EDGE]
@@ -218,17 +245,22 @@ def _train(flat: np.ndarray, known: Vocabulary, turn: int, batches: Iterator[pa.
 
 
 class Network:
-    """Vocabulary and parameters."""
+    """Vocabulary and parameters, the count of each entry and the table (word, n) of all words."""
 
-    def __init__(self, known: Vocabulary, flat: np.ndarray):
+    def __init__(self, known: Vocabulary, flat: np.ndarray, counts: np.ndarray | None = None, words: DataFrame | None = None):
         self.known = known
         self.flat = flat
+        self.counts = np.zeros(VOCABULARY) if counts is None else counts
+        self.words = words
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"words": None}  # the table of word counts stays out of tasks
 
 
 def train(docs: DataFrame, rounds: int = ROUNDS) -> Network:
     """Fit on all rows of ``docs``; what reaches the driver is the parameters, whatever the input."""
     ship(docs.sparkSession)
-    counts = word_counts(docs)
+    counts = Workspace(docs.sparkSession).save("words", word_counts(docs))
     known, n = vocabulary(counts)
     flat = start_values(n)
     texts = docs.select(utf8().alias("text"))
@@ -244,11 +276,11 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> Network:
         p = parts(flat)
         for name in ("places", "to_class", "to_word"):
             np.clip(p[name], -4, 4, out=p[name])
-    return Network(known, flat)
+    return Network(known, flat, n, counts)
 
 
 def score_texts(texts: list[bytes], network: Network) -> tuple[np.ndarray, np.ndarray]:
-    """Words and summed log-probability of each text."""
+    """Words and summed log-probability of each text, words of a shared entry with the whole entry's."""
     p = parts(network.flat)
     entries, places, lengths = windows(texts, network.known)
     found = np.empty(len(places), np.float64)
@@ -260,12 +292,26 @@ def score_texts(texts: list[bytes], network: Network) -> tuple[np.ndarray, np.nd
     return lengths, np.bincount(text, found, len(texts))
 
 
+def rare_words(texts: list[bytes], known: Vocabulary) -> pa.ListArray:
+    """The distinct words of each text in shared entries, and how often they occur there."""
+    found, times, ends = [], [], [0]
+    for text in texts:
+        for word, n in Counter(text.translate(ASCII_LOWER).split()).items():
+            if known[word] >= NAMED:
+                found.append(word)
+                times.append(n)
+        ends.append(len(found))
+    rows = pa.StructArray.from_arrays([pa.array(found, pa.binary()), pa.array(times, pa.int32())], names=["word", "times"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+
 def _score(network: Network, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lengths, total = score_texts(batch.column(batch.num_columns - 1).to_pylist(), network)
+        texts = batch.column(batch.num_columns - 1).to_pylist()
+        lengths, total = score_texts(texts, network)
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array(lengths, pa.int64()), pa.array(total, pa.float64())],
-            names=[*batch.schema.names[:-1], "n_tokens", "log_prob"],
+            [*batch.columns[:-1], pa.array(lengths, pa.int64()), pa.array(total, pa.float64()), rare_words(texts, network.known)],
+            names=[*batch.schema.names[:-1], "n_tokens", "log_prob", "rare"],
         )
 
 
@@ -273,13 +319,18 @@ def pseudo_likelihood(docs: DataFrame, network: Network) -> DataFrame:
     """``docs`` without its text, plus n_tokens, log_prob and perplexity.
 
     ``log_prob`` sums over all words of the whole text, each given the words
-    around it; ``perplexity`` is ``exp(-log_prob / n_tokens)``.  Null and empty
+    around it and by the counts of words that share its entry; ``perplexity`` is ``exp(-log_prob / n_tokens)``.  Null and empty
     texts have no words, log_prob 0 and a null perplexity.  Other columns are
     kept, unless named like a result.
     """
     ship(docs.sparkSession)
     results = ("n_tokens", "log_prob", "perplexity", "text")
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in results], utf8().alias("text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    scored = rows.mapInArrow(partial(_score, network), ", ".join([*fields, "n_tokens bigint", "log_prob double"]))
+    names = {c: f"k{i}" for i, c in enumerate(c for c in docs.columns if c not in results)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in names.items()], F.monotonically_increasing_id().alias("uid"), utf8().alias("text"))
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    rare = "rare array<struct<word: binary, times: int>>"
+    scored = rows.mapInArrow(partial(_score, network), ", ".join([*fields, "n_tokens bigint", "log_prob double", rare]))
+    # written, as rows are read twice and scores are dear
+    scored = add_shares(Workspace(docs.sparkSession).save("scored", scored), network)
+    scored = scored.select(*[F.col(k).alias(c) for c, k in names.items()], "n_tokens", "log_prob")
     return scored.withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_prob") / F.col("n_tokens"))))
