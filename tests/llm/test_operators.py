@@ -338,6 +338,18 @@ def test_rare_words_share_an_entry_by_their_counts(spark):
         assert found[i].log_prob == pytest.approx(plain[i] + sum(shares), abs=1e-6)
 
 
+def test_every_word_is_trained_on(spark):
+    texts = [f"a{i} b{i} c{i}" for i in range(300)]
+    network = pseudolm.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    before, after = pseudolm.parts(pseudolm.start_values(network.counts)), pseudolm.parts(network.flat)
+    place = dict(zip(pseudolm.OFFSETS, range(4)))
+    for text in texts:
+        a, b, c = (network.known[w.encode()] for w in text.split())
+        # what stands beside a word moves only when the word is a target
+        for offset, beside in ((1, b), (-1, a), (-1, b)):
+            assert (after["places"][place[offset], beside] != before["places"][place[offset], beside]).any(), text
+
+
 def test_archives_round_trip(spark):
     big = "<html>" + "ü" * 200
     rows = [(5, "http://a/ b\n", big), (2, "http://b", big), (2, "http://b", big), (9, None, big), (None, "http://c", big), (1, "u", "short"),

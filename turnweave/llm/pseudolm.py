@@ -34,9 +34,8 @@ NAMED = VOCABULARY - SHARED
 OFFSETS = (-2, -1, 1, 2)
 WIDTH = 16
 EDGE = VOCABULARY  # stands beyond both ends of a text
+#: a round trains on every word of the texts that its hash gives it; the rounds together meet every word once
 ROUNDS = 3
-#: a round trains on every STRIDE-th word of every ROUNDS-th text; the rounds together meet all texts
-STRIDE = 16
 RATE = 2.0
 MINIBATCH = 1_024
 BLOCK_WORDS = 32_768
@@ -219,19 +218,15 @@ def _train(flat: np.ndarray, known: Vocabulary, turn: int, batches: Iterator[pa.
     mine = flat.copy()
     p = parts(mine)
     seen = 0
-    met = 0
     for batch in batches:
-        texts = batch.column(0)
-        mine_now = texts.take(pa.array(np.arange((turn - met) % ROUNDS, len(texts), ROUNDS)))
-        met += len(texts)
-        entries, places, _ = windows(mine_now.to_pylist(), known)
-        chosen = places[turn % STRIDE :: STRIDE]
-        chosen = chosen[np.argsort((chosen * 2654435761) & 0xFFFFFFFF, kind="stable")]  # no text after text
-        for i in range(0, len(chosen), MINIBATCH):
-            at = chosen[i : i + MINIBATCH]
+        entries, places, _ = windows(batch.column(0).to_pylist(), known)
+        if not len(places):
+            continue
+        places = places[np.argsort((places * 2654435761) & 0xFFFFFFFF, kind="stable")]  # no text after text
+        for at in np.array_split(places, -(-len(places) // MINIBATCH)):  # even, so that no step is a few words'
             context = np.stack([entries[at + o] for o in OFFSETS], axis=1)
             learn_step(p, context, entries[at], RATE / (1 + turn))
-        seen += len(chosen)
+        seen += len(places)
     if seen:
         padded = np.zeros(-(-TOTAL // ROW) * ROW)
         padded[:TOTAL] = (mine.astype(np.float64) - flat) * seen
@@ -264,9 +259,11 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> Network:
     known, n = vocabulary(counts)
     flat = start_values(n)
     texts = docs.select(utf8().alias("text"))
+    # by content: no matter how rows are dealt over partitions and batches
+    home = F.pmod(F.crc32("text"), F.lit(max(rounds, 1)))
     schema = "row int, weight bigint, " + ", ".join(f"d{i} bigint" for i in range(ROW))
     for turn in range(rounds):
-        learned = texts.mapInArrow(partial(_train, flat, known, turn), schema)
+        learned = texts.where(home == turn).mapInArrow(partial(_train, flat, known, turn), schema)
         sums = learned.groupBy("row").agg(F.sum("weight").alias("weight"), *[F.sum(f"d{i}").alias(f"d{i}") for i in range(ROW)])
         found = sums.orderBy("row").toPandas()  # one row per parameter row
         if not len(found):
