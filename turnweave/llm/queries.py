@@ -1,4 +1,4 @@
-"""The ten corpus operators on the given tables, each over its whole table."""
+"""The corpus operators on the given tables, each over its whole table."""
 
 from __future__ import annotations
 
@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnweave.llm import chat, decontam, langid, mixing, neardup, pseudolm, quality, sharding, tokens, warc
+from turnweave.llm import (
+    chat,
+    decontam,
+    langid,
+    licenses,
+    mixing,
+    neardup,
+    pseudolm,
+    quality,
+    ranked,
+    sharding,
+    tokens,
+    warc,
+    whitening,
+)
 from turnweave.llm.common import Workspace
 
 SHARDS = 40
@@ -102,10 +116,24 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("conv_id", "sample", "perspective", "n_messages", "rendered", mask.alias("mask"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked.build_index(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ranked.ranked_search(index, _table(spark, sf_dir, "benchmark"))
+
+
 REGISTRY: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_sharding, op2_warc, op3_mixing, op4_quality, op5_lm_scoring,
         op6_near_dup, op7_decontamination, op8_token_counts, op9_language, op10_chat,
+        op11_licenses, op12_whitening, op13_ranked_search,
     )
 }

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from turnweave.llm.licenses import TEMPLATES, THRESHOLD, Template
+
 _WORD = r"[^\x20\x09-\x0D]+"
 _TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_RANKED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 WARC = """
@@ -105,6 +108,56 @@ SELECT conv_id, sample, perspective, count(*)::BIGINT AS n_messages,
 FROM e GROUP BY conv_id, alone, sample, perspective
 """
 
+
+
+def _licenses() -> str:
+    """Blocks against templates by counting shared words; the template table is the operator's parameter."""
+
+    def row(number: int, t: Template) -> str:
+        listed = ", ".join(f"'{w}'" for w in t.words)
+        return f"({number}, '{t.label}', {str(t.phrase).lower()}, {t.step}, {t.need(THRESHOLD)}, {len(set(t.words))}, [{listed}])"
+
+    table = ",\n  ".join(row(i, t) for i, t in enumerate(TEMPLATES))
+    return f"""
+WITH t(id, label, phrase, step, need, n_set, ws) AS (VALUES
+  {table}),
+k AS (SELECT DISTINCT id, step, unnest(ws) AS word FROM t),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS ws FROM documents),
+p AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM d),
+h AS (SELECT r, i, k.id, k.step, k.word FROM p JOIN k ON k.word = p.word),
+b AS (SELECT r, id, block, count(DISTINCT word) AS held
+      FROM (SELECT r, id, word, unnest([i // step - 1, i // step]) AS block FROM h) WHERE block >= 0 GROUP BY 1, 2, 3),
+m AS (SELECT r, label, held::DOUBLE / n_set AS share FROM b JOIN t ON t.id = b.id WHERE NOT phrase AND held >= need),
+f AS (SELECT DISTINCT p.r, t.id, t.label, p.i FROM p JOIN t ON t.phrase AND t.ws[1] = p.word JOIN d ON d.r = p.r
+      WHERE d.ws[p.i + 1 : p.i + len(t.ws)] = t.ws),
+n AS (SELECT r, count(*)::BIGINT AS n_base, min(i)::BIGINT AS first_word, max(i)::BIGINT AS last_word FROM f GROUP BY r),
+bl AS (SELECT r, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT r, label FROM f) GROUP BY r),
+al AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels
+       FROM (SELECT r, label FROM f UNION SELECT r, label FROM m) GROUP BY r),
+s AS (SELECT r, max(share) AS score FROM (SELECT r, share FROM m UNION ALL SELECT r, 1.0::DOUBLE FROM f) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN n USING (r) LEFT JOIN bl USING (r) LEFT JOIN al USING (r) LEFT JOIN s USING (r)
+"""
+
+
+SEARCH = f"""
+WITH q AS (SELECT DISTINCT item_id, text FROM benchmark),
+i AS (SELECT row_number() OVER () AS j, item_id, regexp_extract_all({_LOWER}, '{_RANKED}') AS ws FROM q),
+x AS (SELECT j, term, count(*)::BIGINT AS times FROM (SELECT j, unnest(ws) AS term FROM i) GROUP BY 1, 2),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_RANKED}') AS ws FROM documents),
+s AS (SELECT count(*)::BIGINT AS docs, sum(len(ws))::BIGINT AS terms FROM d WHERE len(ws) > 0),
+m AS (SELECT r, 100 - 25 + ((25 * len(ws) * docs) // terms) AS m FROM d, s WHERE len(ws) > 0),
+f AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ws) AS term FROM d) GROUP BY 1, 2),
+e AS (SELECT term, count(*)::BIGINT AS df FROM f WHERE term IN (SELECT term FROM x) GROUP BY 1),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM e, s),
+o AS (SELECT j, f.r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+      FROM x JOIN f ON f.term = x.term JOIN w ON w.term = x.term JOIN m ON m.r = f.r GROUP BY 1, 2),
+k AS (SELECT j, doc_id, score, row_number() OVER (PARTITION BY j ORDER BY score DESC, doc_id NULLS LAST, r)::INTEGER AS rank
+      FROM o JOIN d USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k JOIN i USING (j) WHERE rank <= 20
+"""
+
 ORACLES = {
     "op2_warc": WARC,
     "op3_mixing": MIXING,
@@ -112,4 +165,6 @@ ORACLES = {
     "op6_near_dup": NEAR_DUP,
     "op7_decontamination": DECONTAMINATION,
     "op10_chat": CHAT,
+    "op11_licenses": _licenses(),
+    "op13_ranked_search": SEARCH,
 }
