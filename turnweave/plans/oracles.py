@@ -521,6 +521,16 @@ def all_sql() -> dict[str, str]:
     narrow = "edge_id, session_id, Q1_row, Q2_row, distance"
     q["records_qa"] = on_edges('SELECT session_id, pos, turn, "Q", "A" FROM r')
     q["candidate_edges_w5"] = on_edges("SELECT * FROM e")
+    q["streamed_candidate_edges"] = q["candidate_edges_w5"]
+    sessions = (
+        "WITH g AS (SELECT *, epoch_us(ts) AS tick, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events), "
+        "n AS (SELECT *, CAST(sum(CASE WHEN gap IS NULL OR gap > 86400000000 THEN 1 ELSE 0 END) "
+        "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS session_no FROM g) ")
+    q["event_session_numbers"] = sessions + "SELECT event_id, user_id, session_no FROM n"
+    q["event_sessions"] = sessions + (
+        "SELECT user_id, min(tick) AS start_us, max(tick) + 86400000000 AS end_us, count(*) AS events, round(sum(value), 4) AS total "
+        "FROM n GROUP BY user_id, session_no")
+    q["event_sessions_stream"] = q["event_sessions"]
     q["candidate_edges_w3"] = on_edges(f"SELECT {narrow} FROM e", 3)
     q["candidate_edges_w1"] = on_edges(f"SELECT {narrow} FROM e", 1)
     q["candidate_edges_blocks"] = on_edges("SELECT edge_id, Q1_row, Q2_row, Q1, A1, Q2 FROM e", 2)

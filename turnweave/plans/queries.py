@@ -27,11 +27,15 @@ from ..operators import (
     retention,
     scorers,
     sensitivity,
+    sessionize,
     splits,
     topicshift,
 )
 from ..session import materialize
 from ..sources.writers import prediction_audit
+from ..streaming import candidates as stream_candidates
+from ..streaming import sessionize as stream_sessions
+from ..streaming.replay import replay
 from . import run
 from .tables import (
     LAMBDA_0,
@@ -964,6 +968,73 @@ def label_responses(spark, d):
     return work.select("edge_id", *[v.alias(k) for k, v in rules.items()])
 
 
+# -- streams ----------------------------------------------------------------
+
+WAVES = 3
+GAP = 24 * 3600
+
+
+@query
+def streamed_candidate_edges(spark, d):
+    """``candidate_edges_w5`` from a stream: turns come in waves, neighbours in time in either order."""
+    turns = table(spark, d, "conversations")
+    least, most = turns.agg(F.min("turn"), F.max("turn")).first()
+    width = (most - least) // WAVES + 1
+    time = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("turn") * 60)
+    # half of the turns at the end of a wave come with the next one
+    shifted = F.col("turn") - least + F.pmod(F.xxhash64("conv_id", "turn"), F.lit(2)) * F.lit((width + 1) // 2)
+    fed = turns.select(
+        F.col("conv_id").alias("session_id"), "turn", "role", "text", time.alias("event_time"),
+        F.least(F.floor(shifted / width), F.lit(WAVES - 1)).alias("wave"),
+    )
+    closing = fed.limit(0).drop("wave").union(
+        spark.sql(f"select cast(null as bigint), cast(null as bigint), cast(null as string), cast(null as string), "
+                  f"timestamp_seconds(1704067200 + ({most} + 2 * {width} + 2) * 60)")
+    )
+    start = lambda s, out, cp: stream_candidates.run_candidates(s, out, cp, window=5, delay=f"{width + 1} minutes")
+    done = replay(fed, "wave", WAVES, closing, start)
+    return stream_candidates.as_edges(done.result(stream_candidates.OUTPUT.format(session="bigint")))
+
+
+def _event_aggregates():
+    return [F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 4).alias("total")]
+
+
+def _in_micros(sessions: DataFrame) -> DataFrame:
+    return sessions.select(
+        "user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events", "total"
+    )
+
+
+@query
+def event_sessions(spark, d):
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _in_micros(sessionize.session_table(events, "user_id", "ts", _event_aggregates(), GAP))
+
+
+@query
+def event_session_numbers(spark, d):
+    events = table(spark, d, "events")
+    return sessionize.number_sessions(events, "user_id", "ts", GAP).select("event_id", "user_id", "session_no")
+
+
+@query
+def event_sessions_stream(spark, d):
+    """``event_sessions`` from a stream in waves; half of a wave's last hour comes with the next one."""
+    events = table(spark, d, "events").select("event_id", "ts", "user_id", "value")
+    least, most = events.agg(F.unix_seconds(F.min("ts").cast("timestamp")), F.unix_seconds(F.max("ts").cast("timestamp"))).first()
+    width = (most - least) // WAVES + 1
+    shifted = F.unix_seconds(F.col("ts").cast("timestamp")) - least + F.pmod(F.xxhash64("event_id"), F.lit(2)) * 3600
+    fed = events.withColumn("wave", F.least(F.floor(shifted / width), F.lit(WAVES - 1)))
+    closing = events.limit(0).union(
+        spark.sql(f"select cast(null as bigint), timestamp_seconds({most} + 10 * 86400), cast(null as bigint), cast(null as double)")
+    )
+    fed, closing = (x.withColumn("ts", F.col("ts").cast("timestamp")) for x in (fed, closing))
+    start = lambda s, out, cp: stream_sessions.run_sessions(s, out, cp, "user_id", "ts", _event_aggregates(), gap=GAP, delay="2 hours")
+    done = replay(fed, "wave", WAVES, closing, start)
+    return _in_micros(done.result("user_id bigint, start timestamp, end timestamp, events bigint, total double"))
+
+
 # -- learned scorers and the staged run (no SQL form) -----------------------
 
 @query
