@@ -4,7 +4,8 @@ A word is predicted from two words on either side: the embeddings of the four
 places are added, squashed, and give the class of the word and then the word
 within its class.  Word counts over the whole corpus choose the vocabulary.  Words
 beyond the commonest share entries by hash; the probability of a shared entry is
-divided among its words by their counts, which stay a distributed table.
+divided among its words by their counts, which come as a table of hashed counters
+that grows with the number of distinct words.
 Training is local: in each round every partition starts from the same parameters
 and trains on its own words, and the average of what they learned, weighted by
 words, starts the next round.  A text's score is the sum of the log-probabilities
@@ -20,7 +21,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnweave.llm.common import ASCII_LOWER, Workspace, ship, utf8
@@ -34,11 +35,18 @@ NAMED = VOCABULARY - SHARED
 OFFSETS = (-2, -1, 1, 2)
 WIDTH = 16
 EDGE = VOCABULARY  # stands beyond both ends of a text
+OTHERS = VOCABULARY + 1  # words without an entry of their own are numbered from here
 #: a round trains on every word of the texts that its hash gives it; the rounds together meet every word once
 ROUNDS = 3
-RATE = 2.0
-MINIBATCH = 1_024
-BLOCK_WORDS = 32_768
+RATE = 4.0
+MINIBATCH = 4_096
+BLOCK_WORDS = 8_192
+#: counters of words in shared entries: as many as there are distinct words, a power of two between these
+LEAST_COUNTERS, MOST_COUNTERS = 1 << 16, 1 << 24
+#: counters packed into one row on their way to the driver
+COUNTER_ROW = 1 << 14
+#: logits are held below this, so that no exponential overflows
+HIGHEST = 80.0
 #: parameters travel in rows of this many, as whole numbers of this fraction
 ROW = 16
 SCALE = float(1 << 24)
@@ -93,124 +101,161 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary(dict):
-    """Word to entry; words outside share the last entries by their hash, remembered up to a bound."""
+    """Word to its number: an entry, or beyond ``OTHERS`` the counter of a word without one, remembered up to a bound."""
+
+    def __init__(self, named: dict[bytes, int], counters: int):
+        super().__init__(named)
+        self.counters = counters
 
     def __missing__(self, word: bytes) -> int:
-        entry = NAMED + zlib.crc32(word) % SHARED
+        number = OTHERS + zlib.crc32(word) % self.counters
         if len(self) < 300_000:
-            self[word] = entry
-        return entry
+            self[word] = number
+        return number
+
+    def __reduce__(self):
+        return Vocabulary, (dict(self), self.counters)
 
 
-def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
-    """The commonest words, in code-point order among equals, and the count of each entry."""
+def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
+    """The commonest words, in code-point order among equals, the count of each entry and the counters of all other words."""
     # collecting the limit itself would send as many rows from every partition to the driver
-    best = counts.orderBy(F.desc("n"), "word").limit(NAMED).agg(F.collect_list(F.struct("n", "word")).alias("top")).first()["top"]
-    top = sorted(best, key=lambda r: (-r["n"], bytes(r["word"])))  # a fixed number of rows
-    known = Vocabulary((bytes(r["word"]), i) for i, r in enumerate(top))
+    both = counts.orderBy(F.desc("n"), "word").limit(NAMED).agg(F.collect_list(F.struct("n", "word")).alias("top")).first()["top"]
+    top = sorted(both, key=lambda r: (-r["n"], bytes(r["word"])))  # a fixed number of rows
+    size = LEAST_COUNTERS
+    distinct = counts.count()
+    while size < min(distinct, MOST_COUNTERS):
+        size *= 2
+    known = Vocabulary({bytes(r["word"]): i for i, r in enumerate(top)}, size)
+    table = np.zeros(size, np.float64)
+    slot = F.pmod(F.crc32("word"), F.lit(size))
+    filled = counts.groupBy(slot.alias("slot")).agg(F.sum("n").alias("n"))
+    packed = filled.groupBy(F.floor(F.col("slot") / COUNTER_ROW).cast("int").alias("row")).agg(
+        F.collect_list(F.pmod("slot", F.lit(COUNTER_ROW)).cast("int")).alias("at"), F.collect_list("n").alias("n")
+    )
+    for batch in packed.toArrow().to_batches():  # a bounded table of counters
+        for i, row in enumerate(batch.column(0).to_pylist()):
+            table[row * COUNTER_ROW + batch.column(1)[i].values.to_numpy()] = batch.column(2)[i].values.to_numpy()
+    for r in top:
+        table[zlib.crc32(bytes(r["word"])) % size] -= r["n"]
     n = np.zeros(VOCABULARY)
     n[: len(top)] = [r["n"] for r in top]
-    for r in counts.groupBy(_shared_entry().alias("entry")).agg(F.sum("n").alias("n")).collect():  # a row per shared entry
-        n[NAMED + r["entry"]] = r["n"]
-    for r in top:
-        n[NAMED + zlib.crc32(bytes(r["word"])) % SHARED] -= r["n"]
-    return known, n
-
+    n[NAMED:] = table.reshape(-1, SHARED).sum(axis=0)
+    return known, n, table
 
-def _shared_entry() -> Column:
-    return F.pmod(F.crc32("word"), F.lit(SHARED)).cast("int")
 
+def log_shares(table: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Log of a word's part of its shared entry, by counter; a word that was never counted stands like one counted once."""
+    whole = np.tile(counts[NAMED:] + 1, len(table) // SHARED)
+    return np.log(np.maximum(table, 1) / whole).astype(np.float32)
 
-def add_shares(scored: DataFrame, network: Network) -> DataFrame:
-    """``log_prob`` of rows (uid, rare, log_prob, ..) plus the logs of the shares of their words in shared entries.
 
-    A word has its count over the entry's count and one; a word that was never
-    counted has what the one stands for.  No such word is more than 1/NAMED of the
-    corpus, so none makes a join key hot.
-    """
-    told = scored.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.times")
-    if network.words is not None:
-        told = told.join(network.words.select("word", "n"), "word", "left")
-    else:
-        told = told.withColumn("n", F.lit(None).cast("bigint"))
-    whole = F.array(*[F.lit(float(x)) for x in network.counts[NAMED:] + 1])
-    share = F.log(F.coalesce("n", F.lit(1)) / F.get(whole, _shared_entry()))
-    sums = told.groupBy("uid").agg(F.sum(F.col("times") * share).alias("shares"))
-    log_prob = F.col("log_prob") + F.coalesce("shares", F.lit(0.0))
-    return scored.drop("rare").join(sums, "uid", "left").withColumn("log_prob", log_prob).drop("uid", "shares")
+def entries_of(numbers: np.ndarray) -> np.ndarray:
+    """Word numbers to vocabulary entries."""
+    return np.where(numbers >= OTHERS, NAMED + (numbers - OTHERS) % SHARED, numbers)
 
 
 def windows(texts: list[bytes], known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries of all texts with edges between, places of words in them, and words per text."""
+    """Numbers of the words of all texts with edges between, places of words in them, and words per text."""
     lengths, ids = [], [EDGE, EDGE]
     for text in texts:
         words = text.translate(ASCII_LOWER).split()
         lengths.append(len(words))
         ids.extend(map(known.__getitem__, words))
         ids.extend((EDGE, EDGE))
-    entries = np.array(ids, np.int32)
-    return entries, np.flatnonzero(entries != EDGE), np.array(lengths, np.int64)
+    numbers = np.array(ids, np.int32)
+    return numbers, np.flatnonzero(numbers != EDGE), np.array(lengths, np.int64)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
+    np.minimum(x, HIGHEST, out=x)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x *= (1 / (x @ np.ones(x.shape[1], np.float32)))[:, None]
     return x
 
 
-def log_probs(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log-probability of each target given its context (rows of four entries)."""
-    hidden = p["shift"] + sum(p["places"][o].take(context[:, o], axis=0) for o in range(len(OFFSETS)))
-    np.tanh(hidden, out=hidden)
-    # parameters are bounded (see train), so no exponential overflows
-    ones = np.ones(CLASSES, np.float32)
+def _by_class(context: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the rows by the class of their target, that class, the place in it, and where each class begins."""
     home = (target // PER_CLASS).astype(np.int16)
-    logits = hidden @ p["to_class"] + p["class_bias"]
-    out = logits[np.arange(len(target)), home]
-    out -= np.log(np.exp(logits, out=logits) @ ones)
     order = np.argsort(home, kind="stable")
-    bounds = np.searchsorted(home[order], np.arange(CLASSES + 1))
-    hidden, place = hidden.take(order, axis=0), (target % PER_CLASS)[order]
-    inner = np.empty(len(target), np.float32)
+    home = home.take(order)
+    return order, home, (target % PER_CLASS).take(order), np.searchsorted(home, np.arange(CLASSES + 1))
+
+
+def _hidden(p: dict[str, np.ndarray], context: np.ndarray) -> np.ndarray:
+    hidden = p["places"][0].take(context[:, 0], axis=0)
+    for o in range(1, len(OFFSETS)):
+        hidden += p["places"][o].take(context[:, o], axis=0)
+    hidden += p["shift"]
+    return np.tanh(hidden, out=hidden)
+
+
+def _word_logits(p: dict[str, np.ndarray], hidden: np.ndarray, home: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Logits of the words of each row's class; rows are runs of one class."""
+    out = np.empty((len(hidden), PER_CLASS), np.float32)
     for c in range(CLASSES):
         a, b = bounds[c], bounds[c + 1]
         if a < b:
-            logits = hidden[a:b] @ p["to_word"][c] + p["word_bias"][c]
-            inner[a:b] = logits[np.arange(b - a), place[a:b]]
-            inner[a:b] -= np.log(np.exp(logits, out=logits) @ ones)
-    out[order] += inner
+            np.matmul(hidden[a:b], p["to_word"][c], out=out[a:b])
+    out += p["word_bias"].take(home, axis=0)
+    return out
+
+
+def log_probs(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log-probability of each target given its context (rows of four entries)."""
+    order, home, place, bounds = _by_class(context, target)
+    hidden = _hidden(p, context.take(order, axis=0))
+    rows = np.arange(len(target))
+    found = np.zeros(len(target), np.float32)
+    class_logits = hidden @ p["to_class"]
+    class_logits += p["class_bias"]
+    for logits, at in ((class_logits, home), (_word_logits(p, hidden, home, bounds), place)):
+        np.minimum(logits, HIGHEST, out=logits)
+        found += logits[rows, at]
+        found -= np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], np.float32))
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
 def learn_step(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step of gradient descent on a minibatch, in place."""
     n = len(target)
-    hidden = np.tanh(p["shift"] + sum(p["places"][o][context[:, o]] for o in range(len(OFFSETS))))
-    home, place = target // PER_CLASS, target % PER_CLASS
-    back = _softmax(hidden @ p["to_class"] + p["class_bias"])
-    back[np.arange(n), home] -= 1
+    # sorted by class once: a class is a run of rows
+    order, home, place, bounds = _by_class(context, target)
+    context = context.take(order, axis=0)
+    hidden = _hidden(p, context)
+    rows = np.arange(n)
+    back = hidden @ p["to_class"]
+    back += p["class_bias"]
+    back = _softmax(back)
+    back[rows, home] -= 1
+    inner = _softmax(_word_logits(p, hidden, home, bounds))
+    inner[rows, place] -= 1
     to_hidden = back @ p["to_class"].T
     step = rate / n
     p["to_class"] -= step * (hidden.T @ back)
-    p["class_bias"] -= step * back.sum(axis=0)
-    order = np.argsort(home, kind="stable")
-    bounds = np.searchsorted(home[order], np.arange(CLASSES + 1))
+    p["class_bias"] -= step * (np.ones(n, np.float32) @ back)
     for c in range(CLASSES):
-        rows = order[bounds[c] : bounds[c + 1]]
-        if len(rows):
-            near = hidden[rows]
-            inner = _softmax(near @ p["to_word"][c] + p["word_bias"][c])
-            inner[np.arange(len(rows)), place[rows]] -= 1
-            to_hidden[rows] += inner @ p["to_word"][c].T
+        a, b = bounds[c], bounds[c + 1]
+        if a < b:
+            mine = inner[a:b]
+            to_hidden[a:b] += mine @ p["to_word"][c].T
             # a class sees a part of the minibatch: it moves by the mean over that part
-            p["to_word"][c] -= rate / len(rows) ** 0.5 / n**0.5 * (near.T @ inner)
-            p["word_bias"][c] -= rate / len(rows) ** 0.5 / n**0.5 * inner.sum(axis=0)
-    to_hidden *= 1 - hidden * hidden
+            scale = rate / (b - a) ** 0.5 / n**0.5
+            p["to_word"][c] -= scale * (hidden[a:b].T @ mine)
+            p["word_bias"][c] -= scale * (np.ones(b - a, np.float32) @ mine)
+    np.multiply(hidden, hidden, out=hidden)
+    np.subtract(1, hidden, out=hidden)
+    to_hidden *= hidden
     p["shift"] -= step * to_hidden.sum(axis=0)
     # an embedding row sees few of the words of a minibatch: it moves by more than their mean
+    to_hidden *= rate / n**0.5
     for o in range(len(OFFSETS)):
-        np.subtract.at(p["places"][o], context[:, o], rate / n**0.5 * to_hidden)
+        by_entry = np.argsort(context[:, o].astype(np.int16), kind="stable")
+        entry = context[:, o].take(by_entry)
+        first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]]))
+        p["places"][o][entry[first]] -= np.add.reduceat(to_hidden.take(by_entry, axis=0), first, axis=0)
 
 
 def _train(flat: np.ndarray, known: Vocabulary, turn: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,9 +264,10 @@ def _train(flat: np.ndarray, known: Vocabulary, turn: int, batches: Iterator[pa.
     p = parts(mine)
     seen = 0
     for batch in batches:
-        entries, places, _ = windows(batch.column(0).to_pylist(), known)
+        numbers, places, _ = windows(batch.column(0).to_pylist(), known)
         if not len(places):
             continue
+        entries = entries_of(numbers)
         places = places[np.argsort((places * 2654435761) & 0xFFFFFFFF, kind="stable")]  # no text after text
         for at in np.array_split(places, -(-len(places) // MINIBATCH)):  # even, so that no step is a few words'
             context = np.stack([entries[at + o] for o in OFFSETS], axis=1)
@@ -240,23 +286,20 @@ def _train(flat: np.ndarray, known: Vocabulary, turn: int, batches: Iterator[pa.
 
 
 class Network:
-    """Vocabulary and parameters, the count of each entry and the table (word, n) of all words."""
+    """Vocabulary, parameters, the count of each entry and the logs of the shares of words in shared entries."""
 
-    def __init__(self, known: Vocabulary, flat: np.ndarray, counts: np.ndarray | None = None, words: DataFrame | None = None):
+    def __init__(self, known: Vocabulary, flat: np.ndarray, counts: np.ndarray, shares: np.ndarray):
         self.known = known
         self.flat = flat
-        self.counts = np.zeros(VOCABULARY) if counts is None else counts
-        self.words = words
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"words": None}  # the table of word counts stays out of tasks
+        self.counts = counts
+        self.shares = shares
 
 
 def train(docs: DataFrame, rounds: int = ROUNDS) -> Network:
-    """Fit on all rows of ``docs``; what reaches the driver is the parameters, whatever the input."""
+    """Fit on all rows of ``docs``; what reaches the driver is the parameters and a bounded table of counters."""
     ship(docs.sparkSession)
     counts = Workspace(docs.sparkSession).save("words", word_counts(docs))
-    known, n = vocabulary(counts)
+    known, n, table = vocabulary(counts)
     flat = start_values(n)
     texts = docs.select(utf8().alias("text"))
     # by content: no matter how rows are dealt over partitions and batches
@@ -273,61 +316,51 @@ def train(docs: DataFrame, rounds: int = ROUNDS) -> Network:
         p = parts(flat)
         for name in ("places", "to_class", "to_word"):
             np.clip(p[name], -4, 4, out=p[name])
-    return Network(known, flat, n, counts)
+    return Network(known, flat, n, log_shares(table, n))
 
 
 def score_texts(texts: list[bytes], network: Network) -> tuple[np.ndarray, np.ndarray]:
-    """Words and summed log-probability of each text, words of a shared entry with the whole entry's."""
+    """Words and summed log-probability of each text."""
     p = parts(network.flat)
-    entries, places, lengths = windows(texts, network.known)
+    numbers, places, lengths = windows(texts, network.known)
+    entries = entries_of(numbers)
     found = np.empty(len(places), np.float64)
     for i in range(0, len(places), BLOCK_WORDS):
         at = places[i : i + BLOCK_WORDS]
         context = np.stack([entries[at + o] for o in OFFSETS], axis=1)
         found[i : i + BLOCK_WORDS] = log_probs(p, context, entries[at])
+    words = numbers[places]
+    other = np.flatnonzero(words >= OTHERS)
+    found[other] += network.shares[words[other] - OTHERS]
     text = np.repeat(np.arange(len(texts)), lengths)
     return lengths, np.bincount(text, found, len(texts))
 
 
-def rare_words(texts: list[bytes], known: Vocabulary) -> pa.ListArray:
-    """The distinct words of each text in shared entries, and how often they occur there."""
-    found, times, ends = [], [], [0]
-    for text in texts:
-        for word, n in Counter(text.translate(ASCII_LOWER).split()).items():
-            if known[word] >= NAMED:
-                found.append(word)
-                times.append(n)
-        ends.append(len(found))
-    rows = pa.StructArray.from_arrays([pa.array(found, pa.binary()), pa.array(times, pa.int32())], names=["word", "times"])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
-
-
 def _score(network: Network, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(batch.num_columns - 1).to_pylist()
-        lengths, total = score_texts(texts, network)
+        lengths, total = score_texts(batch.column(batch.num_columns - 1).to_pylist(), network)
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array(lengths, pa.int64()), pa.array(total, pa.float64()), rare_words(texts, network.known)],
-            names=[*batch.schema.names[:-1], "n_tokens", "log_prob", "rare"],
+            [*batch.columns[:-1], pa.array(lengths, pa.int64()), pa.array(total, pa.float64())],
+            names=[*batch.schema.names[:-1], "n_tokens", "log_prob"],
         )
 
 
 def pseudo_likelihood(docs: DataFrame, network: Network) -> DataFrame:
-    """``docs`` without its text, plus n_tokens, log_prob and perplexity.
+    """``docs`` without its text, plus n_tokens, log_prob, perplexity and score.
 
     ``log_prob`` sums over all words of the whole text, each given the words
-    around it and by the counts of words that share its entry; ``perplexity`` is ``exp(-log_prob / n_tokens)``.  Null and empty
-    texts have no words, log_prob 0 and a null perplexity.  Other columns are
-    kept, unless named like a result.
+    around it and, in a shared entry, by its part of the entry's words;
+    ``perplexity`` is ``exp(-log_prob / n_tokens)`` and ``score`` the mean
+    log-probability of a word.  Null and empty texts have no words, log_prob 0 and
+    neither perplexity nor score.  Repeated rows score alike; other columns are
+    kept, unless named like a result; an empty table gives no rows.
     """
     ship(docs.sparkSession)
-    results = ("n_tokens", "log_prob", "perplexity", "text")
+    results = ("n_tokens", "log_prob", "perplexity", "score", "text")
     names = {c: f"k{i}" for i, c in enumerate(c for c in docs.columns if c not in results)}
-    rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in names.items()], F.monotonically_increasing_id().alias("uid"), utf8().alias("text"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in names.items()], utf8().alias("text"))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    rare = "rare array<struct<word: binary, times: int>>"
-    scored = rows.mapInArrow(partial(_score, network), ", ".join([*fields, "n_tokens bigint", "log_prob double", rare]))
-    # written, as rows are read twice and scores are dear
-    scored = add_shares(Workspace(docs.sparkSession).save("scored", scored), network)
+    scored = rows.mapInArrow(partial(_score, network), ", ".join([*fields, "n_tokens bigint", "log_prob double"]))
     scored = scored.select(*[F.col(k).alias(c) for c, k in names.items()], "n_tokens", "log_prob")
-    return scored.withColumn("perplexity", F.when(F.col("n_tokens") > 0, F.exp(-F.col("log_prob") / F.col("n_tokens"))))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
+    return scored.withColumn("perplexity", F.exp(-mean)).withColumn("score", mean)
