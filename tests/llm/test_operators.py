@@ -418,18 +418,50 @@ def test_directory_of_zip64(monkeypatch):
         warc.read_directory(io.BytesIO(b"x" * 100), 100)
 
 
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def rendered_by_hand(rows, size=64):
+    """{(conv, sample, perspective): (first message, messages, text, own ranges)} and one entry a message without dialogue."""
+    talks = defaultdict(list)
+    for i, (conv, turn, role, text) in enumerate(rows):
+        talks[conv if conv is not None else ("alone", i)].append((turn is None, turn or 0, role or "unknown", text or ""))
+    out = Counter()
+    for conv, told in talks.items():
+        told.sort()
+        for view in {s for _, _, s, _ in told} - {"system"}:
+            for first in range(0, len(told), size):
+                some = told[first : first + size]
+                some = [t for t in told[:first] if t[2] == "system"][-1:] + some
+                page, own = "", []
+                for _, _, role, text in some:
+                    name = "system" if role == "system" else "assistant" if role == view else f"user name={role}"
+                    page += f"<|im_start|>{name}\n"
+                    begin = len(page)
+                    page += f"{text}<|im_end|>\n"
+                    if role == view:
+                        own.append((begin, len(page) - 1))
+                out[(None if isinstance(conv, tuple) else conv, first // size, view, first, len(some), page, tuple(own))] += 1
+    return out
+
+
 def test_perspectives(spark):
+    rng = random.Random(6)
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "hé\nyou"), (1, 3, "ann", None), (1, None, None, "late"), (1, 70, "bob", "again"),
             (None, 0, "ann", "alone"), (None, 0, "ann", "alone"), (3, 0, "system", "only")]
-    found = chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    views = {(r.conv_id, r.sample, r.perspective): r for r in found}
-    assert set(views) == {(1, 0, "ann"), (1, 0, "bob"), (1, -1, "unknown"), (1, 1, "bob"), (None, 0, "ann")} and len(found) == 6
-    ann = views[1, 0, "ann"]
-    assert [ann.rendered[m.begin : m.end] for m in ann.mask] == ["hi<|im_end|>", "<|im_end|>"]
-    assert ann.rendered.startswith("<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi<|im_end|>\n<|im_start|>user name=bob\nhé\nyou")
-    bob = views[1, 0, "bob"]
-    assert [bob.rendered[m.begin : m.end] for m in bob.mask] == ["hé\nyou<|im_end|>"]
-    plan = chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))._jdf.queryExecution().toString()
+    # 200 turns: a speaker silent after the first slices, a second system message, turns without a number, equal rows
+    rows += [(4, i, "system" if i in (0, 150) else "cy" if i == 5 else ("ann", "bob")[i % 2], f"m{i}") for i in range(200)]
+    rows += [(4, None, rng.choice(["ann", "bob", None]), f"x{i % 40}") for i in range(90)] + [(4, 7, "bob", "same")] * 70
+    rows += [(5, 0, "ann", "long " * 40_000), (5, 1, "bob", "")]
+    table = spark.createDataFrame([(*r, "own") for r in rows], TURNS + ", rendered string")
+    shown = chat.perspectives(table)
+    assert shown.columns == ["conv_id", "sample", "perspective", "first_message", "n_messages", "rendered", "mask"]
+    found = Counter((*tuple(r)[:6], tuple((m.begin, m.end) for m in r.mask)) for r in shown.collect())
+    assert found == rendered_by_hand(rows)
+    views = {(r[0], r[1]): {x[2] for x in found if x[:2] == r[:2]} for r in found if r[0] == 4}
+    assert len(views) == 6 and all(v == {"ann", "bob", "cy", "unknown"} for v in views.values())
+    assert chat.perspectives(table.limit(0)).collect() == []
+    plan = shown._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 

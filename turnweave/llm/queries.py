@@ -113,7 +113,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = chat.perspectives(_table(spark, sf_dir, "conversations"))
     mask = F.concat_ws(",", F.transform("mask", lambda r: F.concat_ws("-", r["begin"].cast("string"), r["end"].cast("string"))))
-    return shown.select("conv_id", "sample", "perspective", "n_messages", "rendered", mask.alias("mask"))
+    return shown.select("conv_id", "sample", "perspective", "first_message", "n_messages", "rendered", mask.alias("mask"))
 
 
 def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

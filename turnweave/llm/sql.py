@@ -91,25 +91,31 @@ FROM d LEFT JOIN x USING (r) LEFT JOIN y USING (r)
 """
 
 CHAT = """
-WITH t AS (SELECT row_number() OVER () AS r, conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text,
-             coalesce(floor(turn / 64.0), -1)::BIGINT AS sample FROM conversations),
+WITH t AS (SELECT row_number() OVER () AS r, conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
 k AS (SELECT *, CASE WHEN conv_id IS NULL THEN r END AS alone FROM t),
-v AS (SELECT DISTINCT conv_id, alone, sample, speaker AS perspective FROM k WHERE speaker <> 'system'),
-m AS (SELECT v.conv_id, v.alone, v.sample, perspective, k.turn, k.speaker, k.text, k.r,
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS LAST, speaker, text, r) - 1 AS number FROM k),
+s AS (SELECT DISTINCT conv_id, alone, number // 64 AS sample FROM n),
+h AS (SELECT s.conv_id, s.alone, s.sample, max(n.number) AS number
+      FROM s JOIN n ON s.conv_id IS NOT DISTINCT FROM n.conv_id AND s.alone IS NOT DISTINCT FROM n.alone AND n.number < 64 * s.sample
+      WHERE n.speaker = 'system' GROUP BY 1, 2, 3),
+a AS (SELECT conv_id, alone, number // 64 AS sample, number, speaker, text FROM n
+      UNION ALL
+      SELECT h.conv_id, h.alone, h.sample, n.number, n.speaker, n.text FROM h
+      JOIN n ON h.conv_id IS NOT DISTINCT FROM n.conv_id AND h.alone IS NOT DISTINCT FROM n.alone AND h.number = n.number),
+v AS (SELECT DISTINCT conv_id, alone, speaker AS perspective FROM n WHERE speaker <> 'system'),
+m AS (SELECT v.conv_id, v.alone, a.sample, perspective, a.number, a.speaker, a.text,
         '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head
-      FROM v JOIN k ON v.conv_id IS NOT DISTINCT FROM k.conv_id AND v.alone IS NOT DISTINCT FROM k.alone AND v.sample = k.sample),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, alone, sample, perspective ORDER BY turn NULLS LAST, speaker, text, r) AS i,
-        length(head) + length(text) + 11 AS n FROM m),
-e AS (SELECT *, sum(n) OVER (PARTITION BY conv_id, alone, sample, perspective ORDER BY i) - n AS begins FROM o)
-SELECT conv_id, sample, perspective, count(*)::BIGINT AS n_messages,
-       string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY i) AS rendered,
-       coalesce(string_agg((begins + length(head))::BIGINT::VARCHAR || '-' || (begins + n - 1)::BIGINT::VARCHAR, ',' ORDER BY i)
+      FROM v JOIN a ON v.conv_id IS NOT DISTINCT FROM a.conv_id AND v.alone IS NOT DISTINCT FROM a.alone),
+o AS (SELECT *, length(head) + length(text) + 11 AS n FROM m),
+e AS (SELECT *, sum(n) OVER (PARTITION BY conv_id, alone, sample, perspective ORDER BY number) - n AS begins FROM o)
+SELECT conv_id, sample, perspective, sample * 64 AS first_message, count(*)::BIGINT AS n_messages,
+       string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY number) AS rendered,
+       coalesce(string_agg((begins + length(head))::BIGINT::VARCHAR || '-' || (begins + n - 1)::BIGINT::VARCHAR, ',' ORDER BY number)
          FILTER (WHERE speaker = perspective), '') AS mask
 FROM e GROUP BY conv_id, alone, sample, perspective
 """
 
 
-
 def _licenses() -> str:
     """Blocks against templates by counting shared words; the template table is the operator's parameter."""
 
