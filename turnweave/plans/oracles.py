@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from ..functions.lexicon import ANCHOR_ANSWER_PREFIX, ANCHOR_QUESTION_PREFIX, CANDIDATE_PREFIX
 from ..operators.diagnostics import STAGE_COLUMNS
 from ..operators.recovery import LAMBDA0_GRID, LAMBDAT_GRID
-from .queries import DRAWS
+from .queries import DRAWS, REGISTRY
 from .tables import LAMBDA_0, LAMBDA_T, SCORE_FACTOR, TABLE_LEXICON as LEX, THRESHOLD, TOP_K
 
 BLANK = (
@@ -121,6 +121,24 @@ rec AS (SELECT *, CASE WHEN given = 1 THEN 1.0::DOUBLE / (1.0::DOUBLE + exp(-gre
                CAST(given = 1 AND pred = 0 AS INTEGER) AS pruned FROM fin)"""
 
 
+#: edges of long sessions, in the place of the dialogues' scored edges
+LONG_SCORED = """
+lr AS (SELECT user_id // 2 AS session_id, event_id, row_number() OVER (PARTITION BY user_id // 2 ORDER BY ts NULLS LAST, event_id NULLS LAST) - 1 AS pos FROM events),
+lp0 AS (SELECT s.session_id, s.pos AS p, t.pos AS q, (s.event_id * 7919 + t.event_id * 104729) % 50 AS step, (s.event_id * 31 + t.event_id * 17) % 100 AS chance
+        FROM lr s JOIN lr t ON s.session_id IS NOT DISTINCT FROM t.session_id AND t.pos BETWEEN s.pos + 1 AND s.pos + 5),
+sc AS (SELECT concat_ws('_', session_id, p, q) AS edge_id, session_id, CAST(p AS INTEGER) AS Q1_row, CAST(q AS INTEGER) AS Q2_row,
+         CAST(q - p AS INTEGER) AS distance, round((step + 1) / 51.0::DOUBLE, 6) AS stage1_prob,
+         CAST(chance < step * step / 40.0::DOUBLE - 4 * (q - p) AS INTEGER) AS edge_label,
+         CASE WHEN session_id % 25 < 16 THEN 'train' WHEN session_id % 25 < 20 THEN 'validation' ELSE 'test' END AS split FROM lp0)"""
+
+
+def on_long(sql: str) -> str:
+    """The SQL of a query on scored edges, turned to those of long sessions."""
+    dialogues = base() + "," + SCORED
+    assert dialogues in sql
+    return sql.replace(dialogues, LONG_SCORED)
+
+
 def with_(select: str, *parts: str) -> str:
     return "WITH " + ",".join(parts) + "\n" + select
 
@@ -840,4 +858,7 @@ nb AS (SELECT *, (row_number() OVER (ORDER BY md5('42:' || anchor), anchor, md5(
  CASE x WHEN 'yes' THEN 'Content-Dependent' WHEN 'no' THEN 'No-Dependency' WHEN 'maybe' THEN 'a' ELSE 'Error' END AS dependency_type,
  CASE x WHEN 'yes' THEN 'Complaint' WHEN 'no' THEN 'Topic Shift' WHEN 'maybe' THEN 'b' ELSE 'Error' END AS relation_type,
  CASE x WHEN 'yes' THEN 'r' WHEN 'no' THEN 'n' WHEN 'maybe' THEN 'm' ELSE 'API failed' END AS dep_reason FROM (SELECT edge_id, {_RESP} AS x FROM e)""")
+    for name in REGISTRY:
+        if name.startswith("long_"):
+            q[name] = on_long(q[name.removeprefix("long_")])
     return q

@@ -47,6 +47,7 @@ from .tables import (
     block_size,
     edges,
     labelled_documents,
+    long_edges,
     narrow_edges,
     records,
     scored_edges,
@@ -66,6 +67,15 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def both_sources(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Register a query on the dialogues' edges, and as ``long_..`` on those of long sessions."""
+    REGISTRY[fn.__name__] = fn
+    long = lambda spark, d: fn(spark, d, long_edges)
+    long.__doc__ = fn.__doc__
+    REGISTRY[f"long_{fn.__name__}"] = long
+    return fn
+
+
 def r6(value: Column | str, name: str) -> Column:
     """Rounded output column: sums run in different orders in two engines."""
     value = F.col(value) if isinstance(value, str) else value
@@ -366,8 +376,8 @@ def source_topk_mask(spark, d):
     return ranked.where(F.col("source_rank") <= 2).select("edge_id", "source_rank")
 
 
-def _retained(spark, d):
-    return retention.retain(narrow_edges(spark, d), THRESHOLD, TOP_K)
+def _retained(spark, d, source=narrow_edges):
+    return retention.retain(source(spark, d), THRESHOLD, TOP_K)
 
 
 @query
@@ -375,43 +385,43 @@ def retain_policy(spark, d):
     return _retained(spark, d).select("edge_id", "stage1_pred_edge")
 
 
-@query
-def retention_recheck(spark, d):
-    return retention.retention_mismatches(_retained(spark, d), THRESHOLD, TOP_K)
+@both_sources
+def retention_recheck(spark, d, source=narrow_edges):
+    return retention.retention_mismatches(_retained(spark, d, source), THRESHOLD, TOP_K)
 
 
-@query
-def target_candidate_max(spark, d):
-    return retention.max_candidates_per_target(_retained(spark, d))
+@both_sources
+def target_candidate_max(spark, d, source=narrow_edges):
+    return retention.max_candidates_per_target(_retained(spark, d, source))
 
 
-def _validation(spark, d):
+def _validation(spark, d, source=narrow_edges):
     """The validation split as a written table: searches read it several times."""
-    return materialize(narrow_edges(spark, d).where(F.col("split") == "validation"))
+    return materialize(source(spark, d).where(F.col("split") == "validation"))
 
 
-def _search(spark, d):
-    return retention.retention_search(_validation(spark, d))
+def _search(spark, d, source=narrow_edges):
+    return retention.retention_search(_validation(spark, d, source))
 
 
 RETENTION_RATES = ("Threshold", "TargetRecall", "MaxRecallAtK", "Recall", "Precision", "F1", "RetentionRatio")
 
 
-@query
-def retention_search(spark, d):
-    return rounded(_search(spark, d), *RETENTION_RATES)
+@both_sources
+def retention_search(spark, d, source=narrow_edges):
+    return rounded(_search(spark, d, source), *RETENTION_RATES)
 
 
-@query
-def retention_best(spark, d):
-    return rounded(retention.best_retention(_search(spark, d)), *RETENTION_RATES)
+@both_sources
+def retention_best(spark, d, source=narrow_edges):
+    return rounded(retention.best_retention(_search(spark, d, source)), *RETENTION_RATES)
 
 
 # -- evidence and recovery --------------------------------------------------
 
-def _evidenced(spark, d):
+def _evidenced(spark, d, source=narrow_edges):
     """Raw evidence, rounded so that ties are ties in every engine."""
-    out = evidence.raw_evidence(_retained(spark, d))
+    out = evidence.raw_evidence(_retained(spark, d, source))
     return out.withColumn("stage2a_local_evidence", F.round("stage2a_local_evidence", 6))
 
 
@@ -423,18 +433,18 @@ def evidence_columns(spark, d):
     )
 
 
-@query
-def evidence_ranking(spark, d):
-    return rounded(evidence.evidence_ranking(_evidenced(spark, d), ["split"]), "auc", "ap")
+@both_sources
+def evidence_ranking(spark, d, source=narrow_edges):
+    return rounded(evidence.evidence_ranking(_evidenced(spark, d, source), ["split"]), "auc", "ap")
 
 
-def _recovered(spark, d):
-    return recovery.recover(_evidenced(spark, d), LAMBDA_0, LAMBDA_T)
+def _recovered(spark, d, source=narrow_edges):
+    return recovery.recover(_evidenced(spark, d, source), LAMBDA_0, LAMBDA_T)
 
 
-@query
-def recovery_graph(spark, d):
-    out = _recovered(spark, d)
+@both_sources
+def recovery_graph(spark, d, source=narrow_edges):
+    out = _recovered(spark, d, source)
     return out.select(
         "edge_id",
         "stage2b_target_rank",
@@ -452,23 +462,23 @@ def recovery_totals(spark, d):
     return rounded(recovery.recovery_totals(_recovered(spark, d), LAMBDA_0, LAMBDA_T), "objective_total")
 
 
-@query
-def exactness_audit(spark, d):
-    final = materialize(_recovered(spark, d))
+@both_sources
+def exactness_audit(spark, d, source=narrow_edges):
+    final = materialize(_recovered(spark, d, source))
     return rounded(recovery.exactness_audit(final, LAMBDA_0, LAMBDA_T), "max_objective_gap")
 
 
 GRID_RATES = ("lambda_0", "lambda_t", "AUC", "AP", "Precision", "Recall", "F1", "ObjectiveTotal")
 
 
-def _grid(spark, d, ranking=False):
-    validation = materialize(_evidenced(spark, d).where(F.col("split") == "validation"))
+def _grid(spark, d, source=narrow_edges, ranking=False):
+    validation = materialize(_evidenced(spark, d, source).where(F.col("split") == "validation"))
     return recovery.penalty_grid(validation, GRID_0, GRID_T, ranking=ranking)
 
 
-@query
-def penalty_grid(spark, d):
-    return rounded(_grid(spark, d, ranking=True), *GRID_RATES)
+@both_sources
+def penalty_grid(spark, d, source=narrow_edges):
+    return rounded(_grid(spark, d, source, ranking=True), *GRID_RATES)
 
 
 @query
@@ -479,19 +489,19 @@ def penalty_grid_ranking(spark, d):
     return rounded(out, *GRID_RATES)
 
 
-@query
-def penalty_best(spark, d):
-    return rounded(recovery.best_penalties(_grid(spark, d)), *GRID_RATES)
+@both_sources
+def penalty_best(spark, d, source=narrow_edges):
+    return rounded(recovery.best_penalties(_grid(spark, d, source)), *GRID_RATES)
 
 
-@query
-def penalty_ties(spark, d):
-    return rounded(recovery.tied_best(materialize(_grid(spark, d))), *GRID_RATES)
+@both_sources
+def penalty_ties(spark, d, source=narrow_edges):
+    return rounded(recovery.tied_best(materialize(_grid(spark, d, source))), *GRID_RATES)
 
 
-@query
-def penalty_ablation(spark, d):
-    return rounded(run.penalty_ablation(materialize(_evidenced(spark, d))), *GRID_RATES)
+@both_sources
+def penalty_ablation(spark, d, source=narrow_edges):
+    return rounded(run.penalty_ablation(materialize(_evidenced(spark, d, source))), *GRID_RATES)
 
 
 # -- metrics ----------------------------------------------------------------
@@ -502,9 +512,9 @@ def confusion_by_split(spark, d):
     return rounded(out, "precision", "recall", "f1", "accuracy")
 
 
-@query
-def split_metrics(spark, d):
-    return rounded(run.split_summary(_recovered(spark, d)), "precision", "recall", "f1", "accuracy", "auc", "ap")
+@both_sources
+def split_metrics(spark, d, source=narrow_edges):
+    return rounded(run.split_summary(_recovered(spark, d, source)), "precision", "recall", "f1", "accuracy", "auc", "ap")
 
 
 @query
@@ -527,16 +537,16 @@ def best_f1_threshold(spark, d):
     return rounded(metrics.best_f1_threshold(labelled_documents(spark, d)), "precision", "recall", "f1")
 
 
-@query
-def topk_threshold_search(spark, d):
-    validation = _validation(spark, d)
+@both_sources
+def topk_threshold_search(spark, d, source=narrow_edges):
+    validation = _validation(spark, d, source)
     out = metrics.topk_threshold_search(validation, (1, 2, 3, 5), score="stage1_prob")
     return rounded(out, "precision", "recall", "f1")
 
 
-@query
-def topk_best(spark, d):
-    validation = _validation(spark, d)
+@both_sources
+def topk_best(spark, d, source=narrow_edges):
+    validation = _validation(spark, d, source)
     out = metrics.best_topk(metrics.topk_threshold_search(validation, (1, 2, 3, 5), score="stage1_prob"))
     return rounded(out, "precision", "recall", "f1")
 
@@ -779,19 +789,19 @@ def bucket_distribution(spark, d):
     return rounded(errors.bucket_table(rows, "FN", "distance_num", errors.distance_bucket), "share")
 
 
-@query
-def score_buckets(spark, d):
-    return rounded(errors.bucket_table(narrow_edges(spark, d), "all", "stage1_prob", errors.score_bucket), "share")
+@both_sources
+def score_buckets(spark, d, source=narrow_edges):
+    return rounded(errors.bucket_table(source(spark, d), "all", "stage1_prob", errors.score_bucket), "share")
 
 
-@query
-def indegree_summary(spark, d):
-    return rounded(errors.indegree_summary(_recovered(spark, d)), "share")
+@both_sources
+def indegree_summary(spark, d, source=narrow_edges):
+    return rounded(errors.indegree_summary(_recovered(spark, d, source)), "share")
 
 
-@query
-def miss_attribution(spark, d):
-    return errors.miss_attribution(_recovered(spark, d))
+@both_sources
+def miss_attribution(spark, d, source=narrow_edges):
+    return errors.miss_attribution(_recovered(spark, d, source))
 
 
 @query
@@ -826,52 +836,52 @@ def stage_records(spark, d):
     return rounded(diagnostics.stage_records(final), *diagnostics.STAGE_COLUMNS)
 
 
-@query
-def stage_transitions(spark, d):
-    records_ = diagnostics.stage_records(materialize(_recovered(spark, d)))
+@both_sources
+def stage_transitions(spark, d, source=narrow_edges):
+    records_ = diagnostics.stage_records(materialize(_recovered(spark, d, source)))
     out = diagnostics.transition_summary(records_, LAMBDA_0, LAMBDA_T)
     return rounded(out, *[c for c in out.columns if c != "split"])
 
 
 # -- sensitivity ------------------------------------------------------------
 
-@query
-def retention_flags(spark, d):
-    flagged = sensitivity.flag_retention(_search(spark, d), 3, 0.0)
+@both_sources
+def retention_flags(spark, d, source=narrow_edges):
+    flagged = sensitivity.flag_retention(_search(spark, d, source), 3, 0.0)
     return rounded(sensitivity.retention_summary(flagged), "Threshold", "Recall", "Precision", "F1",
                    "delta_f1_from_selected", "delta_precision_from_selected", "delta_retained_edges_from_selected")
 
 
-@query
-def retention_compression(spark, d):
-    total = _validation(spark, d).count()
-    return rounded(sensitivity.compression_table(_search(spark, d), total), "Recall", "Compression")
+@both_sources
+def retention_compression(spark, d, source=narrow_edges):
+    total = _validation(spark, d, source).count()
+    return rounded(sensitivity.compression_table(_search(spark, d, source), total), "Recall", "Compression")
 
 
 FLAG_RATES = (*GRID_RATES, "delta_f1_from_selected", "delta_precision_from_selected",
               "delta_pred_edges_from_selected", "abs_lambda_0_distance", "abs_lambda_t_distance")
 
 
-@query
-def penalty_flags(spark, d):
-    return rounded(sensitivity.flag_penalties(materialize(_grid(spark, d)), LAMBDA_0, LAMBDA_T), *FLAG_RATES)
+@both_sources
+def penalty_flags(spark, d, source=narrow_edges):
+    return rounded(sensitivity.flag_penalties(materialize(_grid(spark, d, source)), LAMBDA_0, LAMBDA_T), *FLAG_RATES)
 
 
-@query
-def penalty_neighbourhood(spark, d):
-    flagged = sensitivity.flag_penalties(materialize(_grid(spark, d)), LAMBDA_0, LAMBDA_T)
+@both_sources
+def penalty_neighbourhood(spark, d, source=narrow_edges):
+    flagged = sensitivity.flag_penalties(materialize(_grid(spark, d, source)), LAMBDA_0, LAMBDA_T)
     return rounded(sensitivity.penalty_neighbourhood(flagged), *FLAG_RATES)
 
 
-@query
-def penalty_slice(spark, d):
-    flagged = sensitivity.flag_penalties(_grid(spark, d), LAMBDA_0, LAMBDA_T)
+@both_sources
+def penalty_slice(spark, d, source=narrow_edges):
+    flagged = sensitivity.flag_penalties(_grid(spark, d, source), LAMBDA_0, LAMBDA_T)
     return rounded(sensitivity.penalty_slice(flagged, "lambda_t", LAMBDA_T), *FLAG_RATES)
 
 
-@query
-def penalty_heatmap(spark, d):
-    out = sensitivity.heatmap(_grid(spark, d), "F1", GRID_T)
+@both_sources
+def penalty_heatmap(spark, d, source=narrow_edges):
+    out = sensitivity.heatmap(_grid(spark, d, source), "F1", GRID_T)
     named = [r6(f"`{t:.2f}`", f"t_{round(t * 100):03d}") for t in GRID_T]
     return out.select(r6("lambda_0", "lambda_0"), *named)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import Lexicon
 from ..functions.text import term_overlap
-from ..operators.candidates import Features, candidate_edges, choose_block, records_from_turns
+from ..operators.candidates import Features, candidate_edges, choose_block, number_records, records_from_turns
 from ..operators.topicshift import record_terms, term_features
 
 THRESHOLD, TOP_K = 0.2, 3
@@ -137,6 +137,26 @@ def narrow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_edges(spark, sf_dir, texts=False).select(*NARROW)
 
 
+def long_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored edges of long sessions: the events of two users each, some twenty in a session.
+
+    All distances of the window occur and targets have up to five sources.  The
+    score is one of 50 steps made from the two event ids; a declared formula makes
+    the label likelier the higher the score and the smaller the distance.
+    """
+    events = table(spark, sf_dir, "events").select(F.expr("user_id div 2").alias("session_id"), "event_id", "ts")
+    block = choose_block(events, "session_id")
+    placed = number_records(events, "session_id", ("ts", "event_id"), "pos", block).withColumns({"q_size": F.lit(1), "a_size": F.lit(1)})
+    pairs = candidate_edges(placed, 5, block, ("event_id",), ("event_id",), texts=False)
+    step = F.pmod(F.col("event_id") * 7919 + F.col("Q2_event_id") * 104729, F.lit(50))
+    chance = F.pmod(F.col("event_id") * 31 + F.col("Q2_event_id") * 17, F.lit(100))
+    label = chance < step * step / 40 - 4 * F.col("distance")
+    return pairs.select(
+        "edge_id", "session_id", "Q1_row", "Q2_row", "distance", F.round((step + 1) / 51, 6).alias("stage1_prob"),
+        label.cast("int").alias("edge_label"), split_of(F.col("session_id")).alias("split"),
+    )
+
+
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality labels with a length score: the metric operators' document input."""
     docs = table(spark, sf_dir, "documents").select(
