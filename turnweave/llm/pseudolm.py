@@ -117,6 +117,13 @@ class Vocabulary(dict):
         return Vocabulary, (dict(self), self.counters)
 
 
+def _pack(key: tuple, filled: pa.Table) -> pa.Table:
+    """One row of counters; a count beyond 32 bits stays at their largest."""
+    out = np.zeros(COUNTER_ROW, np.uint32)
+    out[filled.column("slot").to_numpy() % COUNTER_ROW] = np.minimum(filled.column("n").to_numpy(), 2**32 - 1)
+    return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "counters": pa.array([out.tobytes()], pa.binary())})
+
+
 def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
     """The commonest words, in code-point order among equals, the count of each entry and the counters of all other words."""
     # collecting the limit itself would send as many rows from every partition to the driver
@@ -130,12 +137,9 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
     table = np.zeros(size, np.float64)
     slot = F.pmod(F.crc32("word"), F.lit(size))
     filled = counts.groupBy(slot.alias("slot")).agg(F.sum("n").alias("n"))
-    packed = filled.groupBy(F.floor(F.col("slot") / COUNTER_ROW).cast("int").alias("row")).agg(
-        F.collect_list(F.pmod("slot", F.lit(COUNTER_ROW)).cast("int")).alias("at"), F.collect_list("n").alias("n")
-    )
-    for batch in packed.toArrow().to_batches():  # a bounded table of counters
-        for i, row in enumerate(batch.column(0).to_pylist()):
-            table[row * COUNTER_ROW + batch.column(1)[i].values.to_numpy()] = batch.column(2)[i].values.to_numpy()
+    rows = filled.groupBy(F.floor(F.col("slot") / COUNTER_ROW).cast("int").alias("row")).applyInArrow(_pack, "row int, counters binary")
+    for r in rows.collect():  # a bounded table, four bytes a counter
+        table[r["row"] * COUNTER_ROW : (r["row"] + 1) * COUNTER_ROW] = np.frombuffer(r["counters"], np.uint32)
     for r in top:
         table[zlib.crc32(bytes(r["word"])) % size] -= r["n"]
     n = np.zeros(VOCABULARY)
