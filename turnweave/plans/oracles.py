@@ -510,6 +510,73 @@ def _transition() -> str:
             "FROM su GROUP BY split")
 
 
+# -- learned steps ----------------------------------------------------------
+
+def newton(name: str, src: str, xs: Sequence[str], ridge_on_bias: bool, steps: int) -> str:
+    """A class-balanced logistic fit by Newton's steps: ``{name}`` has m_i, d_i (scaling) and b_i, the last of them the bias.
+
+    Each step sums the Hessian and the gradient over all rows and solves for the
+    move by elimination, column after column.
+    """
+    d = len(xs)
+    every = range(1, d + 2)
+    listed = lambda form, part: ", ".join(form.format(i=i) for i in part)
+    out = [
+        f"{name}_r AS MATERIALIZED (SELECT {', '.join(f'CAST({x} AS DOUBLE) AS x{i}' for i, x in enumerate(xs, 1))}, CAST(edge_label AS DOUBLE) AS y FROM {src})",
+        f"{name}_m AS MATERIALIZED (SELECT count(*)::DOUBLE AS n, sum(y) AS p, {listed('sum(x{i}) / count(*) AS m{i}', range(1, d + 1))} FROM {name}_r)",
+        f"{name}_d AS MATERIALIZED (SELECT {listed('coalesce(nullif(sqrt(sum((x{i} - m{i}) * (x{i} - m{i})) / any_value(n)), 0.0::DOUBLE), 1.0::DOUBLE) AS d{i}', range(1, d + 1))} FROM {name}_r, {name}_m)",
+        f"{name}_u AS MATERIALIZED (SELECT {listed('(x{i} - m{i}) / d{i} AS u{i}', range(1, d + 1))}, 1.0::DOUBLE AS u{d + 1}, y, "
+        f"n / (2.0::DOUBLE * CASE WHEN y = 1 THEN p ELSE n - p END) AS w FROM {name}_r, {name}_m, {name}_d)",
+        f"{name}_f0 AS MATERIALIZED (SELECT {listed('0.0::DOUBLE AS b{i}', every)})",
+    ]
+    for k in range(1, steps + 1):
+        z = " + ".join(f"u{i} * b{i}" for i in every)
+        ridge = {i: 1.0 if i <= d or ridge_on_bias else 0.0 for i in every}
+        out.append(f"{name}_q{k} AS MATERIALIZED (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(-greatest(least({z}, 30.0::DOUBLE), -30.0::DOUBLE))) AS q FROM {name}_u, {name}_f{k - 1})")
+        sums = [f"sum(w * q * (1.0::DOUBLE - q) * u{i} * u{j}) + {ridge[i] if i == j else 0.0}::DOUBLE AS a{i}_{j}" for i in every for j in every]
+        sums += [f"sum(w * (q - y) * u{i}) + {ridge[i]}::DOUBLE * any_value(b{i}) AS a{i}_0" for i in every]
+        out.append(f"{name}_e{k}_0 AS MATERIALIZED (SELECT {', '.join(sums)} FROM {name}_q{k})")
+        for c in range(1, d + 1):  # clear column c below its row
+            cells = []
+            for i in every:
+                for j in (*every, 0):
+                    own = f"a{i}_{j}"
+                    cells.append(f"{own} - a{i}_{c} / a{c}_{c} * a{c}_{j} AS {own}" if i > c else own)
+            out.append(f"{name}_e{k}_{c} AS MATERIALIZED (SELECT {', '.join(cells)} FROM {name}_e{k}_{c - 1})")
+        last = f"{name}_e{k}_{d}"
+        for i in reversed(every):
+            known = "".join(f" - a{i}_{j} * t{j}" for j in range(i + 1, d + 2))
+            out.append(f"{name}_t{k}_{i} AS MATERIALIZED (SELECT *, (a{i}_0{known}) / a{i}_{i} AS t{i} FROM {last})")
+            last = f"{name}_t{k}_{i}"
+        out.append(f"{name}_f{k} AS MATERIALIZED (SELECT {listed('b{i} - t{i} AS b{i}', every)} FROM {name}_f{k - 1}, {last})")
+    out.append(f"{name} AS MATERIALIZED (SELECT * FROM {name}_m, {name}_d, {name}_f{steps})")
+    return "\n" + ",\n".join(out)
+
+
+CALIBRATION = "\nct AS (SELECT * FROM kept WHERE split = 'train' AND stage1_pred_edge = 1)," + newton("cal", "ct", ["stage1_prob"], True, 12)
+CALIBRATED = """
+lp AS (SELECT kept.*, greatest(least(1.0::DOUBLE / (1.0::DOUBLE + exp(-greatest(least((stage1_prob - m1) / d1 * b1 + b2, 30.0::DOUBLE), -30.0::DOUBLE))),
+                                     0.999999::DOUBLE), 0.000001::DOUBLE) AS local_prob FROM kept, cal),
+ev AS (SELECT *, stage1_pred_edge AS given, ln(local_prob / (1.0::DOUBLE - local_prob)) AS r FROM lp)"""
+FUSION = newton("fu", "ft", ["bm25_score", "stage1_prob", "stage1_prob * distance_prior", "distance_prior"], False, 12)
+
+
+def staged(select: str, calibrated: bool = True) -> str:
+    """The whole protocol: cap and threshold, calibration and penalties are looked up where they were selected."""
+    chosen = """
+sb AS MATERIALIZED (SELECT "Threshold" AS th, "TopK" AS tk FROM res WHERE "Feasible" ORDER BY "RetainedEdges", "TopK", "Threshold" DESC LIMIT 1),
+kept AS MATERIALIZED (SELECT rk.*, CAST(stage1_prob >= sb.th AND source_rank <= sb.tk AS INTEGER) AS stage1_pred_edge FROM rk, sb)"""
+    best = f"\npb AS MATERIALIZED (SELECT lambda_0, lambda_t FROM gr ORDER BY {GRID_ORDER} LIMIT 1)"
+    recovered = RECOVERED.replace(f"{LAMBDA_0}::DOUBLE", "(SELECT lambda_0 FROM pb)").replace(f"{LAMBDA_T}::DOUBLE", "(SELECT lambda_t FROM pb)")
+    evidence = (CALIBRATION, CALIBRATED) if calibrated else (EVIDENCE.replace("round(ln(", "(ln(").replace(", 6) AS r", ") AS r"),)
+    ranked = RANKED.split("kept AS", 1)[0].rstrip().rstrip(",")
+    return with_(
+        select, base(), SCORED, ranked, RETENTION, chosen, *evidence, GRID, best, recovered,
+        f"\ncf AS (SELECT split, {conf('edge_label', 'pred')} FROM rec GROUP BY split)", rank_cte("rec", "edge_label", "final_score", "rm", ["split"]),
+        "\ncj AS (SELECT cf.*, rm.auc, rm.ap FROM cf JOIN rm ON cf.split = rm.split)",
+    )
+
+
 MOD = 2147483647
 BOOT = f"""
 te AS (SELECT session_id, edge_label, pred, stage1_pred_edge AS bp, round(final_score, 6) AS fs FROM rec WHERE split = 'test'),
@@ -858,6 +925,26 @@ nb AS (SELECT *, (row_number() OVER (ORDER BY md5('42:' || anchor), anchor, md5(
  CASE x WHEN 'yes' THEN 'Content-Dependent' WHEN 'no' THEN 'No-Dependency' WHEN 'maybe' THEN 'a' ELSE 'Error' END AS dependency_type,
  CASE x WHEN 'yes' THEN 'Complaint' WHEN 'no' THEN 'Topic Shift' WHEN 'maybe' THEN 'b' ELSE 'Error' END AS relation_type,
  CASE x WHEN 'yes' THEN 'r' WHEN 'no' THEN 'n' WHEN 'maybe' THEN 'm' ELSE 'API failed' END AS dep_reason FROM (SELECT edge_id, {_RESP} AS x FROM e)""")
+    q["fusion_coefficients"] = on_scored(
+        "SELECT feature, round(coefficient, 6) AS coefficient FROM (SELECT unnest(['bm25_score', 'semantic_score', 'pairwise_score', 'distance_prior', 'intercept']) AS feature, "
+        "unnest([b1, b2, b3, b4, b5]) AS coefficient FROM fu)", BM25, "\nft AS (SELECT * FROM bm WHERE split = 'train')", FUSION)
+    q["score_fusion"] = on_scored(
+        "SELECT edge_id, round(1.0::DOUBLE / (1.0::DOUBLE + exp(-greatest(least((bm25_score - m1) / d1 * b1 + (stage1_prob - m2) / d2 * b2 "
+        "+ (stage1_prob * distance_prior - m3) / d3 * b3 + (distance_prior - m4) / d4 * b4 + b5, 30.0::DOUBLE), -30.0::DOUBLE))), 6) AS fusion FROM bm, fu",
+        BM25, "\nft AS (SELECT * FROM bm WHERE split = 'train')", FUSION)
+    q["frozen_fusion"] = q["score_fusion"]
+    q["calibration"] = on_kept("SELECT round(m1, 6) AS mean, round(d1, 6) AS deviation, round(b1, 6) AS weight, round(b2, 6) AS bias FROM cal", CALIBRATION)
+    q["calibrated_columns"] = on_kept(
+        "SELECT edge_id, given AS stage2_graph_input_pred, round(local_prob, 6) AS local_prob, round(r, 6) AS local_evidence FROM ev", CALIBRATION, CALIBRATED)
+    summary = rates("cf", "split").replace(" FROM cf", ", round(auc, 6) AS auc, round(ap, 6) AS ap FROM cj")
+    q["staged_run"] = staged(summary)
+    q["staged_parameters"] = staged(
+        "SELECT parameter, round(value, 6) AS value FROM (SELECT unnest(['selected_threshold', 'selected_top_k', 'selected_lambda_0', 'selected_lambda_t']) AS parameter, "
+        "unnest([th, CAST(tk AS DOUBLE), lambda_0, lambda_t]) AS value FROM sb, pb)")
+    chosen = summary.replace(" FROM cj", ", (SELECT round(lambda_0, 6) FROM pb) AS selected_lambda_0, (SELECT round(lambda_t, 6) FROM pb) AS selected_lambda_t FROM cj")
+    q["evidence_ablation"] = (
+        f"SELECT 'raw_stage1_prob' AS condition, a.* FROM ({staged(chosen, False)}) a UNION ALL "
+        f"SELECT 'calibrated_lr' AS condition, b.* FROM ({staged(chosen)}) b")
     for name in REGISTRY:
         if name.startswith("long_"):
             q[name] = on_long(q[name.removeprefix("long_")])

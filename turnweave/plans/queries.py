@@ -20,6 +20,7 @@ from ..operators import (
     errors,
     evidence,
     graph,
+    irls,
     labeling,
     metrics,
     pairs,
@@ -31,7 +32,8 @@ from ..operators import (
     splits,
     topicshift,
 )
-from ..session import materialize
+from ..session import materialize, shared_folder
+from ..sources.models import load_model, save_model
 from ..sources.writers import prediction_audit
 from ..streaming import candidates as stream_candidates
 from ..streaming import sessionize as stream_sessions
@@ -1045,7 +1047,7 @@ def event_sessions_stream(spark, d):
     return _in_micros(done.result("user_id bigint, start timestamp, end timestamp, events bigint, total double"))
 
 
-# -- learned scorers and the staged run (no SQL form) -----------------------
+# -- learned scorers and the staged run --------------------------------------
 
 @query
 def lr_scorer(spark, d):
@@ -1053,21 +1055,77 @@ def lr_scorer(spark, d):
         "edge_label", ((F.col("session_id") + F.col("Q1_row") * 3 + F.col("Q2_row")) % 3 == 0).cast("int")
     )
     features = vx.pair_features(F.col("embedding"), F.col("Q2_embedding"), F.col("distance"))
-    ready = wide.select("edge_id", "edge_label", features.alias("x"))
-    model = scorers.fit_logistic(ready, "x", max_iter=100)
-    return scorers.predict(ready, model, "x").select("edge_id", r6("stage1_semantic_prob", "prob"))
+    ready = materialize(wide.select("edge_id", "edge_label", features.alias("x")))
+    model = irls.fit_irls(ready, "x")
+    return ready.select("edge_id", r6(model.probability("x"), "prob"))
 
 
-@query
-def score_fusion(spark, d):
-    scored = _model_scores(spark, d).withColumnsRenamed({"stage1_prob": "semantic_score"}).withColumn(
+def _fusion_scores(spark, d):
+    return materialize(_model_scores(spark, d)).withColumnsRenamed({"stage1_prob": "semantic_score"}).withColumn(
         "pairwise_score", F.col("semantic_score") * F.col("distance_prior")
     )
-    model = scorers.fit_fusion(scored.where(F.col("split") == "train"))
-    return scorers.predict(scored, model, list(scorers.FUSION_FEATURES), "fusion").select("edge_id", r6("fusion", "fusion"))
+
+
+def _fusion_fit(scored):
+    return irls.fit_irls(scored.where(F.col("split") == "train"), list(scorers.FUSION_FEATURES))
+
+
+@query
+def score_fusion(spark, d):
+    scored = _fusion_scores(spark, d)
+    model = _fusion_fit(scored)
+    return scored.select("edge_id", r6(model.probability(list(scorers.FUSION_FEATURES)), "fusion"))
+
+
+@query
+def frozen_fusion(spark, d):
+    """``score_fusion`` with the fit saved to a file and loaded again."""
+    scored = _fusion_scores(spark, d)
+    path = shared_folder(spark, "models") + "/fusion"
+    save_model(spark, _fusion_fit(scored), path)
+    model = load_model(spark, path, irls.Logistic)
+    return scored.select("edge_id", r6(model.probability(list(scorers.FUSION_FEATURES)), "fusion"))
 
 
 @query
-def staged_run(spark, d):
-    result = run.staged_run(narrow_edges(spark, d), guard_boundary=False)
+def fusion_coefficients(spark, d):
+    model = _fusion_fit(_fusion_scores(spark, d))
+    rows = [*((n, w) for n, w, _ in model.coefficients()), ("intercept", model.bias)]
+    return spark.createDataFrame(rows, "feature string, coefficient double").select("feature", r6("coefficient", "coefficient"))
+
+
+@both_sources
+def calibration(spark, d, source=narrow_edges):
+    """The recalibration fitted on retained train candidates: scaling, weight and bias."""
+    model = evidence.fit_calibration(_retained(spark, d, source).where(F.col("split") == "train"))
+    return spark.createDataFrame([(model.mean, model.deviation, model.weight, model.bias)], "mean double, deviation double, weight double, bias double").select(
+        *[r6(c, c) for c in ("mean", "deviation", "weight", "bias")]
+    )
+
+
+@both_sources
+def calibrated_columns(spark, d, source=narrow_edges):
+    kept = _retained(spark, d, source)
+    model = evidence.fit_calibration(kept.where(F.col("split") == "train"))
+    out = evidence.calibrated_evidence(kept, model)
+    return out.select("edge_id", "stage2_graph_input_pred", r6("stage2a_local_prob", "local_prob"), r6("stage2a_local_evidence", "local_evidence"))
+
+
+@both_sources
+def staged_run(spark, d, source=narrow_edges):
+    result = run.staged_run(source(spark, d), guard_boundary=False)
     return rounded(run.split_summary(result.final), "precision", "recall", "f1", "accuracy", "auc", "ap")
+
+
+@both_sources
+def staged_parameters(spark, d, source=narrow_edges):
+    """What the staged run froze before it read the test split."""
+    found = run.staged_run(source(spark, d), guard_boundary=False).params
+    names = ("selected_threshold", "selected_top_k", "selected_lambda_0", "selected_lambda_t")
+    return spark.createDataFrame([(n, float(found[n])) for n in names], "parameter string, value double").select("parameter", r6("value", "value"))
+
+
+@both_sources
+def evidence_ablation(spark, d, source=narrow_edges):
+    out = run.evidence_ablation(source(spark, d))
+    return rounded(out, "precision", "recall", "f1", "accuracy", "auc", "ap", "selected_lambda_0", "selected_lambda_t")
