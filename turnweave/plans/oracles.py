@@ -593,6 +593,25 @@ bc AS (SELECT d, count(*) FILTER (WHERE edge_label=1 AND pred=1) AS tp, count(*)
    count(*) FILTER (WHERE edge_label=0 AND bp=1) AS bfp, count(*) FILTER (WHERE edge_label=1 AND bp=0) AS bfn FROM bo GROUP BY d)"""
 
 
+#: the same draws for several models: counts of a session times how often a draw picked it
+BOOT_MODELS = BOOT.split("\nbo AS", 1)[0].rstrip().rstrip(",") + """,
+bt AS (SELECT session_id, edge_label, unnest(['Final Graph', 'Stage 1', 'Temporal-distance Prior']) AS "Model",
+   unnest([round(final_score, 6), stage1_prob, round(1.0::DOUBLE / greatest(distance, 1), 6)]) AS score,
+   unnest([pred, stage1_pred_edge, CAST(round(1.0::DOUBLE / greatest(distance, 1), 6) >= 0.5 AS INTEGER)]) AS p FROM rec WHERE split = 'test'),
+dw AS (SELECT d, idx, count(*) AS w FROM p4 GROUP BY d, idx),
+ce AS (SELECT se.idx, "Model", score, sum(edge_label) AS pos, count(*) - sum(edge_label) AS neg, count(*) FILTER (WHERE edge_label = 1 AND p = 1) AS tp,
+   count(*) FILTER (WHERE edge_label = 0 AND p = 1) AS fp, count(*) FILTER (WHERE edge_label = 1 AND p = 0) AS fn
+   FROM bt JOIN se ON bt.session_id = se.session_id GROUP BY se.idx, "Model", score),
+ds AS (SELECT d, "Model", score, sum(w * pos) AS pos, sum(w * neg) AS neg, sum(w * tp) AS tp, sum(w * fp) AS fp, sum(w * fn) AS fn
+   FROM dw JOIN ce ON dw.idx = ce.idx GROUP BY d, "Model", score),
+dc AS (SELECT *, sum(pos) OVER o AS cp, sum(neg) OVER o AS cn FROM ds WINDOW o AS (PARTITION BY d, "Model" ORDER BY score DESC)),
+dt AS (SELECT d, "Model", sum(tp)::DOUBLE AS tp, sum(fp)::DOUBLE AS fp, sum(fn)::DOUBLE AS fn, sum(pos)::DOUBLE AS np, sum(neg)::DOUBLE AS nn,
+   sum(neg * (cp - pos / 2.0::DOUBLE)) AS wins, sum(CASE WHEN pos > 0 THEN pos * cp / (cp + cn)::DOUBLE ELSE 0.0::DOUBLE END) AS steps FROM dc GROUP BY d, "Model"),
+dm AS (SELECT d, "Model", CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0::DOUBLE END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0::DOUBLE END AS rc,
+   CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0::DOUBLE END AS f1,
+   CASE WHEN np > 0 AND nn > 0 THEN wins / (np * nn) END AS auc, CASE WHEN np > 0 AND nn > 0 THEN steps / np END AS ap FROM dt)"""
+
+
 def _ci(metric: str, expr: str, src: str) -> str:
     return (f"SELECT {lit(metric)} AS \"Metric\", round(avg(v), 6) AS \"BootstrapMean\", round(quantile_cont(v, 0.025), 6) AS \"CI_Lower\", "
             f"round(quantile_cont(v, 0.975), 6) AS \"CI_Upper\", {DRAWS} AS \"BootstrapSamples\" FROM (SELECT {expr} AS v FROM {src})")
@@ -925,6 +944,14 @@ nb AS (SELECT *, (row_number() OVER (ORDER BY md5('42:' || anchor), anchor, md5(
  CASE x WHEN 'yes' THEN 'Content-Dependent' WHEN 'no' THEN 'No-Dependency' WHEN 'maybe' THEN 'a' ELSE 'Error' END AS dependency_type,
  CASE x WHEN 'yes' THEN 'Complaint' WHEN 'no' THEN 'Topic Shift' WHEN 'maybe' THEN 'b' ELSE 'Error' END AS relation_type,
  CASE x WHEN 'yes' THEN 'r' WHEN 'no' THEN 'n' WHEN 'maybe' THEN 'm' ELSE 'API failed' END AS dep_reason FROM (SELECT edge_id, {_RESP} AS x FROM e)""")
+    q["bootstrap_models"] = on_recovered(" UNION ALL ".join(
+        f"SELECT \"Model\", {lit(m)} AS \"Metric\", round(avg({c}), 6) AS \"BootstrapMean\", round(quantile_cont({c}, 0.025), 6) AS \"CI_Lower\", "
+        f"round(quantile_cont({c}, 0.975), 6) AS \"CI_Upper\", {DRAWS} AS \"BootstrapSamples\" FROM dm GROUP BY \"Model\""
+        for m, c in (("AUC", "auc"), ("AP", "ap"), ("Precision", "pr"), ("Recall", "rc"), ("F1", "f1"))), BOOT_MODELS)
+    q["bootstrap_paired_models"] = on_recovered(
+        f"SELECT b.\"Model\" AS \"Baseline\", round(avg(a.f1 - b.f1), 6) AS \"F1_Difference_Mean\", round(quantile_cont(a.f1 - b.f1, 0.025), 6) AS \"CI_Lower\", "
+        f"round(quantile_cont(a.f1 - b.f1, 0.975), 6) AS \"CI_Upper\", round(avg(CASE WHEN a.f1 - b.f1 <= 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS \"P_Diff_LE_0\", "
+        f"{DRAWS} AS \"BootstrapSamples\" FROM dm a JOIN dm b ON a.d = b.d AND a.\"Model\" = 'Final Graph' AND b.\"Model\" <> 'Final Graph' GROUP BY b.\"Model\"", BOOT_MODELS)
     q["fusion_coefficients"] = on_scored(
         "SELECT feature, round(coefficient, 6) AS coefficient FROM (SELECT unnest(['bm25_score', 'semantic_score', 'pairwise_score', 'distance_prior', 'intercept']) AS feature, "
         "unnest([b1, b2, b3, b4, b5]) AS coefficient FROM fu)", BM25, "\nft AS (SELECT * FROM bm WHERE split = 'train')", FUSION)

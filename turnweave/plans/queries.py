@@ -13,6 +13,7 @@ from ..functions.numeric import inverse_distance
 from ..operators import (
     bm25,
     bootstrap,
+    bootstrap_vectors,
     candidates,
     channels,
     contracts,
@@ -915,6 +916,39 @@ def bootstrap_paired_f1(spark, d):
     return rounded(out, "F1_Difference_Mean", "CI_Lower", "CI_Upper", "P_Diff_LE_0")
 
 
+#: score and prediction of every model that the bootstrap holds against the final graph
+BOOT_MODELS = {
+    "Final Graph": ("final_graph_score", "final_graph_pred_edge"),
+    "Stage 1": ("stage1_prob", "stage1_pred_edge"),
+    "Temporal-distance Prior": ("distance_prior", "prior_pred"),
+}
+
+
+def _boot_models(spark, d, source=narrow_edges):
+    prior = F.round(inverse_distance(F.col("distance")), 6)
+    test = _recovered(spark, d, source).where(F.col("split") == "test").select(
+        "session_id", "edge_label", "final_graph_pred_edge", F.round("final_graph_score", 6).alias("final_graph_score"),
+        "stage1_prob", "stage1_pred_edge", prior.alias("distance_prior"), (prior >= 0.5).cast("int").alias("prior_pred"),
+    )
+    test = materialize(test)
+    sessions = materialize(bootstrap.index_sessions(test, "session_id"))
+    return bootstrap_vectors.draw_metrics(bootstrap_vectors.long_table(test, BOOT_MODELS), sessions, DRAWS)
+
+
+@both_sources
+def bootstrap_models(spark, d, source=narrow_edges):
+    """Intervals of all metrics of all models, from shared draws."""
+    out = bootstrap_vectors.model_intervals(_boot_models(spark, d, source), DRAWS)
+    return rounded(out, "BootstrapMean", "CI_Lower", "CI_Upper")
+
+
+@both_sources
+def bootstrap_paired_models(spark, d, source=narrow_edges):
+    """F1 of the final graph less that of every other model."""
+    out = bootstrap_vectors.paired_differences(_boot_models(spark, d, source), "Final Graph", DRAWS)
+    return rounded(out, "F1_Difference_Mean", "CI_Lower", "CI_Upper", "P_Diff_LE_0")
+
+
 # -- labelling and pairs ----------------------------------------------------
 
 def _pair_edges(spark, d):
