@@ -134,6 +134,51 @@ def cosine_edges(records: DataFrame, source: str, target: str, window: int = 5,
     return on_runs(records, list(dict.fromkeys([source, target])), compute, _edge_schema(records, "cosine double"), window, **options)
 
 
+def feature_edges(
+    records: DataFrame,
+    source: str,
+    target: str,
+    numeric: tuple[Sequence[str], Sequence[str]],
+    reduce: Callable[[np.ndarray], dict[str, np.ndarray]],
+    schema: str,
+    window: int = 5,
+    rows_at_once: int = 4_096,
+    **options,
+) -> DataFrame:
+    """What ``reduce`` makes of the feature rows [dot, distance, numerics, |a - b|, a * b] of all candidate edges.
+
+    ``numeric`` names one-number vector columns of the source and of the target
+    record.  Features live inside a task, some thousand rows at once; a scorer or a
+    digest leaves it, by the columns of ``schema``.
+    """
+    ours, theirs = numeric
+
+    def compute(run: Run) -> pa.Table:
+        a, b = run.vectors[source].astype(np.float32), run.vectors[target].astype(np.float32)
+        i, j = run.own_pairs()
+        found = []
+        for start in range(0, max(len(i), 1), rows_at_once):
+            p, q = i[start : start + rows_at_once], j[start : start + rows_at_once]
+            x, y = a[p], b[q]
+            dot = (x.astype(np.float64) * y).sum(axis=1, keepdims=True).astype(np.float32)
+            numbers = [(run.pos[q] - run.pos[p])[:, None], *(run.vectors[c][p] for c in ours), *(run.vectors[c][q] for c in theirs)]
+            found.append(reduce(np.hstack([dot, *(n.astype(np.float32) for n in numbers), np.abs(x - y), x * y])))
+        return run.edges(i, j, **{c: np.concatenate([f[c] for f in found]) for c in found[0]})
+
+    return on_runs(records, list(dict.fromkeys([source, target, *ours, *theirs])), compute, _edge_schema(records, schema), window, **options)
+
+
+def state_edges(records: DataFrame, source: str, target: str, reduce: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str, window: int = 5, **options) -> DataFrame:
+    """What ``reduce`` makes of the edge states [s, t, |s - t|, s * t] of all candidate edges."""
+
+    def compute(run: Run) -> pa.Table:
+        i, j = run.own_pairs()
+        s, t = run.vectors[source][i], run.vectors[target][j]
+        return run.edges(i, j, **reduce(np.hstack([s, t, np.abs(s - t), s * t])))
+
+    return on_runs(records, list(dict.fromkeys([source, target])), compute, _edge_schema(records, schema), window, **options)
+
+
 def neighbour_means(run: Run, s: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sums and numbers of neighbours: of every source over its targets, of every target over its sources."""
     out, into = np.zeros_like(t), np.zeros_like(s)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from ..functions.lexicon import ANCHOR_ANSWER_PREFIX, ANCHOR_QUESTION_PREFIX, CANDIDATE_PREFIX
 from ..operators.diagnostics import STAGE_COLUMNS
 from ..operators.recovery import LAMBDA0_GRID, LAMBDAT_GRID
-from .queries import DRAWS, REGISTRY
+from .queries import DRAWS, GRAPH_HIDDEN, GRAPH_IN, GRAPH_LAYERS, REGISTRY, graph_weight
 from .tables import LAMBDA_0, LAMBDA_T, SCORE_FACTOR, TABLE_LEXICON as LEX, THRESHOLD, TOP_K
 
 BLANK = (
@@ -457,6 +457,58 @@ ar AS (SELECT session_id, "Q2_row" AS "row", 'target' AS role, "Q1_row" AS nrow,
 un AS (SELECT session_id, "row", role, unnest(x) AS val, unnest(range(1, 65)) AS i FROM nd)"""
 
 
+def _graph_sql(directed: bool) -> str:
+    """The forward pass with matrices as nested lists; the error function by its series."""
+    factorials = [1.0]
+    for n in range(1, 40):
+        factorials.append(factorials[-1] * n)
+    terms = "[" + ", ".join(f"{(-1) ** n / (f * (2 * n + 1))!r}::DOUBLE" for n, f in enumerate(factorials)) + "]"
+    hidden = GRAPH_HIDDEN
+
+    def layer(name: str, src: str, number: int, width: int) -> str:
+        rows = "[" + ", ".join("[" + ", ".join(f"{graph_weight(number, i, j)}::DOUBLE" for j in range(width)) + "]" for i in range(hidden)) + "]"
+        bias = "[" + ", ".join(f"{graph_weight(number, i, 99)}::DOUBLE" for i in range(hidden)) + "]"
+        scale = "[" + ", ".join(f"{1 + i % 3 / 4}::DOUBLE" for i in range(hidden)) + "]"
+        shift = "[" + ", ".join(f"{(i % 5 - 2) / 8}::DOUBLE" for i in range(hidden)) + "]"
+        dot = f"list_sum(list_transform(range(1, {width + 1}), lambda k: c[k] * ({rows})[o][k]))"
+        erf = f"2.0::DOUBLE / sqrt(pi()) * list_sum(list_transform(range(1, 41), lambda n: ({terms})[n] * pow(v / sqrt(2.0::DOUBLE), 2 * n - 1)))"
+        return f"""
+{name}_z AS (SELECT * EXCLUDE (c), list_transform(range(1, {hidden + 1}), lambda o: {dot} + ({bias})[o]) AS z FROM {src}),
+{name}_m AS (SELECT *, list_sum(z) / {hidden} AS mean FROM {name}_z),
+{name}_v AS (SELECT *, list_sum(list_transform(z, lambda v: (v - mean) * (v - mean))) / {hidden} AS spread FROM {name}_m),
+{name}_n AS (SELECT * EXCLUDE (z, mean, spread), list_transform(range(1, {hidden + 1}),
+   lambda o: (z[o] - mean) / sqrt(spread + 1e-5::DOUBLE) * ({scale})[o] + ({shift})[o]) AS y FROM {name}_v),
+{name} AS (SELECT * EXCLUDE (y), list_transform(y, lambda v: 0.5::DOUBLE * v * (1.0::DOUBLE + {erf})) AS x FROM {name}_n)"""
+
+    parts = [f"""
+ar AS (SELECT session_id, "Q2_row" AS "row", 'target' AS role, "Q1_row" AS nrow, 'source' AS nrole FROM vp
+  UNION SELECT session_id, "Q1_row", 'source', "Q2_row", 'target' FROM vp),
+h0 AS (SELECT session_id, "Q1_row" AS "row", 'source' AS role, any_value(a[1:{GRAPH_IN}]::DOUBLE[]) AS x FROM vp GROUP BY 1, 2
+  UNION ALL SELECT session_id, "Q2_row", 'target', any_value(b[1:{GRAPH_IN}]::DOUBLE[]) FROM vp GROUP BY 1, 2)"""]
+    width = GRAPH_IN
+    for n in range(GRAPH_LAYERS):
+        arcs = "ar" if directed else f'(SELECT * FROM ar UNION ALL SELECT session_id, "row", role, "row", role FROM h{n})'
+        zero = "[" + ", ".join(["0.0::DOUBLE"] * width) + "]"
+        # a source has targets only, a target sources only
+        both = f"CASE WHEN role = 'source' THEN list_concat(x, {zero}, m) ELSE list_concat(x, m, {zero}) END" if directed else "list_concat(x, m)"
+        parts.append(f"""
+u{n} AS (SELECT session_id, "row" AS nrow, role AS nrole, unnest(x) AS val, unnest(range(1, {width + 1})) AS i FROM h{n}),
+w{n} AS (SELECT a.session_id, a."row", a.role, u.i, avg(u.val) AS m FROM {arcs} a
+   JOIN u{n} u ON a.session_id = u.session_id AND a.nrow = u.nrow AND a.nrole = u.nrole GROUP BY ALL),
+y{n} AS (SELECT session_id, "row", role, list(m ORDER BY i) AS m FROM w{n} GROUP BY ALL),
+c{n} AS (SELECT session_id, "row", role, {both} AS c FROM h{n} JOIN y{n} USING (session_id, "row", role))""")
+        parts.append(layer(f"h{n + 1}", f"c{n}", n, width * (3 if directed else 2)))
+        width = hidden
+    last = f"h{GRAPH_LAYERS}"
+    parts.append(f"""
+ed AS (SELECT vp.edge_id, list_concat(s.x, t.x, list_transform(range(1, {hidden + 1}), lambda i: abs(s.x[i] - t.x[i])), list_transform(range(1, {hidden + 1}), lambda i: s.x[i] * t.x[i])) AS c
+   FROM vp JOIN {last} s ON s.session_id = vp.session_id AND s."row" = vp."Q1_row" AND s.role = 'source'
+   JOIN {last} t ON t.session_id = vp.session_id AND t."row" = vp."Q2_row" AND t.role = 'target')""")
+    parts.append(layer("eh", "ed", GRAPH_LAYERS, 4 * hidden))
+    out = " + ".join(f"x[{i + 1}] * {graph_weight(9, i, 0)}::DOUBLE" for i in range(hidden))
+    return with_(f"SELECT edge_id, round({out} + 0.25::DOUBLE, 6) AS margin FROM eh", VECTORS, *parts)
+
+
 def _stage_record(stage: str, note: str, filled: dict[str, str], src: str) -> str:
     cols = ", ".join(
         f'round(CAST({filled.get(c, "NULL")} AS DOUBLE), 6) AS {c}' for c in STAGE_COLUMNS
@@ -944,6 +996,8 @@ nb AS (SELECT *, (row_number() OVER (ORDER BY md5('42:' || anchor), anchor, md5(
  CASE x WHEN 'yes' THEN 'Content-Dependent' WHEN 'no' THEN 'No-Dependency' WHEN 'maybe' THEN 'a' ELSE 'Error' END AS dependency_type,
  CASE x WHEN 'yes' THEN 'Complaint' WHEN 'no' THEN 'Topic Shift' WHEN 'maybe' THEN 'b' ELSE 'Error' END AS relation_type,
  CASE x WHEN 'yes' THEN 'r' WHEN 'no' THEN 'n' WHEN 'maybe' THEN 'm' ELSE 'API failed' END AS dep_reason FROM (SELECT edge_id, {_RESP} AS x FROM e)""")
+    q["graph_forward"] = _graph_sql(False)
+    q["graph_forward_directed"] = _graph_sql(True)
     q["bootstrap_models"] = on_recovered(" UNION ALL ".join(
         f"SELECT \"Model\", {lit(m)} AS \"Metric\", round(avg({c}), 6) AS \"BootstrapMean\", round(quantile_cont({c}, 0.025), 6) AS \"CI_Lower\", "
         f"round(quantile_cont({c}, 0.975), 6) AS \"CI_Upper\", {DRAWS} AS \"BootstrapSamples\" FROM dm GROUP BY \"Model\""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from ..functions import text as tx
 from ..functions import vector as vx
 from ..functions.numeric import inverse_distance
 from ..operators import (
+    blocks,
     bm25,
     bootstrap,
     bootstrap_vectors,
@@ -634,28 +636,29 @@ def _vector_edges(spark, d):
     return candidates.candidate_edges(ready, 5, block, source=["embedding"], target=["embedding"])
 
 
+def _vector_records(spark, d):
+    """The same records with their vector, for work on runs of records."""
+    vectors = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("session_id"), "vec_id", "embedding")
+    block = candidates.choose_block(vectors, "session_id")
+    placed = candidates.number_records(vectors, "session_id", ("vec_id",), "pos", block)
+    size = F.array(F.length(F.col("vec_id").cast("string")).cast("double"))
+    return placed.withColumns({"opens": F.lit(True), "asks": F.lit(True), "size": size})
+
+
 @query
 def cosine_pairs(spark, d):
-    score = vx.cosine(F.col("embedding"), F.col("Q2_embedding"))
-    return _vector_edges(spark, d).select("edge_id", r6(score, "cosine"))
+    return blocks.cosine_edges(_vector_records(spark, d), "embedding", "embedding").select(blocks.edge_id(), r6("cosine", "cosine"))
 
 
 @query
 def edge_vector_features(spark, d):
-    wide = _vector_edges(spark, d)
-    numeric = [F.col("distance"), F.length("Q1"), F.length("A1"), F.length("Q2")]
-    features = vx.pair_features(F.col("embedding"), F.col("Q2_embedding"), *numeric)
-    out = wide.select("edge_id", features.alias("x"))
-    total = F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v.cast("double"))
-    return out.select("edge_id", F.size("x").alias("width"), F.round(total, 3).alias("total"),
-                      F.round(F.element_at("x", 1).cast("double"), 4).alias("cosine"))
-
+    def digest(x):
+        return {"width": np.full(len(x), x.shape[1], np.int32), "total": x.sum(axis=1, dtype=np.float64), "cosine": x[:, 0].astype(np.float64)}
 
-def _nodes(wide: DataFrame) -> DataFrame:
-    source = wide.select("session_id", F.col("Q1_row").alias("row"), F.lit("source").alias("role"), F.col("embedding").alias("x"))
-    target = wide.select("session_id", F.col("Q2_row").alias("row"), F.lit("target").alias("role"), F.col("Q2_embedding").alias("x"))
-    as_double = F.transform("x", lambda v: v.cast("double"))
-    return source.unionByName(target).dropDuplicates(list(graph.NODE)).withColumn("x", as_double)
+    out = blocks.feature_edges(
+        _vector_records(spark, d), "embedding", "embedding", (["size", "size"], ["size"]), digest, "width int, total double, cosine double"
+    )
+    return out.select(blocks.edge_id(), "width", F.round("total", 3).alias("total"), F.round("cosine", 4).alias("cosine"))
 
 
 def _sum(column: str) -> Column:
@@ -664,15 +667,13 @@ def _sum(column: str) -> Column:
 
 @query
 def node_mean_agg(spark, d):
-    wide = _vector_edges(spark, d)
-    out = graph.mean_aggregation(_nodes(wide), wide)
+    out = blocks.mean_nodes(_vector_records(spark, d), "embedding", "embedding")
     return out.select(*graph.NODE, _sum("neigh").alias("neigh_sum"), F.round(F.element_at("neigh", 1), 5).alias("neigh_1"))
 
 
 @query
 def node_in_out_agg(spark, d):
-    wide = _vector_edges(spark, d)
-    out = graph.in_out_aggregation(_nodes(wide), wide)
+    out = blocks.in_out_nodes(_vector_records(spark, d), "embedding", "embedding")
     return out.select(*graph.NODE, _sum("incoming").alias("in_sum"), _sum("outgoing").alias("out_sum"))
 
 
@@ -683,9 +684,50 @@ def node_texts(spark, d):
 
 @query
 def edge_states(spark, d):
-    wide = _vector_edges(spark, d)
-    out = graph.edge_states(wide.select("edge_id", "session_id", "Q1_row", "Q2_row"), _nodes(wide))
-    return out.select("edge_id", F.size("edge_state").alias("width"), _sum("edge_state").alias("total"))
+    def digest(x):
+        return {"width": np.full(len(x), x.shape[1], np.int32), "total": x.sum(axis=1)}
+
+    out = blocks.state_edges(_vector_records(spark, d), "embedding", "embedding", digest, "width int, total double")
+    return out.select(blocks.edge_id(), "width", F.round("total", 4).alias("total"))
+
+
+#: dimensions of the network that the graph queries run; its weights follow from a declared formula
+GRAPH_IN, GRAPH_HIDDEN, GRAPH_LAYERS = 6, 4, 2
+
+
+def graph_weight(layer: int, i: int, j: int) -> float:
+    return ((i * 7 + j * 13 + layer * 5) % 11 - 5) / 8.0
+
+
+def _graph_model(directed: bool):
+    """Layers and edge head; the head's hidden layer counts as the layer after the last."""
+
+    def layer(number: int, width: int) -> blocks.Layer:
+        weight = np.array([[graph_weight(number, i, j) for j in range(width)] for i in range(GRAPH_HIDDEN)])
+        each = np.arange(GRAPH_HIDDEN)
+        return blocks.Layer(weight, np.array([graph_weight(number, i, 99) for i in each]), 1 + each % 3 / 4, (each % 5 - 2) / 8)
+
+    widths = [GRAPH_IN, *[GRAPH_HIDDEN] * (GRAPH_LAYERS - 1)]
+    layers = [layer(n, w * (3 if directed else 2)) for n, w in enumerate(widths)]
+    hidden = layer(GRAPH_LAYERS, 4 * GRAPH_HIDDEN)
+    return layers, blocks.EdgeHead(hidden, np.array([graph_weight(9, i, 0) for i in range(GRAPH_HIDDEN)]), 0.25)
+
+
+def _graph_scores(spark, d, directed):
+    rows = _vector_records(spark, d).withColumn("x", F.slice("embedding", 1, GRAPH_IN))
+    out = blocks.graph_scores(rows, "x", "x", *_graph_model(directed), directed=directed)
+    return out.select(blocks.edge_id(), r6("margin", "margin"))
+
+
+@query
+def graph_forward(spark, d):
+    """Two undirected layers and the edge head over every session's candidate graph."""
+    return _graph_scores(spark, d, False)
+
+
+@query
+def graph_forward_directed(spark, d):
+    return _graph_scores(spark, d, True)
 
 
 # -- splits and contracts ---------------------------------------------------
