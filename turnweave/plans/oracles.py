@@ -996,6 +996,35 @@ nb AS (SELECT *, (row_number() OVER (ORDER BY md5('42:' || anchor), anchor, md5(
  CASE x WHEN 'yes' THEN 'Content-Dependent' WHEN 'no' THEN 'No-Dependency' WHEN 'maybe' THEN 'a' ELSE 'Error' END AS dependency_type,
  CASE x WHEN 'yes' THEN 'Complaint' WHEN 'no' THEN 'Topic Shift' WHEN 'maybe' THEN 'b' ELSE 'Error' END AS relation_type,
  CASE x WHEN 'yes' THEN 'r' WHEN 'no' THEN 'n' WHEN 'maybe' THEN 'm' ELSE 'API failed' END AS dep_reason FROM (SELECT edge_id, {_RESP} AS x FROM e)""")
+    line = lambda artifact, rule, kind, checked, bad: (
+        f"SELECT {lit(artifact)} AS artifact, {lit(rule)} AS rule, {lit(kind)} AS kind, CAST(({checked}) AS BIGINT) AS checked, CAST(({bad}) AS BIGINT) AS violations")
+    over = lambda artifact, rule, kind, cond: line("edges", rule, kind, f"SELECT count(*) FROM {artifact}", f"SELECT count(*) FROM {artifact} WHERE {cond}")
+    groups = lambda rule, kind, keys, cond, where="true": line(
+        "edges", rule, kind, f"SELECT count(*) FROM (SELECT {keys} FROM bk WHERE {where} GROUP BY {keys})",
+        f"SELECT count(*) FROM (SELECT {keys} FROM bk WHERE {where} GROUP BY {keys} HAVING {cond})")
+    distinct = "(SELECT DISTINCT session_id FROM {})"
+    q["contract_report"] = on_long(on_kept(" UNION ALL ".join([
+        over("bk", "edges_keys_present", "present", "edge_id IS NULL OR edge_id = '' OR session_id IS NULL OR Q1_row IS NULL OR Q2_row IS NULL"),
+        over("bk", "edges_numbers_finite", "finite", "edge_label IS NULL OR stage1_pred_edge IS NULL OR stage1_prob IS NULL"),
+        over("bk", "edges_labels", "among", "edge_label NOT IN (0, 1)"), over("bk", "edges_predictions", "among", "stage1_pred_edge NOT IN (0, 1)"),
+        over("bk", "edges_probabilities", "between", "stage1_prob < 0 OR stage1_prob > 1"), groups("edges_edge_ids", "unique", "edge_id", "count(*) > 1"),
+        groups("edges_target_candidates", "at_most", "session_id, Q2_row", "count(*) > 4", "stage1_pred_edge = 1"),
+        groups("edges_one_split", "one_value", "session_id", "count(DISTINCT split) > 1"),
+        line("edges", "in_manifest", "contained", f"SELECT count(*) FROM {distinct.format('bk')}", f"SELECT count(*) FROM {distinct.format('bk')} WHERE session_id NOT IN (SELECT session_id FROM mf)"),
+        line("manifest", "same_sessions", "same_keys", "SELECT count(*) FROM (SELECT session_id FROM mf UNION SELECT session_id FROM bk)",
+             "SELECT count(*) FROM (SELECT session_id FROM mf UNION SELECT session_id FROM bk) WHERE session_id NOT IN (SELECT session_id FROM mf) OR session_id NOT IN (SELECT session_id FROM bk)"),
+        line("train", "no_leak", "disjoint", "SELECT count(DISTINCT session_id) FROM bk WHERE split = 'train'",
+             "SELECT count(DISTINCT session_id) FROM bk WHERE split = 'train' AND session_id IN (SELECT session_id FROM bk WHERE split = 'test')"),
+        line("test", "rows_expected", "rows", "SELECT count(*) FROM bk WHERE split = 'test'", "SELECT abs(count(*) - 1000) FROM bk WHERE split = 'test'"),
+        line("manifest", "sessions_expected", "distinct", "SELECT count(*) FROM mf", "SELECT abs(count(*) - 275) FROM mf"),
+        over("bk", "selected_only_if_near", "implies", "distance = 5 AND stage1_pred_edge <> 0"),
+        "SELECT 'graph' AS artifact, 'graph_written' AS rule, 'unique' AS kind, CAST(0 AS BIGINT) AS checked, CAST(NULL AS BIGINT) AS violations",
+    ]), """
+bk AS (SELECT * REPLACE (CASE WHEN (Q1_row * 7 + Q2_row) % 97 = 0 THEN 2 ELSE edge_label END AS edge_label,
+   CASE WHEN session_id % 31 = 7 THEN stage1_prob + 1 ELSE stage1_prob END AS stage1_prob,
+   CASE WHEN session_id % 29 = 3 AND Q1_row = 0 THEN NULL WHEN session_id % 37 = 5 AND Q1_row = 1 THEN 'same' ELSE edge_id END AS edge_id,
+   CASE WHEN session_id % 41 = 2 AND Q2_row = 3 THEN 'test' ELSE split END AS split) FROM kept),
+mf AS (SELECT DISTINCT user_id // 2 AS session_id FROM events WHERE (user_id // 2) % 13 <> 1)"""))
     q["graph_forward"] = _graph_sql(False)
     q["graph_forward_directed"] = _graph_sql(True)
     q["bootstrap_models"] = on_recovered(" UNION ALL ".join(

@@ -29,6 +29,7 @@ from ..operators import (
     pairs,
     recovery,
     retention,
+    rules,
     scorers,
     sensitivity,
     sessionize,
@@ -771,6 +772,34 @@ def partition_report(spark, d):
     return contracts.partition_report(_retained(spark, d))
 
 
+@query
+def contract_report(spark, d):
+    """Rules as data on a copy of the long sessions that is broken on purpose, against its manifest and its parts."""
+    kept = _retained(spark, d, long_edges)
+    at = lambda sql, broken, column: F.when(F.expr(sql), broken).otherwise(F.col(column))
+    broken = kept.withColumns({
+        "edge_label": at("(Q1_row * 7 + Q2_row) % 97 = 0", F.lit(2), "edge_label"),
+        "stage1_prob": at("session_id % 31 = 7", F.col("stage1_prob") + 1, "stage1_prob"),
+        "edge_id": F.when(F.expr("session_id % 29 = 3 and Q1_row = 0"), F.lit(None)).otherwise(at("session_id % 37 = 5 and Q1_row = 1", F.lit("same"), "edge_id")),
+        "split": at("session_id % 41 = 2 and Q2_row = 3", F.lit("test"), "split"),
+    })
+    broken = materialize(broken)
+    manifest = table(spark, d, "events").select(F.expr("user_id div 2").alias("session_id")).distinct().where("session_id % 13 <> 1")
+    part = lambda name: broken.where(F.col("split") == name)
+    artifacts = {"edges": broken, "manifest": manifest, "train": part("train"), "test": part("test")}
+    listed = [
+        *rules.scored_split_rules("edges", 4),
+        rules.Rule("in_manifest", "edges", "contained", ("session_id",), ("manifest",)),
+        rules.Rule("same_sessions", "manifest", "same_keys", ("session_id",), ("edges",)),
+        rules.Rule("no_leak", "train", "disjoint", ("session_id",), ("test",)),
+        rules.Rule("rows_expected", "test", "rows", (), (1000,)),
+        rules.Rule("sessions_expected", "manifest", "distinct", ("session_id",), (275,)),
+        rules.Rule("selected_only_if_near", "edges", "implies", ("distance", "stage1_pred_edge"), (5, 0)),
+        rules.Rule("graph_written", "graph", "unique", ("edge_id",)),
+    ]
+    return rules.report(artifacts, listed)
+
+
 @query
 def graph_align(spark, d):
     final = _recovered(spark, d).select("edge_id", "final_graph_pred_edge", r6("final_graph_score", "final_graph_score"))
