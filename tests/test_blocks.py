@@ -149,3 +149,34 @@ def test_errors_and_empty(spark, records):
         blocks.layers_from_table(weights)
     full = weights.union(spark.createDataFrame([("w", 0, 1, 3.0), ("w", 1, 0, 4.0)], weights.schema))
     assert blocks.layers_from_table(full)["w"].tolist() == [[1.0, 3.0], [4.0, 2.0]]
+
+
+def test_sparse_product(spark, block):
+    rng = random.Random(3)
+    rows = table()
+    bags = [({f"w{rng.randint(0, 9)}": rng.random() for _ in range(rng.randint(0, 5))}, {f"w{rng.randint(0, 9)}": 1.0 + rng.randint(0, 2) for _ in range(4)}) for _ in rows]
+    shape = "session_id string, pos int, opens boolean, asks boolean, d array<struct<term:string,x:double>>, q array<struct<term:string,x:double>>"
+    frame = spark.createDataFrame([(*r[:4], list(a.items()), list(b.items()) if i % 9 else None) for i, (r, (a, b)) in enumerate(zip(rows, bags))], shape)
+    at = {(r[0], r[1]): (a, b if i % 9 else {}) for i, (r, (a, b)) in enumerate(zip(rows, bags))}
+    out = blocks.sparse_product_edges(frame, "d", "q", "score", WINDOW, block=block).collect()
+    want = {(s, p, q): sum(x * at[s, p][0].get(t, 0.0) for t, x in at[s, q][1].items()) for s, p, q in edges_of(rows)}
+    found = {(r.session_id, r.Q1_row, r.Q2_row): r.score for r in out}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_followed_records_agree_in_both_layouts(spark):
+    from turnweave.operators.candidates import with_followed
+
+    rows = [(s, p, (p * 7 + len(s or "")) % 3 == 0) for s in ("a", "bb", None) for p in range(23)]
+    frame = spark.createDataFrame(rows, "session_id string, pos long, asks boolean")
+    plain = {(r.session_id, r.pos): r.followed for r in with_followed(frame, 2).collect()}
+    assert plain == {(r.session_id, r.pos): r.followed for r in with_followed(frame, 2, 4).collect()} and len(plain) == 69
+    assert plain == {(s, p): any((s, q, True) in rows for q in (p + 1, p + 2)) for s, p, _ in rows}
+
+
+def test_term_counts(spark):
+    from turnweave.operators.bm25 import term_counts
+
+    frame = spark.createDataFrame([(["b", "a", "b", "b"],), ([],), (None,)], "k array<string>")
+    found = [r.c and [tuple(x) for x in r.c] for r in frame.select(term_counts("k").alias("c")).collect()]
+    assert found == [[("a", 1.0), ("b", 3.0)], [], None]

@@ -38,6 +38,7 @@ class Run:
     asks: np.ndarray
     vectors: dict[str, np.ndarray]
     window: int
+    raw: dict[str, pa.ChunkedArray]
 
     def pairs(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """(sources, targets) for each distance from 1 to the window."""
@@ -78,8 +79,9 @@ def on_runs(
     window: int = 5,
     reach: int | None = None,
     block: int = BLOCK,
+    raw: Sequence[str] = (),
 ) -> DataFrame:
-    """``compute`` for every group of ``records`` (session_id, pos, opens, asks and vector columns).
+    """``compute`` for every group of ``records`` (session_id, pos, opens, asks, vector and ``raw`` columns).
 
     ``pos`` counts the records of a session from 0; ``reach`` is how many records
     to either side of a home record a result may depend on (the window, if not
@@ -94,7 +96,7 @@ def on_runs(
     home = F.floor(pos / block)
     shown = F.sequence(F.greatest(F.floor((pos - reach) / block), F.lit(0)), F.floor((pos + reach) / block))
     rows = records.select(
-        "session_id", pos.alias("pos"), F.coalesce("opens", F.lit(False)).alias("opens"), F.coalesce("asks", F.lit(False)).alias("asks"), *vectors,
+        "session_id", pos.alias("pos"), F.coalesce("opens", F.lit(False)).alias("opens"), F.coalesce("asks", F.lit(False)).alias("asks"), *vectors, *raw,
         F.pmod(F.xxhash64("session_id"), F.lit(groups)).alias("_group"), home.alias("_home"), F.explode(shown).alias("_block"),
     )
 
@@ -107,7 +109,7 @@ def on_runs(
         at_home = (table.column("_home").to_numpy() == table.column("_block").to_numpy()).astype(bool)
         return compute(Run(
             table.column("session_id"), codes[order], table.column("pos").to_numpy(), at_home, flag("opens"), flag("asks"),
-            {c: matrix(c) for c in vectors}, window,
+            {c: matrix(c) for c in vectors}, window, {c: table.column(c) for c in raw},
         ))
 
     return rows.groupBy("_group", "_block").applyInArrow(task, schema)
@@ -228,6 +230,26 @@ def in_out_nodes(records: DataFrame, source: str, target: str, window: int = 5,
     return on_runs(records, list(dict.fromkeys([source, target])), compute, _node_schema(records, "incoming array<double>, outgoing array<double>"), window, **options)
 
 
+def sparse_product_edges(records: DataFrame, document: str, query: str, name: str, window: int = 5, **options) -> DataFrame:
+    """``session_id, Q1_row, Q2_row`` and ``name``: for all candidate edges the product of two sparse vectors.
+
+    ``document`` of the source and ``query`` of the target are arrays of
+    (term, number); a term occurs once in an array.
+    """
+
+    def compute(run: Run) -> pa.Table:
+        i, j = run.own_pairs()
+        terms = lambda column, at: {k: {t["term"]: t["x"] for t in run.raw[column][k].as_py() or ()} for k in np.unique(at).tolist()}
+        documents, queries = terms(document, i), terms(query, j)
+        score = np.zeros(len(i))
+        for n, (p, q) in enumerate(zip(i.tolist(), j.tolist())):
+            weights = documents[p]
+            score[n] = sum(x * weights[t] for t, x in queries[q].items() if t in weights)
+        return run.edges(i, j, **{name: score})
+
+    return on_runs(records, [], compute, _edge_schema(records, f"{name} double"), window, raw=[document, query], **options)
+
+
 # --------------------------------------------------------------------------
 # Layers of a graph network
 # --------------------------------------------------------------------------

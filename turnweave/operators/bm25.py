@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bm25_tokens, clean_text
-from ..session import materialize
+from ..session import lookup_join, materialize
+from .blocks import sparse_product_edges
 
 K1 = 1.5
 B = 0.75
@@ -135,3 +136,43 @@ def score_edges(
     return edges.select(key).join(sums, key, "left").select(
         key, F.coalesce("_s", F.lit(0.0)).alias(name)
     )
+
+
+def term_counts(tokens: str) -> Column:
+    """A bag of tokens as an array of (term, x), each term once with its number; the bag is sorted and walked once."""
+    walk = (
+        f"aggregate(array_sort({tokens}), cast(array() as array<struct<term:string,x:double>>), (a, t) -> "
+        "if(size(a) > 0 and element_at(a, -1).term = t, "
+        "concat(slice(a, 1, size(a) - 1), array(struct(t as term, element_at(a, -1).x + 1.0D as x))), "
+        "concat(a, array(struct(t as term, 1.0D as x)))))"
+    )
+    return F.expr(walk)
+
+
+def record_weights(
+    records: DataFrame, corpus: Corpus, doc_tokens: str = "doc_tokens", query_tokens: str = "query_tokens", k1: float = K1, b: float = B
+) -> DataFrame:
+    """``session_id, pos, opens, asks`` and two sparse vectors per record.
+
+    ``document`` has the BM25 weight of each term of the record's own text, with
+    idf attached once per record and term; ``query`` has how often each term
+    occurs in the question.  Terms outside the corpus weigh nothing and are left out.
+    """
+    length = F.size(doc_tokens) / F.lit(corpus.avgdl) if corpus.avgdl else F.lit(0.0)
+    norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * length)
+    terms = records.select("session_id", "pos", norm.alias("norm"), F.explode(term_counts(doc_tokens)).alias("t"))
+    terms = terms.select("session_id", "pos", "norm", F.col("t.term").alias("token"), F.col("t.x").alias("tf"))
+    weighed = lookup_join(terms, corpus.terms.select("token", "idf"), ["token"], F.col("pos"), "inner")
+    x = F.col("idf") * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + F.col("norm") + 1e-9)
+    rest = F.struct("opens", "asks", term_counts(query_tokens).alias("query"))
+    # record and terms meet in one exchange
+    both = weighed.select("session_id", "pos", F.struct(F.col("token").alias("term"), x.alias("x")).alias("w"), F.lit(None).alias("rest")).unionByName(
+        records.select("session_id", "pos", F.lit(None).alias("w"), rest.alias("rest"))
+    )
+    whole = both.groupBy("session_id", "pos").agg(F.collect_list("w").alias("document"), F.first("rest", ignorenulls=True).alias("rest"))
+    return whole.select("session_id", "pos", "rest.opens", "rest.asks", "document", "rest.query")
+
+
+def score_records(records: DataFrame, corpus: Corpus, window: int = 5, name: str = "bm25_score", **options) -> DataFrame:
+    """``session_id, Q1_row, Q2_row, bm25_score`` of all candidate edges of records with token bags."""
+    return sparse_product_edges(record_weights(records, corpus), "document", "query", name, window, **options)

@@ -270,6 +270,19 @@ def candidate_edges(
     )
 
 
+def with_followed(records: DataFrame, window: int = DEFAULT_WINDOW, block: int | None = None) -> DataFrame:
+    """Add ``followed``: whether a record that asks comes within the window (``pos``, ``asks``)."""
+    follows = F.coalesce(F.max(F.col("asks").cast("int")).over(Window.partitionBy("session_id").orderBy("pos").rowsBetween(1, window)), F.lit(0)) > 0
+    if block is None:
+        return records.withColumn("followed", follows)
+    home = integer_slice(F.col("pos"), block)
+    shown = F.when((F.pmod(F.col("pos"), F.lit(block)) < window) & (F.col("pos") >= block), F.array(home, home - 1)).otherwise(F.array(home))
+    ahead = Window.partitionBy("session_id", "_block").orderBy("pos").rowsBetween(1, window)
+    staged = records.withColumn("_home", home).withColumn("_block", F.explode(shown))
+    staged = staged.withColumn("followed", F.coalesce(F.max(F.col("asks").cast("int")).over(ahead), F.lit(0)) > 0)
+    return staged.where(F.col("_home") == F.col("_block")).drop("_home", "_block")
+
+
 def min_target_length(edges: DataFrame, length: int, size: Column | None = None) -> DataFrame:
     """Edges whose target question has ``length`` characters; ``size`` where edges carry it in place of texts."""
     size = F.length("Q2") if size is None else size

@@ -586,11 +586,28 @@ def bm25_corpus(spark, d):
     return terms.select("token", "df", "n_docs", r6("avgdl", "avgdl"), r6("idf", "idf"))
 
 
+def _bag_records(spark, d):
+    """Records with token bags, written once: corpus statistics and scores both read them."""
+    block = block_size(spark, d)
+    base = records(spark, d, block)
+    anchor = tx.clean_text(tx.anchor_text(F.col("Q"), F.col("A")))
+    asks = F.length("Q") > 0
+    return materialize(candidates.with_followed(base.select(
+        "session_id", "pos", asks.alias("asks"), (asks & (F.length("A") > 0)).alias("opens"), split_of(F.col("session_id")).alias("split"),
+        anchor.alias("anchor_text"), tx.bm25_tokens(anchor).alias("doc_tokens"),
+        tx.bm25_tokens(tx.clean_text(tx.candidate_text(F.col("Q")))).alias("query_tokens"),
+    ), 5, block))
+
+
+def _bm25_edges(spark, d):
+    bags = _bag_records(spark, d)
+    corpus = bm25.fit(bags.where("split = 'train' and opens and followed"))
+    return rounded(bm25.score_records(bags, corpus), "bm25_score")
+
+
 @query
 def bm25_scores(spark, d):
-    wide = _token_edges(spark, d)
-    corpus = bm25.fit(_train_anchors(wide))
-    return rounded(bm25.score_edges(wide, corpus), "bm25_score")
+    return _bm25_edges(spark, d).select(blocks.edge_id(), "bm25_score")
 
 
 @query
@@ -599,10 +616,8 @@ def distance_prior(spark, d):
 
 
 def _model_scores(spark, d):
-    wide = _token_edges(spark, d)
-    scores = rounded(bm25.score_edges(wide, bm25.fit(_train_anchors(wide))), "bm25_score")
-    base = wide.select(*NARROW).withColumn("distance_prior", F.round(inverse_distance(F.col("distance")), 6))
-    return base.join(scores, "edge_id")
+    base = narrow_edges(spark, d).withColumn("distance_prior", F.round(inverse_distance(F.col("distance")), 6))
+    return base.join(_bm25_edges(spark, d).select(blocks.edge_id(), "bm25_score"), "edge_id")
 
 
 MODELS = {"BM25": "bm25_score", "Temporal-distance Prior": "distance_prior", "Term Overlap": "stage1_prob"}
