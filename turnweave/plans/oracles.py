@@ -1025,6 +1025,16 @@ bk AS (SELECT * REPLACE (CASE WHEN (Q1_row * 7 + Q2_row) % 97 = 0 THEN 2 ELSE ed
    CASE WHEN session_id % 29 = 3 AND Q1_row = 0 THEN NULL WHEN session_id % 37 = 5 AND Q1_row = 1 THEN 'same' ELSE edge_id END AS edge_id,
    CASE WHEN session_id % 41 = 2 AND Q2_row = 3 THEN 'test' ELSE split END AS split) FROM kept),
 mf AS (SELECT DISTINCT user_id // 2 AS session_id FROM events WHERE (user_id // 2) % 13 <> 1)"""))
+    q["filled_anchor_batches"] = """
+WITH RECURSIVE a AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source),
+m AS (SELECT list(n ORDER BY n DESC) AS ms, CAST(sum(n) AS BIGINT) AS total FROM a),
+p(i, left_over, places) AS (SELECT CAST(0 AS BIGINT), total, CAST(16 AS BIGINT) FROM m
+  UNION ALL SELECT i + 1, left_over - CAST(ms[i + 1] AS BIGINT), places - 1 FROM p, m WHERE places > 1 AND i < len(ms) AND ms[i + 1] > left_over // places),
+f AS (SELECT * FROM p ORDER BY i DESC LIMIT 1),
+t AS (SELECT unnest(range(0, CAST(greatest((SELECT left_over // places + 1 FROM f), (SELECT ms[1] FROM m)) AS BIGINT))) AS batch),
+s AS (SELECT batch, CAST(len(list_filter(ms[1:i], lambda x: x > batch)) + CASE WHEN batch < left_over // places THEN places
+   WHEN batch = left_over // places THEN left_over % places ELSE 0 END AS BIGINT) AS pairs FROM t, m, f)
+SELECT batch, pairs, pairs AS anchors FROM s WHERE pairs > 1"""
     q["graph_forward"] = _graph_sql(False)
     q["graph_forward_directed"] = _graph_sql(True)
     q["bootstrap_models"] = on_recovered(" UNION ALL ".join(

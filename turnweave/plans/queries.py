@@ -1061,6 +1061,14 @@ def unique_anchor_batches(spark, d):
     )
 
 
+@query
+def filled_anchor_batches(spark, d):
+    """Batches of documents that never hold a source twice: sources are few and some very common."""
+    docs = table(spark, d, "documents").where("source is not null")
+    found = pairs.filled_anchor_batches(docs.select(F.col("source").alias("anchor"), F.col("doc_id").cast("string").alias("candidate")), 16)
+    return found.groupBy("batch").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("anchor").alias("anchors"))
+
+
 @query
 def pending_rows(spark, d):
     shifted = topicshift.auto_label_easy(labeling.initialize_labels(_shifted(spark, d)))
