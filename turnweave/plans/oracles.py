@@ -1035,6 +1035,15 @@ t AS (SELECT unnest(range(0, CAST(greatest((SELECT left_over // places + 1 FROM
 s AS (SELECT batch, CAST(len(list_filter(ms[1:i], lambda x: x > batch)) + CASE WHEN batch < left_over // places THEN places
    WHEN batch = left_over // places THEN left_over % places ELSE 0 END AS BIGINT) AS pairs FROM t, m, f)
 SELECT batch, pairs, pairs AS anchors FROM s WHERE pairs > 1"""
+    q["label_upsert"] = on_edges("""
+SELECT edge_id, CAST(hit AS INTEGER) AS done, CASE WHEN NOT hit THEN '' WHEN n % 7 < 2 THEN 'Error' WHEN n % 11 < 3 THEN 'Yes' ELSE 'No' END AS dependent,
+  CASE WHEN NOT hit THEN '' WHEN n % 7 < 2 THEN 'Error' WHEN n % 11 < 3 THEN 'Elaboration' ELSE 'Topic Shift' END AS relation_type
+FROM (SELECT *, session_id % 2 = 0 OR coalesce(nr <= (SELECT coalesce(min(nr), 1e18) FROM tripped WHERE three = 3), false) AS hit FROM asked LEFT JOIN tripped USING (edge_id))
+WHERE Q2_row % 2 = 1 OR Q1_row = 0 OR session_id % 2 = 0""").replace("\nSELECT edge_id, CAST(hit", """,
+asked AS (SELECT *, length('Q1: ' || Q1 || chr(10) || 'A1: ' || A1 || chr(10) || 'Q2: ' || Q2 || chr(10) || 'distance: ' || distance::VARCHAR) AS n FROM e),
+tripped AS (SELECT edge_id, row_number() OVER o AS nr, sum(CASE WHEN n % 7 < 2 THEN 1 ELSE 0 END) OVER (o ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS three
+  FROM asked WHERE Q1_row = 0 WINDOW o AS (ORDER BY session_id, Q1_row, Q2_row, edge_id))
+SELECT edge_id, CAST(hit""", 1)
     q["graph_forward"] = _graph_sql(False)
     q["graph_forward_directed"] = _graph_sql(True)
     q["bootstrap_models"] = on_recovered(" UNION ALL ".join(

@@ -40,6 +40,7 @@ from ..session import materialize, shared_folder
 from ..sources.models import load_model, save_model
 from ..sources.writers import prediction_audit
 from ..streaming import candidates as stream_candidates
+from ..streaming import label_store
 from ..streaming import sessionize as stream_sessions
 from ..streaming.replay import replay
 from . import run
@@ -1081,6 +1082,30 @@ def label_value_counts(spark, d):
     return labeling.value_counts(shifted, ["dependent", "dependency_type", "relation_type"])
 
 
+def _stub_labeler():
+    """Answers by the length of the prompt: every seventh fails, three more in eleven say Yes."""
+
+    def answer(prompt: str) -> str:
+        n = len(prompt)
+        if n % 7 < 2:
+            return ""
+        return '{"dependent":"%s","dependency_type":"t","relation_type":"Elaboration","reason":"n"}' % ("Yes" if n % 11 < 3 else "No")
+
+    return answer
+
+
+@query
+def label_upsert(spark, d):
+    """Two overlapping batches merged into a label store; three failures in a row stop the first, none the second."""
+    every = materialize(edges(spark, d))
+    path = shared_folder(spark, "labels")
+    label_store.create_store(every.where("Q2_row % 2 = 1"), path, 8)
+    options = {"buckets": 8, "retries": 1, "pause": 0.0}
+    label_store.merge_batch(spark, path, every.where("Q1_row = 0"), _stub_labeler(), stop_after=3, **options)
+    label_store.merge_batch(spark, path, every.where("session_id % 2 = 0"), _stub_labeler(), stop_after=0, **options)
+    return label_store.read_store(spark, path).select("edge_id", "done", "dependent", "relation_type")
+
+
 @query
 def json_rescue(spark, d):
     """Objects embedded in surrounding text, dug out of event properties."""
