@@ -192,6 +192,22 @@ def test_decontamination(spark, docs, texts):
     assert decontam.contaminated_words(empty(spark), bench).count() == 0
 
 
+def test_benchmark_items_are_winnowed(spark, monkeypatch):
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randint(0, 10_000)}" for _ in range(2_000))
+    bench = spark.createDataFrame([(1, long)], "item_id long, text string")
+    prints = decontam.benchmark_fingerprints(bench)
+    places = {tuple(r.ctx): r.fp for r in prints.collect()}
+    assert len(places) < 0.45 * (2_000 - 4)  # about 2 in 7 grams are the smallest of some window
+    # a larger bitmap gives the same rows
+    words = long.split()
+    docs = spark.createDataFrame([(i, " ".join(words[7 * i : 7 * i + 9 + i % 3])) for i in range(200)], "doc_id long, text string")
+    found = Counter(map(tuple, decontam.contaminated_words(docs, bench).collect()))
+    assert found == brute_contamination([(r.doc_id, r.text) for r in docs.collect()], [(1, long)])
+    monkeypatch.setattr(decontam, "LEAST_LONGS", 1)
+    assert Counter(map(tuple, decontam.contaminated_words(docs, bench).collect())) == found
+
+
 def test_decontamination_by_items_of_every_length(spark):
     rng = random.Random(6)
     texts = [" ".join(rng.choice("abcdefghijklmnop") + str(rng.randint(0, 9)) for _ in range(60)) for _ in range(24)]

@@ -1,6 +1,6 @@
 """Benchmark decontamination by winnowing, in DataFrame operations only.
 
-A text's fingerprints are the smallest k-gram hash of every sliding window of
+Benchmark items and documents are winnowed alike: a text's fingerprints are the smallest k-gram hash of every sliding window of
 ``window - k + 1`` k-grams, so two texts that share ``window`` consecutive words
 share a fingerprint inside them.  A bitmap of the benchmark's fingerprints (a
 literal) sorts out nearly all others in the row; what is left meets the benchmark
@@ -17,8 +17,8 @@ from turnweave.llm.common import Workspace
 
 WINDOW = 10
 GRAM = 5
-#: longs in the bitmap of benchmark fingerprints
-BITMAP_LONGS = 1 << 14
+#: longs in the bitmap of benchmark fingerprints: a power of two between these, with some 16 bits a fingerprint
+LEAST_LONGS, MOST_LONGS = 1 << 14, 1 << 18
 #: benchmark fingerprints up to this many bytes are broadcast, more are joined by a shuffle
 BROADCAST_BYTES = 64 << 20
 
@@ -61,7 +61,9 @@ def benchmark_fingerprints(benchmark: DataFrame, window: int = WINDOW, k: int =
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words().alias("w")).where("size(w) > 0").distinct()
     items = items.withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
     long = items.where(F.size("w") >= window).withColumn("g", _grams("h", k))
-    long = long.select("item_id", "w", F.posexplode("g").alias("p", "fp")).select(
+    # winnowed like the documents: equal windows have equal smallest grams, and ties are all kept
+    kept = f"filter(transform(g, (x, i) -> if({_selected('g', window, k)}, struct(i as p, x as fp), null)), s -> s is not null)"
+    long = long.select("item_id", "w", F.inline(F.expr(kept))).select(
         "fp", F.lit(k).alias("width"), "item_id",
         F.expr(f"transform(sequence(p - {side}, p + {window - 1}), q -> if(q < 0, null, get(w, q)))").alias("ctx"),
     )
@@ -87,8 +89,11 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     spark = docs.sparkSession
     prints = Workspace(spark).save("benchmark", benchmark_fingerprints(benchmark, window, k))
-    # a bitmap of fixed size: how full it gets decides only how much it sorts out
-    bits = BITMAP_LONGS * 64
+    # how full the bitmap gets decides only how much it sorts out
+    longs, count = LEAST_LONGS, prints.count()
+    while longs < MOST_LONGS and longs * 4 < count:
+        longs *= 2
+    bits = longs * 64
     slot = F.pmod("fp", F.lit(bits))
     filled = prints.select("width", (slot / 64).cast("int").alias("cell"), F.pmod(slot, F.lit(64)).cast("int").alias("bit"))
     cells = filled.groupBy("width", "cell").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")).collect()
@@ -108,7 +113,7 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         grams = f"g{n}"
         if grams not in base.columns:  # items of k words and winnowed grams have the same hashes
             base = base.withColumn(grams, _grams("h", n))
-        bitmap = ",".join(str(cell.get(i, 0)) for i in range(BITMAP_LONGS))
+        bitmap = ",".join(str(cell.get(i, 0)) for i in range(longs))
         bits_of = f"bits{n}{'w' if whole else ''}"
         base = base.withColumn(bits_of, F.split(F.lit(bitmap), ",").cast("array<bigint>"))
         at = f"pmod(get({grams}, i), {bits})"
