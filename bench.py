@@ -31,6 +31,12 @@ HEADLINE = (
     "stage_transitions",
     "bootstrap_ci",
     "unique_anchor_batches",
+    "long_recovery_graph",
+    "long_penalty_grid",
+    "bootstrap_models",
+    "event_sessions",
+    "graph_forward",
+    "score_fusion",
 )
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bm25_tokens, clean_text
+from ..functions.text import bind, bm25_tokens, clean_text
 from ..session import lookup_join, materialize
 from .blocks import sparse_product_edges
 
@@ -139,14 +139,18 @@ def score_edges(
 
 
 def term_counts(tokens: str) -> Column:
-    """A bag of tokens as an array of (term, x), each term once with its number; the bag is sorted and walked once."""
-    walk = (
-        f"aggregate(array_sort({tokens}), cast(array() as array<struct<term:string,x:double>>), (a, t) -> "
-        "if(size(a) > 0 and element_at(a, -1).term = t, "
-        "concat(slice(a, 1, size(a) - 1), array(struct(t as term, element_at(a, -1).x + 1.0D as x))), "
-        "concat(a, array(struct(t as term, 1.0D as x)))))"
-    )
-    return F.expr(walk)
+    """A bag of tokens as an array of (term, x), each term once with its number: runs of the sorted bag."""
+
+    def runs(bag: Column) -> Column:
+        begins = F.filter(
+            F.when(F.size(bag) > 0, F.sequence(F.lit(0), F.size(bag) - 1)).otherwise(F.array().cast("array<int>")),
+            lambda i: (i == 0) | (F.get(bag, i) != F.get(bag, i - 1)),
+        )
+        return bind(begins, lambda at: F.transform(at, lambda b, j: F.struct(
+            F.get(bag, b).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(bag)) - b).cast("double").alias("x"),
+        )))
+
+    return F.when(F.col(tokens).isNotNull(), bind(F.array_sort(tokens), runs))
 
 
 def record_weights(

@@ -842,6 +842,7 @@ pc AS (SELECT 'M0' AS condition, 0.0::DOUBLE AS lambda_0, 0.0::DOUBLE AS lambda_
 
     q["bm25_corpus"] = on_scored("SELECT token, df, n_docs, round(avgdl, 6) AS avgdl, round(idf, 6) AS idf FROM idf", BM25)
     q["bm25_scores"] = on_scored("SELECT edge_id, bm25_score FROM bm", BM25)
+    q["bm25_sparse"] = q["bm25_scores"]
     q["distance_prior"] = on_scored("SELECT edge_id, round(1.0::DOUBLE / greatest(distance, 1), 6) AS distance_prior FROM sc")
     q["model_comparison"] = on_scored(
         """SELECT cj."Model", cj.split, total, true_edges, pred_edges, tp, fp, fn, tn, round(p, 6) AS "precision", round(rc, 6) AS recall,

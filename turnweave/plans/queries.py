@@ -608,6 +608,14 @@ def _bm25_edges(spark, d):
 
 @query
 def bm25_scores(spark, d):
+    wide = _token_edges(spark, d)
+    corpus = bm25.fit(_train_anchors(wide))
+    return rounded(bm25.score_edges(wide, corpus), "bm25_score")
+
+
+@query
+def bm25_sparse(spark, d):
+    """The same scores as products of sparse vectors of records."""
     return _bm25_edges(spark, d).select(blocks.edge_id(), "bm25_score")
 
 
@@ -617,8 +625,10 @@ def distance_prior(spark, d):
 
 
 def _model_scores(spark, d):
-    base = narrow_edges(spark, d).withColumn("distance_prior", F.round(inverse_distance(F.col("distance")), 6))
-    return base.join(_bm25_edges(spark, d).select(blocks.edge_id(), "bm25_score"), "edge_id")
+    wide = _token_edges(spark, d)
+    scores = rounded(bm25.score_edges(wide, bm25.fit(_train_anchors(wide))), "bm25_score")
+    base = wide.select(*NARROW).withColumn("distance_prior", F.round(inverse_distance(F.col("distance")), 6))
+    return base.join(scores, "edge_id")
 
 
 MODELS = {"BM25": "bm25_score", "Temporal-distance Prior": "distance_prior", "Term Overlap": "stage1_prob"}
