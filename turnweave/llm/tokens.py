@@ -8,35 +8,49 @@ entry ends at each of its places; a transition reads one byte and emits the
 change of the token count.  States and transitions are compiled when first
 reached and shared by all words after that.
 
-Long texts are cut into chunks.  All entry states of a chunk have met after its
-first white space, so its state map is short: what is read up to there, the
-tokens counted between its first and last white space, and what is open at its
-end.  Maps compose associatively, in a balanced scan.
+Long texts are cut into chunks that are rows of their own, counted by any task.
+A chunk becomes a map from the state it is entered in to the state it is left in
+and the tokens emitted between.  Cut at white space or between pre-tokens it has
+one entry state, the one between pre-tokens.  Chunks inside a pre-token longer
+than a chunk list the states that the symbols before them may lead to.  Maps
+compose associatively: blocks of chunks first, then the blocks of a text (the
+scan's way up; a count needs its last prefix only).
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from functools import partial
+import unicodedata
+from collections.abc import Iterable, Iterator
+from functools import lru_cache, partial
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.llm.common import ship, utf8
+from turnweave.llm.common import Workspace, ship, utf8
 
 CHUNK_BYTES = 1 << 16
+#: a text of more chunks than these is counted chunk by chunk, by several tasks
+SOLO_CHUNKS = 16
+#: chunk maps of a text that one task composes into one
+BLOCK_CHUNKS = 256
 TOKEN_LIMIT = 2048
 #: compiled states and remembered words that a worker keeps
 MAX_STATES = 250_000
 MAX_WORDS = 300_000
-
-#: pre-tokens of the word tokenizer, on lower-cased text (fixed pattern of its file)
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\p{L}\p{N}]+")
-#: letters whose lower case and class are the same in every Unicode version
+#: longer words are not remembered
+MAX_WORD_BYTES = 64
+
+#: pre-tokens of the word tokenizer, on lower-cased text (fixed pattern of its file, white space spelled out)
+_PIECES = regex.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\p{L}\p{N}]+"
+)
+#: characters whose lower case, class and normal form need no look at their history
 _SIMPLE = regex.compile(r"[\x00-įı-ɏ]*")
+_SPACES = [bytes([b]) for b in b"\t\n\v\f\r "]
+_SPACE = regex.compile(rb"[\t-\r ]")
 _END = "</w>"
 
 
@@ -50,6 +64,36 @@ def byte_symbols() -> list[str]:
 _SYMBOL = {b: s for b, s in enumerate(byte_symbols())}
 
 
+@lru_cache(1 << 16)
+def steady(char: str) -> bool:
+    """Whether every Unicode version since 3.2 gives a character its class and normal form of today.
+
+    Signs, punctuation and format characters are as good as unassigned ones:
+    neither is a letter or number.  What is left are letters, marks and numbers
+    that came later; the library's own tables decide those.
+    """
+    now, old = unicodedata.category(char), unicodedata.ucd_3_2_0.category(char)
+    if old == "Cn":
+        return now[0] in "SPC" and now != "Cn"
+    return all((kind in now) == (kind in old) for kind in "LN")
+
+
+def is_steady(text: str) -> bool:
+    return text.isascii() or bool(_SIMPLE.fullmatch(text)) or all(map(steady, set(text)))
+
+
+def normal_form(text: str) -> str:
+    if text.isascii():
+        return text.lower()
+    # the tokenizer lower-cases each character by itself, without a final form of sigma
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+StateMap = dict[str, tuple[str, int]]  # state at entry: state at exit, tokens emitted
+#: the state between two pre-tokens
+BETWEEN = ""
+
+
 class Transducer:
     """Deterministic transducer of a byte-pair encoding with word ends, compiled on demand."""
 
@@ -62,6 +106,7 @@ class Transducer:
             self.open.update(bare[:i] for i in range(1, len(bare)))
             if entry.endswith(_END):
                 self.open.add(bare[:-1])
+        self.longest = max(map(len, self.open)) + 1
         self.follows: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         self.reset()
@@ -72,6 +117,7 @@ class Transducer:
         self.inner: list[dict] = []
         self.final: list[dict] = []
         self.follows.clear()
+        self.whole.clear()
         self.start = self._state("", ((None, 0),))
 
     def _state(self, tail: str, ends: tuple) -> int:
@@ -132,20 +178,59 @@ class Transducer:
         step = self.inner[state][symbol] = (self._state(read[len(read) - keep :], places), emitted)
         return step
 
-    def count(self, piece: str) -> int:
-        """Tokens of one pre-token, given as byte symbols."""
-        if len(self.states) > MAX_STATES:
-            self.reset()
-        state, total = self.start, 0
-        inner = self.inner
-        for symbol in piece[:-1]:
+    def run(self, state: int, symbols: str) -> tuple[int, int]:
+        """State and token count after symbols inside a pre-token."""
+        total, inner = 0, self.inner
+        for symbol in symbols:
             step = inner[state].get(symbol) or self._compile(state, symbol)
             state = step[0]
             total += step[1]
+        return state, total
+
+    def _finish(self, state: int, symbol: str) -> int:
         last = self.final[state]
-        if piece[-1] not in last:
-            last[piece[-1]] = self._last(state, piece[-1], _END)[1]
-        return total + last[piece[-1]]
+        if symbol not in last:
+            last[symbol] = self._last(state, symbol, _END)[1]
+        return last[symbol]
+
+    def count(self, piece: str) -> int:
+        """Tokens of one pre-token, given as byte symbols."""
+        if len(self.states) > MAX_STATES:
+            self.reset()
+        state, total = self.run(self.start, piece[:-1])
+        return total + self._finish(state, piece[-1])
+
+    def look_behind(self) -> int:
+        """Symbols before a chunk from which its entry states are found."""
+        return 4 * self.longest
+
+    def state_map(self, before: str, symbols: str, last: bool) -> StateMap:
+        """Map of a part of one pre-token.
+
+        ``before`` holds the symbols ahead of it in the pre-token, as far as
+        ``look_behind`` reaches; none: the part begins the pre-token.  Runs that
+        begin at different places of ``before`` soon agree, or, in text that
+        repeats, fall into as many states as it has phases.
+        """
+        if len(self.states) > MAX_STATES:
+            self.reset()
+        whole = len(before) < self.look_behind()
+        starts = [0] if whole else range(2 * self.longest)
+        entries = {self.run(self.start, before[i:])[0] for i in starts}
+        found: StateMap = {}
+        for entry in entries:
+            if last:
+                state, total = self.run(entry, symbols[:-1])
+                out = BETWEEN, total + self._finish(state, symbols[-1])
+            else:
+                state, total = self.run(entry, symbols)
+                out = self._name(state), total
+            found[self._name(entry) if before else BETWEEN] = out
+        return found
+
+    def _name(self, state: int) -> str:
+        """A state as text that means the same in every worker."""
+        return json.dumps(self.states[state])
 
 
 class WordCounts(dict):
@@ -167,9 +252,11 @@ class WordCounts(dict):
             raise ValueError("special strings are expected to begin with <|")
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > MAX_WORDS:
-            self.clear()
-        value = self[word] = self._count(word)
+        value = self._count(word)
+        if len(word) <= MAX_WORD_BYTES:
+            if len(self) > MAX_WORDS:
+                self.clear()
+            self[word] = value
         return value
 
     def _count(self, word: bytes) -> int:
@@ -177,74 +264,178 @@ class WordCounts(dict):
         if word.isalpha():  # ASCII letters are their own symbols
             return count(word.lower().decode())
         text = word.decode("utf-8", "replace")
-        if not word.isascii() and not _SIMPLE.fullmatch(text):
-            # characters outside the plain Latin blocks: normal forms and classes are the library's
-            if self.library is None:
-                from tokenizers import Tokenizer
-
-                self.library = Tokenizer.from_file(self.path)
-            return len(self.library.encode(text, add_special_tokens=False).ids)
-        total, parts = 0, [text]
-        if b"<|" in word and self.special:
-            parts = self.special.split(text)
-            total = len(parts) - 1
-        for part in parts:
-            for piece in _PIECES.findall(part.lower()):
-                total += count("".join(map(_SYMBOL.__getitem__, piece.encode())))
-        return total
-
-
-ChunkMap = tuple[bytes, int, bytes | None]  # head, tokens between, tail; no tail: no white space inside
-
-
-def chunk_map(chunk: bytes, counts: WordCounts) -> ChunkMap:
-    words = chunk.split()
-    if len(words) == 1 and len(words[0]) == len(chunk):
-        return chunk, 0, None
-    if not words:
-        return (b"", 0, b"") if chunk else (b"", 0, None)
-    head = words.pop(0) if chunk.startswith(words[0]) else b""
-    tail = words.pop() if words and chunk.endswith(words[-1]) else b""
-    return head, sum(map(counts.__getitem__, words)), tail
-
-
-def compose(first: ChunkMap, second: ChunkMap, counts: WordCounts) -> ChunkMap:
-    if first[2] is None:
-        return first[0] + second[0], second[1], second[2]
-    if second[2] is None:
-        return first[0], first[1], first[2] + second[0]
-    between = first[2] + second[0]
-    return first[0], first[1] + (counts[between] if between else 0) + second[1], second[2]
+        if not is_steady(text):
+            return self.by_library(text)
+        return sum(1 if piece is None else count(piece) for piece in self.pieces(text))
+
+    def by_library(self, text: str) -> int:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return len(self.library.encode(text, add_special_tokens=False).ids)
+
+    def pieces(self, text: str) -> Iterator[str | None]:
+        """Pre-tokens as byte symbols; a special string is None."""
+        parts = self.special.split(text) if self.special and "<|" in text else [text]
+        for i, part in enumerate(parts):
+            if i:
+                yield None
+            for piece in _PIECES.finditer(normal_form(part)):
+                yield "".join(map(_SYMBOL.__getitem__, piece.group().encode()))
+
+
+#: kind, symbols before it in its pre-token, data: white-space separated text; pre-tokens, one a line (empty: a
+#: special string); a part of a pre-token; its last part
+Chunk = tuple[str, str, bytes]
+TEXT, PIECES, PART, LAST = "text", "pieces", "part", "last"
+
+
+def cut(text: bytes, counts: WordCounts, size: int) -> Iterator[Chunk]:
+    """Chunks of about ``size`` bytes: at white space, else between pre-tokens, else inside one."""
+    at = 0
+    while len(text) - at > size:
+        space = max(text.rfind(s, at, at + size) for s in _SPACES)
+        if space >= 0:
+            yield TEXT, "", text[at:space]
+            at = space + 1
+        else:
+            found = _SPACE.search(text, at + size)
+            stop = found.start() if found else len(text)
+            yield from _cut_run(text[at:stop], counts, size)
+            at = stop
+    if at < len(text):
+        yield TEXT, "", text[at:]
+
+
+def _cut_run(run: bytes, counts: WordCounts, size: int) -> Iterator[Chunk]:
+    text = run.decode("utf-8", "replace")
+    if not is_steady(text):
+        yield TEXT, "", run
+        return
+    behind = counts.transducer.look_behind()
+    held: list[str] = []
+    length = 0
+    for piece in counts.pieces(text):
+        piece = piece or ""
+        if held and length + len(piece) > size:
+            yield PIECES, "", "\n".join(held).encode()
+            held, length = [], 0
+        if len(piece) > size:
+            for i in range(0, len(piece), size):
+                kind = LAST if i + size >= len(piece) else PART
+                yield kind, piece[max(0, i - behind) : i], piece[i : i + size].encode()
+        else:
+            held.append(piece)
+            length += len(piece) + 1
+    if held:
+        yield PIECES, "", "\n".join(held).encode()
+
+
+def chunk_map(chunk: Chunk, counts: WordCounts) -> StateMap:
+    kind, before, data = chunk
+    if kind == TEXT:
+        return {BETWEEN: (BETWEEN, sum(map(counts.__getitem__, data.split())))}
+    if kind == PIECES:
+        return {BETWEEN: (BETWEEN, sum(counts.transducer.count(p) if p else 1 for p in data.decode().split("\n")))}
+    return counts.transducer.state_map(before, data.decode(), kind == LAST)
+
+
+def compose(maps: Iterable[StateMap]) -> int | None:
+    """Tokens of maps in a row; None if one is entered in a state that it does not list."""
+    state, total = BETWEEN, 0
+    for step in maps:
+        if state not in step:
+            return None
+        state, emitted = step[state]
+        total += emitted
+    return total
 
 
 def token_count(text: bytes, counts: WordCounts, chunk_bytes: int = CHUNK_BYTES) -> int:
-    if len(text) <= chunk_bytes:
-        return sum(map(counts.__getitem__, text.split()))
-    maps = [chunk_map(text[i : i + chunk_bytes], counts) for i in range(0, len(text), chunk_bytes)]
-    while len(maps) > 1:
-        maps = [compose(*maps[i : i + 2], counts) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    head, total, tail = maps[0]
-    return total + sum(counts[part] for part in (head, tail) if part)
+    """Tokens of one text in this process, by chunks if it is longer than one."""
+    total = None
+    if len(text) > chunk_bytes:
+        total = compose(chunk_map(c, counts) for c in cut(text, counts, chunk_bytes))
+    return sum(map(counts.__getitem__, text.split())) if total is None else total
 
 
 _COUNTS: dict[str, WordCounts] = {}
 
 
-def _counted(path: str, chunk_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = _COUNTS.get(path) or _COUNTS.setdefault(path, WordCounts(path))
+def _word_counts(path: str) -> WordCounts:
+    return _COUNTS.get(path) or _COUNTS.setdefault(path, WordCounts(path))
+
+
+def _counted(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = _word_counts(path)
     for batch in batches:
         texts = batch.column(batch.num_columns - 1)
-        sizes, tokens = [], []
-        for value in texts:
-            text = value.as_py()
-            sizes.append(len(text))
-            tokens.append(token_count(text, counts, chunk_bytes))
+        tokens = [sum(map(counts.__getitem__, text.as_py().split())) for text in texts]
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())],
-            names=[*batch.schema.names[:-1], "n_bytes", "n_tokens"],
+            [*batch.columns[:-1], pa.array(tokens, pa.int64())], names=[*batch.schema.names[:-1], "n_tokens"]
         )
 
 
+_CHUNK_SCHEMA = "key string, part int, kind string, before string, data binary"
+_MAP_SCHEMA = "key string, part int, states map<string,struct<to:string,n:bigint>>"
+_STATES = pa.map_(pa.string(), pa.struct([("to", pa.string()), ("n", pa.int64())]))
+
+
+def _chunks(path: str, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = _word_counts(path)
+    names = ["key", "part", "kind", "before", "data"]
+    types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.binary()]
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    for batch in batches:
+        for key, text in zip(*batch.columns, strict=True):
+            rows: list[tuple] = []
+            for part, chunk in enumerate(cut(text.as_py(), counts, size)):
+                rows.append((key.as_py(), part, *chunk))
+                if len(rows) == 64:
+                    yield table(rows)
+                    rows = []
+            if rows:
+                yield table(rows)
+
+
+def _mapped(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = _word_counts(path)
+    for batch in batches:
+        key, part, *chunk = batch.columns
+        found = [chunk_map(tuple(v.as_py() for v in row), counts) for row in zip(*chunk, strict=True)]
+        states = pa.array([[(k, {"to": to, "n": n}) for k, (to, n) in m.items()] for m in found], _STATES)
+        yield pa.RecordBatch.from_arrays([key, part, states], names=["key", "part", "states"])
+
+
+def _composed(maps: DataFrame, width: int) -> DataFrame:
+    """One map for every ``width`` consecutive maps of a text."""
+    block = maps.groupBy("key", F.expr(f"part div {width}").cast("int").alias("block"))
+    ordered = F.array_sort(F.collect_list(F.struct("part", "states")), lambda a, b: a["part"] - b["part"])
+    folded = """transform_values(run[0].states, (entry, out) -> aggregate(slice(run, 2, size(run)), out,
+        (done, next) -> named_struct('to', try_element_at(next.states, done.to).to,
+                                     'n', done.n + try_element_at(next.states, done.to).n)))"""
+    return block.agg(ordered.alias("run")).select("key", F.col("block").alias("part"), F.expr(folded).alias("states"))
+
+
+def long_counts(texts: DataFrame, tokenizer: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """key, n_tokens for rows of key (equal for equal texts only) and text (bytes).
+
+    Chunks are dealt to tasks by (key, number); repeated texts are combined
+    before they travel.  n_tokens is null where a chunk is entered in a state
+    that its map does not list.
+    """
+    chunks = texts.select("key", "text").mapInArrow(partial(_chunks, tokenizer, chunk_bytes), _CHUNK_SCHEMA)
+    once = chunks.groupBy("key", "part").agg(F.first(F.struct("kind", "before", "data")).alias("c"))
+    maps = once.select("key", "part", "c.*").mapInArrow(partial(_mapped, tokenizer), _MAP_SCHEMA)
+    whole = _composed(_composed(maps, BLOCK_CHUNKS), 1 << 30)
+    return whole.select("key", F.expr(f"try_element_at(states, '{BETWEEN}').n").alias("n_tokens"))
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = TOKEN_LIMIT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``docs`` without its text, plus n_bytes, n_tokens, over_limit.
 
@@ -252,12 +443,27 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = TOKEN_LIMIT, chun
     file that every executor can read).  Null counts as empty, and empty texts
     and texts of white space have no tokens.  Special strings inside a text are
     one token each.  Any other column is kept, and replaced if it has the name
-    of a result; repeated rows stay; no shuffle.
+    of a result; repeated rows stay.  Texts of up to 16 chunks are counted where
+    they are read; chunks of longer ones are shuffled, once for each different
+    text, and should their maps not fit together, the text is counted in one go.
     """
     ship(docs.sparkSession)
     results = ("n_bytes", "n_tokens", "over_limit", "text")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in results]
-    rows = docs.select(*kept, utf8().alias("text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "n_bytes bigint", "n_tokens bigint"])
-    counted = rows.mapInArrow(partial(_counted, tokenizer, chunk_bytes), schema)
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    names = {c: f"c{i}" for i, c in enumerate(c for c in docs.columns if c not in results)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], utf8().alias("text"))
+    rows = rows.withColumn("n_bytes", F.octet_length("text").cast("bigint"))
+    kept = [*names.values(), "n_bytes"]
+    is_long = F.col("n_bytes") > SOLO_CHUNKS * chunk_bytes
+    counted_schema = ", ".join([*(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in kept), "n_tokens bigint"])
+
+    def counted(some: DataFrame) -> DataFrame:
+        return some.select(*kept, "text").mapInArrow(partial(_counted, tokenizer), counted_schema)
+
+    longs = rows.where(is_long).withColumn("key", F.sha2("text", 256))
+    solved = Workspace(docs.sparkSession).save("long_counts", long_counts(longs, tokenizer, chunk_bytes))
+    known = longs.join(solved.where("n_tokens is not null"), "key").select(*kept, "n_tokens")
+    rest = longs.join(solved.where("n_tokens is null").select("key"), "key")
+    every = counted(rows.where(~is_long)).unionByName(known).unionByName(counted(rest))
+    return every.select(
+        *[F.col(n).alias(c) for c, n in names.items()], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
+    )
