@@ -196,6 +196,10 @@ def test_tables_and_caches(spark, tmp_path):
     assert (tmp_path / "edges" / "split=train").is_dir()
     writers.export_csv(edges, str(tmp_path / "x.csv"), single=True)
     assert readers.read_edges(spark, str(tmp_path / "x.csv")).count() == edges.count()
+    files = [f.read_bytes() for f in (tmp_path / "x.csv").glob("*.csv")]
+    assert len(files) == 1 and files[0].startswith(b"\xef\xbb\xbf" + edges.columns[0].encode() + b",")
+    back = readers.read_edges(spark, str(tmp_path / "x.csv"), ["edge_id"]).collect()
+    assert {r.edge_id for r in back} == {r.edge_id for r in edges.collect()}
     meta = {"model": "m", "k": 3}
     cache = writers.cache_path(str(tmp_path), "Score Fusion", meta)
     assert readers.read_score_cache(spark, cache, meta) is None

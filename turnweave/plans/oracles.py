@@ -7,6 +7,8 @@ shared with the Spark plans but the parameters.
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Sequence
 
 from ..functions.lexicon import ANCHOR_ANSWER_PREFIX, ANCHOR_QUESTION_PREFIX, CANDIDATE_PREFIX
@@ -860,6 +862,37 @@ pc AS (SELECT 'M0' AS condition, 0.0::DOUBLE AS lambda_0, 0.0::DOUBLE AS lambda_
         f"SELECT edge_id, edge_label, {pv('BM25', 'bm25')}, {pv('Temporal-distance Prior', 'temporal_distance_prior')}, {pv('Term Overlap', 'term_overlap')} "
         "FROM lg WHERE split = 'test' GROUP BY edge_id, edge_label", BM25, LONG)
 
+    selected = (
+        """
+fl AS (SELECT *, row_number() OVER (PARTITION BY "Model", session_id, Q1_row ORDER BY score DESC, Q2_row) AS place FROM (
+   SELECT 'Stage 1' AS "Model", stage1_prob AS score, edge_id, session_id, Q1_row, Q2_row, split, edge_label FROM rec WHERE split <> 'train'
+   UNION ALL SELECT 'Temporal-distance Prior', round(1.0::DOUBLE / greatest(distance, 1), 6), edge_id, session_id, Q1_row, Q2_row, split, edge_label
+   FROM rec WHERE split <> 'train')),
+fv AS (SELECT * FROM fl WHERE split = 'validation'),
+fk AS (SELECT c.cap, fv.* FROM fv JOIN (SELECT unnest([0, 1, 2, 3, 5]) AS cap) c ON c.cap = 0 OR fv.place <= c.cap)""",
+        sweep_cte("fk", "edge_label", "score", "fs", ['"Model"', "cap"], '(SELECT count(*) FROM fv z WHERE z.edge_label = 1 AND z."Model" = x."Model")'),
+        """
+fc AS (SELECT "Model" AS base, "Model" || CASE WHEN cap > 0 THEN ' Top-K' ELSE '' END AS "Model", threshold, nullif(cap, 0) AS top_k FROM fs
+   QUALIFY row_number() OVER (PARTITION BY base, cap > 0 ORDER BY f1 DESC, prec DESC, pred_edges, cap, threshold DESC) = 1),
+fd AS (SELECT fc."Model", threshold, top_k, score, edge_id, session_id, Q1_row, Q2_row, split, edge_label,
+          CAST(score >= threshold AND (top_k IS NULL OR place <= top_k) AS INTEGER) AS pred FROM fl JOIN fc ON fl."Model" = fc.base
+   UNION ALL SELECT 'Final Graph', NULL, NULL, round(final_score, 6), edge_id, session_id, Q1_row, Q2_row, split, edge_label, pred
+   FROM rec WHERE split <> 'train')""",
+    )
+    q["full_comparison"] = on_recovered(
+        """SELECT cj."Model", cj.split, CAST(top_k AS INTEGER) AS "TopK", round(threshold, 6) AS "Threshold", total, true_edges, pred_edges, tp, fp, fn, tn,
+ round(p, 6) AS "precision", round(rc, 6) AS recall, round(f, 6) AS f1, round(acc, 6) AS accuracy, round(auc, 6) AS auc, round(ap, 6) AS ap FROM cj""",
+        *selected,
+        f'\ncf AS (SELECT "Model", split, any_value(threshold) AS threshold, any_value(top_k) AS top_k, {conf("edge_label", "pred")} FROM fd GROUP BY "Model", split)',
+        rank_cte("fd", "edge_label", "score", "fm", ['"Model"', "split"]),
+        f'\ncj AS (SELECT cf.*, fm.auc, fm.ap, {div("tp", "tp + fp")} AS p, {div("tp", "tp + fn")} AS rc, {div("2 * tp", "2 * tp + fp + fn")} AS f, '
+        f'{div("tp + tn", "cf.total")} AS acc FROM cf JOIN fm ON cf."Model" = fm."Model" AND cf.split = fm.split)')
+    sv = lambda m: f"max(score) FILTER (WHERE \"Model\" = '{m}') AS {re.sub('[^a-z0-9]+', '_', m.lower())}_score, max(pred) FILTER (WHERE \"Model\" = '{m}') AS {re.sub('[^a-z0-9]+', '_', m.lower())}_pred"
+    q["prediction_audit_selected"] = on_recovered(
+        "SELECT edge_id, session_id, Q1_row, Q2_row, edge_label, "
+        + ", ".join(map(sv, ("Temporal-distance Prior", "Temporal-distance Prior Top-K", "Stage 1", "Stage 1 Top-K", "Final Graph")))
+        + " FROM fd WHERE split = 'test' GROUP BY ALL", *selected)
+
     dotp = "list_sum(list_transform(range(1, 65), lambda i: a[i]::DOUBLE * b[i]::DOUBLE))"
     sq = lambda v: f"sqrt(list_sum(list_transform(range(1, 65), lambda i: {v}[i]::DOUBLE * {v}[i]::DOUBLE)))"
     q["cosine_pairs"] = with_(f"SELECT edge_id, round({dotp} / greatest({sq('a')} * {sq('b')}, 1e-12::DOUBLE), 6) AS cosine FROM vp", VECTORS)

@@ -1046,6 +1046,35 @@ def bootstrap_paired_models(spark, d, source=narrow_edges):
     return rounded(out, "F1_Difference_Mean", "CI_Lower", "CI_Upper", "P_Diff_LE_0")
 
 
+# -- comparison with the final graph -----------------------------------------
+
+COMPARED = {"Stage 1": "stage1_prob", "Temporal-distance Prior": "distance_prior"}
+MODEL_ORDER = ("Temporal-distance Prior", "Temporal-distance Prior Top-K", "Stage 1", "Stage 1 Top-K", "Final Graph")
+
+
+def _decided(spark, d, source=narrow_edges):
+    scored = _recovered(spark, d, source).select(
+        "edge_id", "session_id", "Q1_row", "Q2_row", "split", "edge_label", "stage1_prob", "final_graph_pred_edge",
+        F.round("final_graph_score", 6).alias("final_graph_score"),
+        F.round(inverse_distance(F.col("distance")), 6).alias("distance_prior"),
+    )
+    return run.decided_models(scored, COMPARED, ("final_graph_score", "final_graph_pred_edge"))
+
+
+@both_sources
+def full_comparison(spark, d, source=narrow_edges):
+    """Score cuts, Top-K models and the final graph, with the parameters that validation selected."""
+    out = run.full_comparison(_decided(spark, d, source), MODEL_ORDER)
+    return rounded(out, "precision", "recall", "f1", "accuracy", "auc", "ap", "Threshold")
+
+
+@both_sources
+def prediction_audit_selected(spark, d, source=narrow_edges):
+    """Scores and predictions of every compared model on each test edge, cut as validation selected."""
+    test = _decided(spark, d, source).where(F.col("split") == "test")
+    return prediction_audit(test, MODEL_ORDER)
+
+
 # -- labelling and pairs ----------------------------------------------------
 
 def _pair_edges(spark, d):

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import contracts, evidence, metrics, recovery, retention
+from ..operators import contracts, evidence, metrics, recovery, retention, splits
 from ..session import materialize
 
 
@@ -178,3 +178,47 @@ def compare_models(edges: DataFrame, models: Mapping[str, str], **options) -> Da
     )
     table = metrics.evaluate(decided, "edge_label", "pred", "score", ["Model", "split"])
     return table.join(F.broadcast(cuts), "Model")
+
+
+def decided_models(
+    edges: DataFrame,
+    models: Mapping[str, str],
+    graph: tuple[str, str],
+    k_values: Sequence[int] = (1, 2, 3, 5),
+) -> DataFrame:
+    """Predictions of every model with the parameters that validation selects for it.
+
+    ``models`` maps names to score columns.  Each gives two models: a score cut,
+    and ``<name> Top-K`` with a cut and a cap per source.  ``graph`` names score
+    and prediction of the final graph, which has neither.  Rows of validation
+    and test: keys, Model, score, pred, Threshold, TopK.
+    """
+    base = materialize(edges.where(F.col("split") != "train"))
+    validation = base.where(F.col("split") == "validation")
+    keys = ["edge_id", "session_id", "Q1_row", "Q2_row", "split", "edge_label"]
+    none = F.lit(None)
+    score, pred = graph
+    out = base.select(
+        *keys, F.lit("Final Graph").alias("Model"), F.col(score).cast("double").alias("score"), F.col(pred).cast("int").alias("pred"),
+        none.cast("double").alias("Threshold"), none.cast("int").alias("TopK"),
+    )
+    for name, column in models.items():
+        plain = metrics.best_f1_threshold(validation, "edge_label", column)
+        plain = plain.select(F.lit(name).alias("Model"), F.col("threshold").alias("Threshold"), none.cast("int").alias("TopK"))
+        capped = metrics.best_topk(metrics.topk_threshold_search(validation, k_values, score=column))
+        capped = capped.select(F.lit(f"{name} Top-K"), "threshold", "top_k")
+        ranked = metrics.with_source_rank(base, column, "_rank").crossJoin(F.broadcast(plain.union(capped)))  # two rows
+        admitted = (F.col(column) >= F.col("Threshold")) & (F.col("TopK").isNull() | (F.col("_rank") <= F.col("TopK")))
+        out = out.unionByName(
+            ranked.select(
+                *keys, "Model", F.col(column).cast("double").alias("score"), admitted.cast("int").alias("pred"), "Threshold", "TopK"
+            )
+        )
+    return out
+
+
+def full_comparison(decided: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Metrics with selected parameters per model and split, models in a fixed order."""
+    params = ["Model", "split", "Threshold", "TopK"]
+    table = metrics.evaluate(decided, "edge_label", "pred", "score", params)
+    return splits.order_models(table, order)

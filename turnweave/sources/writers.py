@@ -21,9 +21,14 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> s
     return path
 
 
-def export_csv(df: DataFrame, path: str, single: bool = False) -> str:
-    """Text export for people; ``single`` is meant for small result tables."""
+def export_csv(df: DataFrame, path: str, single: bool = False, bom: bool = True) -> str:
+    """Text export for people; ``single`` is meant for small result tables.
+
+    Each file begins with a byte order mark, by which spreadsheets know UTF-8.
+    """
     out = df.coalesce(1) if single else df
+    if bom and out.columns:
+        out = out.toDF(f"\ufeff{out.columns[0]}", *out.columns[1:])
     out.write.mode("overwrite").csv(path, header=True, escape='"')
     return path
 
