@@ -257,6 +257,31 @@ def case_order(kind: str) -> list[Column]:
     return [*[F.desc(n) for n in names], F.asc("session_id"), F.asc("Q1_row"), F.asc("Q2_row")]
 
 
+CASE_KEYS = ("edge_id", "session_id", "Q1_row", "Q2_row")
+
+
+def case_table(analysed: DataFrame, kind: str) -> DataFrame:
+    """All false positives (``FP``) or misses (``FN``) in review order, sorted over all partitions."""
+    taxonomy = f"{kind.lower()}_taxonomy"
+    rows = error_rows(analysed, kind).orderBy(*case_order(kind))
+    return rows.select(
+        *CASE_KEYS, "final_graph_score", "stage2a_local_prob", "stage1_prob", "a1_q2_jaccard", "q1_q2_jaccard",
+        "pred_indegree", "distance_bucket", "q2_bucket", F.col(taxonomy).alias("taxonomy"),
+    )
+
+
+def case_examples(analysed: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` cases of every error class in review order; Spark keeps ``n`` a class before it shuffles."""
+    cases = None
+    for kind in ("FP", "FN"):
+        taxonomy = F.col(f"{kind.lower()}_taxonomy")
+        place = F.row_number().over(Window.partitionBy("taxonomy").orderBy(*case_order(kind)))
+        rows = error_rows(analysed, kind).withColumn("taxonomy", taxonomy).withColumn("place", place).where(F.col("place") <= n)
+        rows = rows.select(F.lit(kind).alias("error"), "taxonomy", "place", *CASE_KEYS, "final_graph_score")
+        cases = rows if cases is None else cases.unionByName(rows)
+    return cases
+
+
 def error_summary(evaluation: DataFrame, consistency_table: DataFrame | None = None) -> DataFrame:
     """Long ``metric, value`` form of a one-row evaluation."""
     renamed = evaluation.withColumnRenamed("total", "rows")

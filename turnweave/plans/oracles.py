@@ -950,6 +950,17 @@ fd AS (SELECT fc."Model", threshold, top_k, score, edge_id, session_id, Q1_row,
         f"SELECT 'FP' AS label, fp_taxonomy AS primary_category, {_db('distance')} AS secondary_attribute, count(*) AS count, "
         "round(count(*) / sum(count(*)) OVER ()::DOUBLE, 6) AS share_within_error, round(count(*) / sum(count(*)) OVER (PARTITION BY fp_taxonomy)::DOUBLE, 6) AS share_within_primary "
         "FROM an WHERE fp_taxonomy <> 'not_fp' GROUP BY 2, 3")
+    six = lambda x, name: f"round({x}, 6) AS {name}"
+    for kind, cut in (("fp", "pred = 1 AND edge_label = 0"), ("fn", "pred = 0 AND edge_label = 1")):
+        q[f"{kind}_cases"] = on_errors(
+            f"SELECT edge_id, session_id, Q1_row, Q2_row, {six('final_score', 'final_graph_score')}, {six('local_prob', 'stage2a_local_prob')}, stage1_prob, "
+            f"{six('j2', 'a1_q2_jaccard')}, {six('j1', 'q1_q2_jaccard')}, indeg AS pred_indegree, {_db('distance')} AS distance_bucket, "
+            f"{_sb('length(Q2)')} AS q2_bucket, {kind}_taxonomy AS taxonomy FROM an WHERE {cut}")
+    place = lambda k, second, third: (
+        f"""SELECT '{k}' AS error, {k}_taxonomy AS taxonomy, CAST(row_number() OVER (PARTITION BY {k}_taxonomy ORDER BY round(final_score, 6) DESC,
+ round({second}, 6) DESC, round({third}, 6) DESC, session_id, Q1_row, Q2_row) AS INTEGER) AS place, edge_id, session_id, Q1_row, Q2_row,
+ {six('final_score', 'final_graph_score')} FROM an WHERE {k}_taxonomy <> 'not_{k.lower()}' QUALIFY place <= 5""")
+    q["case_examples"] = on_errors(place("FP", "j2", "j1") + " UNION ALL " + place("FN", "local_prob", "stage1_prob"))
     q["bucket_distribution"] = on_errors(
         f"SELECT 'FN' AS label, {_db('distance')} AS bucket, count(*) AS count, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 6) AS share FROM an WHERE fn_taxonomy <> 'not_fn' GROUP BY 2")
     q["score_buckets"] = on_scored(

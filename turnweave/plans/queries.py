@@ -883,6 +883,28 @@ def secondary_breakdown(spark, d):
     return rounded(out, "share_within_error", "share_within_primary")
 
 
+def _cases(spark, d):
+    """Analysed edges, scores rounded so that ties are ties in every engine; written, as several tables read them."""
+    rows = _analysed(spark, d).drop("Q1", "A1", "Q2")
+    return materialize(rounded(rows, "final_graph_score", "stage2a_local_prob", "a1_q2_jaccard", "q1_q2_jaccard"))
+
+
+@query
+def fp_cases(spark, d):
+    return errors.case_table(_cases(spark, d), "FP")
+
+
+@query
+def fn_cases(spark, d):
+    return errors.case_table(_cases(spark, d), "FN")
+
+
+@query
+def case_examples(spark, d):
+    """Five examples of each error class (the number is the feature)."""
+    return errors.case_examples(_cases(spark, d), 5)
+
+
 @query
 def bucket_distribution(spark, d):
     rows = errors.error_rows(_analysed(spark, d), "FN")
