@@ -19,7 +19,7 @@ QUICK = (
     "penalty_ablation", "split_metrics", "topk_best", "bm25_scores", "model_comparison", "node_mean_agg",
     "graph_align", "error_columns", "stage_transitions", "penalty_neighbourhood", "bootstrap_ci",
     "unique_anchor_batches", "label_responses", "long_penalty_grid", "long_exactness_audit", "calibration", "score_fusion",
-    "staged_run", "event_sessions", "streamed_candidate_edges", "long_full_comparison", "long_prediction_audit_selected",
+    "staged_run", "event_sessions", "streamed_candidate_edges", "long_full_comparison", "long_prediction_audit_selected", "case_examples",
 )
 NAMES = sorted(entry_file.oracle_sql()) if os.environ.get("TURNWEAVE_ALL_QUERIES") else QUICK
 
