@@ -24,6 +24,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 4_096
 ROWS_A_GROUP = 50_000
+#: edges whose features live at once inside a task
+EDGES_AT_ONCE = 4_096
 
 
 @dataclass
@@ -80,6 +82,7 @@ def on_runs(
     reach: int | None = None,
     block: int = BLOCK,
     raw: Sequence[str] = (),
+    rows_a_group: int = ROWS_A_GROUP,
 ) -> DataFrame:
     """``compute`` for every group of ``records`` (session_id, pos, opens, asks, vector and ``raw`` columns).
 
@@ -91,7 +94,7 @@ def on_runs(
     if window < 1 or reach < window or block < reach:
         raise ValueError("need 1 <= window <= reach <= block")
     count = records.count()
-    groups = max(1, math.ceil(count / ROWS_A_GROUP))
+    groups = max(1, math.ceil(count / rows_a_group))
     pos = F.col("pos").cast("bigint")
     home = F.floor(pos / block)
     shown = F.sequence(F.greatest(F.floor((pos - reach) / block), F.lit(0)), F.floor((pos + reach) / block))
@@ -123,6 +126,13 @@ def edge_id() -> Column:
     return F.concat_ws("_", "session_id", "Q1_row", "Q2_row").alias("edge_id")
 
 
+def _in_parts(run: Run, reduce: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], edges_at_once: int) -> pa.Table:
+    """Edge rows with the columns that ``reduce`` makes of (sources, targets), some thousand edges at once."""
+    i, j = run.own_pairs()
+    found = [reduce(i[at : at + edges_at_once], j[at : at + edges_at_once]) for at in range(0, max(len(i), 1), edges_at_once)]
+    return run.edges(i, j, **{c: np.concatenate([f[c] for f in found]) for c in found[0]})
+
+
 def cosine_edges(records: DataFrame, source: str, target: str, window: int = 5, **options) -> DataFrame:
     """``session_id, Q1_row, Q2_row, cosine`` of all candidate edges."""
 
@@ -130,8 +140,8 @@ def cosine_edges(records: DataFrame, source: str, target: str, window: int = 5,
         a, b = run.vectors[source], run.vectors[target]
         size = np.maximum
         na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
-        i, j = run.own_pairs()
-        return run.edges(i, j, cosine=(a[i] * b[j]).sum(axis=1) / size(na[i] * nb[j], 1e-12))
+        cosine = lambda i, j: {"cosine": (a[i] * b[j]).sum(axis=1) / size(na[i] * nb[j], 1e-12)}
+        return _in_parts(run, cosine, EDGES_AT_ONCE)
 
     return on_runs(records, list(dict.fromkeys([source, target])), compute, _edge_schema(records, "cosine double"), window, **options)
 
@@ -144,7 +154,7 @@ def feature_edges(
     reduce: Callable[[np.ndarray], dict[str, np.ndarray]],
     schema: str,
     window: int = 5,
-    rows_at_once: int = 4_096,
+    rows_at_once: int = EDGES_AT_ONCE,
     **options,
 ) -> DataFrame:
     """What ``reduce`` makes of the feature rows [dot, distance, numerics, |a - b|, a * b] of all candidate edges.
@@ -157,26 +167,27 @@ def feature_edges(
 
     def compute(run: Run) -> pa.Table:
         a, b = run.vectors[source].astype(np.float32), run.vectors[target].astype(np.float32)
-        i, j = run.own_pairs()
-        found = []
-        for start in range(0, max(len(i), 1), rows_at_once):
-            p, q = i[start : start + rows_at_once], j[start : start + rows_at_once]
+
+        def features(p: np.ndarray, q: np.ndarray) -> dict[str, np.ndarray]:
             x, y = a[p], b[q]
             dot = (x.astype(np.float64) * y).sum(axis=1, keepdims=True).astype(np.float32)
             numbers = [(run.pos[q] - run.pos[p])[:, None], *(run.vectors[c][p] for c in ours), *(run.vectors[c][q] for c in theirs)]
-            found.append(reduce(np.hstack([dot, *(n.astype(np.float32) for n in numbers), np.abs(x - y), x * y])))
-        return run.edges(i, j, **{c: np.concatenate([f[c] for f in found]) for c in found[0]})
+            return reduce(np.hstack([dot, *(n.astype(np.float32) for n in numbers), np.abs(x - y), x * y]))
+
+        return _in_parts(run, features, rows_at_once)
 
     return on_runs(records, list(dict.fromkeys([source, target, *ours, *theirs])), compute, _edge_schema(records, schema), window, **options)
 
 
 def state_edges(records: DataFrame, source: str, target: str, reduce: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str, window: int = 5, **options) -> DataFrame:
-    """What ``reduce`` makes of the edge states [s, t, |s - t|, s * t] of all candidate edges."""
+    """What ``reduce`` makes of the edge states [s, t, |s - t|, s * t] of all candidate edges, some thousand at once."""
 
     def compute(run: Run) -> pa.Table:
-        i, j = run.own_pairs()
-        s, t = run.vectors[source][i], run.vectors[target][j]
-        return run.edges(i, j, **reduce(np.hstack([s, t, np.abs(s - t), s * t])))
+        def states(i: np.ndarray, j: np.ndarray) -> dict[str, np.ndarray]:
+            s, t = run.vectors[source][i], run.vectors[target][j]
+            return reduce(np.hstack([s, t, np.abs(s - t), s * t]))
+
+        return _in_parts(run, states, EDGES_AT_ONCE)
 
     return on_runs(records, list(dict.fromkeys([source, target])), compute, _edge_schema(records, schema), window, **options)
 
@@ -234,16 +245,23 @@ def sparse_product_edges(records: DataFrame, document: str, query: str, name: st
     """``session_id, Q1_row, Q2_row`` and ``name``: for all candidate edges the product of two sparse vectors.
 
     ``document`` of the source and ``query`` of the target are arrays of
-    (term, number); a term occurs once in an array.
+    (term, number); a term occurs once in an array.  A task holds the terms of one
+    source and its targets as dictionaries; ``rows_a_group`` and ``block`` bound
+    the arrays it is given.
     """
 
     def compute(run: Run) -> pa.Table:
         i, j = run.own_pairs()
-        terms = lambda column, at: {k: {t["term"]: t["x"] for t in run.raw[column][k].as_py() or ()} for k in np.unique(at).tolist()}
-        documents, queries = terms(document, i), terms(query, j)
+        order = np.lexsort((j, i))
+        i, j = i[order], j[order]
+        terms = lambda column, k: {t["term"]: t["x"] for t in run.raw[column][k].as_py() or ()}
         score = np.zeros(len(i))
+        at, weights, queries = -1, {}, {}
         for n, (p, q) in enumerate(zip(i.tolist(), j.tolist())):
-            weights = documents[p]
+            if p != at:  # the next source: earlier records are no targets any more
+                at, weights, queries = p, terms(document, p), {k: v for k, v in queries.items() if k > p}
+            if q not in queries:
+                queries[q] = terms(query, q)
             score[n] = sum(x * weights[t] for t, x in queries[q].items() if t in weights)
         return run.edges(i, j, **{name: score})
 
@@ -330,9 +348,7 @@ def graph_scores(
             else:
                 s, t = np.hstack([s, (s + out) / (1 + n_out)]), np.hstack([t, (t + into) / (1 + n_in)])
             s, t = layer(s), layer(t)
-        i, j = run.own_pairs()
-        margin = head(s[i], t[j]) if len(i) else np.zeros(0)
-        return run.edges(i, j, margin=margin)
+        return _in_parts(run, lambda i, j: {"margin": head(s[i], t[j]) if len(i) else np.zeros(0)}, EDGES_AT_ONCE)
 
     reach = window * (len(layers) + 1)
     return on_runs(records, list(dict.fromkeys([source, target])), compute, _edge_schema(records, "margin double"), window, reach, **options)
