@@ -180,3 +180,29 @@ def test_term_counts(spark):
     frame = spark.createDataFrame([(["b", "a", "b", "b"],), ([],), (None,)], "k array<string>")
     found = [r.c and [tuple(x) for x in r.c] for r in frame.select(term_counts("k").alias("c")).collect()]
     assert found == [[("a", 1.0), ("b", 3.0)], [], None]
+
+
+def test_no_edge_matrix_of_a_whole_group(spark, monkeypatch):
+    """States, features and scores are made some edges at once, whatever the size of a group."""
+    monkeypatch.setattr(blocks, "EDGES_AT_ONCE", 7)
+    rows = [(s, p, [float(s + p), 1.0 + p], True, True) for s in range(3) for p in range(12)]
+    frame = spark.createDataFrame(rows, "session_id long, pos long, v array<double>, opens boolean, asks boolean")
+
+    def reduce(x):
+        return {"rows": np.full(len(x), len(x), np.int32), "total": x.sum(axis=1)}
+
+    out = blocks.state_edges(frame, "v", "v", reduce, "rows int, total double", 5).collect()
+    assert len(out) == 3 * (11 + 10 + 9 + 8 + 7) and max(r.rows for r in out) <= 7
+    for r in out:
+        s, t = (np.array([r.session_id + k, 1.0 + k]) for k in (r.Q1_row, r.Q2_row))
+        assert abs(r.total - (s.sum() + t.sum() + np.abs(s - t).sum() + (s * t).sum())) < 1e-9
+
+
+def test_sparse_groups_follow_the_tokens(spark, monkeypatch):
+    from turnweave.operators import bm25
+
+    frame = spark.createDataFrame([(["a"] * 40, ["b"] * 59), (None, [])], "doc_tokens array<string>, query_tokens array<string>")
+    monkeypatch.setattr(bm25, "TOKENS_A_GROUP", 5_050)
+    found = bm25.group_sizes(frame, ("doc_tokens", "query_tokens"), 5)
+    assert found == {"rows_a_group": 100, "block": 25}
+    assert bm25.group_sizes(frame.limit(0), ("doc_tokens", "query_tokens"), 5)["block"] >= 5

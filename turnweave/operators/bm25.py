@@ -8,6 +8,7 @@ length / share) are broadcast, all others are joined by key.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,11 +16,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bind, bm25_tokens, clean_text
 from ..session import lookup_join, materialize
-from .blocks import sparse_product_edges
+from .blocks import BLOCK, ROWS_A_GROUP, sparse_product_edges
 
 K1 = 1.5
 B = 0.75
 HOT_SHARE = 0.005
+#: tokens of the records that a task of the sparse form is given, on average
+TOKENS_A_GROUP = 500_000
 
 
 @dataclass(frozen=True)
@@ -177,6 +180,15 @@ def record_weights(
     return whole.select("session_id", "pos", "rest.opens", "rest.asks", "document", "rest.query")
 
 
+def group_sizes(records: DataFrame, bags: Sequence[str], window: int) -> dict[str, int]:
+    """``rows_a_group`` and ``block`` that give a group about TOKENS_A_GROUP tokens."""
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    mean = records.agg(F.avg(sum((size(c) for c in bags), F.lit(1)))).first()[0] or 1.0
+    rows = max(4 * window, min(ROWS_A_GROUP, int(TOKENS_A_GROUP / mean)))
+    return {"rows_a_group": rows, "block": max(window, min(BLOCK, rows // 4))}
+
+
 def score_records(records: DataFrame, corpus: Corpus, window: int = 5, name: str = "bm25_score", **options) -> DataFrame:
     """``session_id, Q1_row, Q2_row, bm25_score`` of all candidate edges of records with token bags."""
+    options = group_sizes(records, ("doc_tokens", "query_tokens"), window) | options
     return sparse_product_edges(record_weights(records, corpus), "document", "query", name, window, **options)
