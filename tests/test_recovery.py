@@ -105,3 +105,39 @@ def test_boundary_guard():
     recovery.reject_upper_boundary("x", 0.1, (0.1,))
     with pytest.raises(RuntimeError):
         recovery.reject_upper_boundary("x", 0.2, (0.0, 0.1, 0.2))
+
+
+@pytest.mark.parametrize("shift", [0.0, 0.0131])
+def test_grid_counts_candidates_and_solves_ties(spark, monkeypatch, shift):
+    """Away from thresholds no target is solved by itself; both ways give the results of the loops."""
+    _, rows = graph(spark, 60, 9)
+    rows = [(*r[:5], round(r[5] + shift, 6), r[6]) for r in rows]
+    df = spark.createDataFrame(rows, "edge_id string, session_id string, Q1_row int, Q2_row int, stage2_graph_input_pred int, stage2a_local_evidence double, edge_label int")
+    if shift:
+        monkeypatch.setattr(recovery, "_solved", None)
+    label = {r[0]: r[6] for r in rows}
+    l0s, lts = (0.0, 0.1, 0.2, 0.35), (0.0, 0.05, 0.15)
+    grid = {(r["lambda_0"], r["lambda_t"]): r for r in recovery.penalty_grid(df, l0s, lts, ranking=False).collect()}
+    assert len(grid) == len(l0s) * len(lts)
+    for (l0, lt), got in grid.items():
+        want, objective, _ = expected(rows, l0, lt)
+        assert got["PredEdges"] == len(want) and got["TP"] == sum(label[e] for e in want)
+        assert abs(got["ObjectiveTotal"] - objective) < 1e-9
+
+
+def test_audit_values_every_subset(spark, monkeypatch):
+    """In small steps and without a row per subset, the audit still finds the one wrong target."""
+    monkeypatch.setattr(recovery, "SUBSETS_AT_ONCE", 40)
+    df, rows = graph(spark, 30, 11)
+    out = recovery.recover(df, 0.2, 0.15)
+    sizes = {}
+    for r in rows:
+        if r[4]:
+            sizes[r[1], r[3]] = sizes.get((r[1], r[3]), 0) + 1
+    assert "mask" not in recovery.exactness_audit(out, 0.2, 0.15)._jdf.queryExecution().optimizedPlan().toString()
+    row = recovery.exactness_audit(out, 0.2, 0.15).first()
+    assert row["enumerated_subsets"] == sum(2**m for m in sizes.values()) and row["max_candidates_per_target"] == max(sizes.values())
+    one = next(r for r in rows if r[4] and r[5] > 0.3 and sizes[r[1], r[3]] == 1)
+    wrong = out.withColumn("final_graph_pred_edge", F.when(F.col("edge_id") == one[0], 0).otherwise(F.col("final_graph_pred_edge")))
+    row = recovery.exactness_audit(wrong, 0.2, 0.15).first()
+    assert row["objective_mismatches"] == 1 and not row["passed"] and row["max_objective_gap"] == pytest.approx(one[5] - 0.2)

@@ -7,16 +7,24 @@ worth ``prefix(k) - λ0·k - λt·k(k-1)/2``; the smallest k with the largest va
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import sys
+from collections.abc import Iterator, Sequence
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import close_to, f1_score, ratio, sigmoid, to_number
-from .metrics import ranking_from_counts, score_histogram
+from ..functions.numeric import close_to, f1_score, finite_score, ratio, sigmoid, to_number
+from ..session import materialize
+from .metrics import ranking_from_counts
 from .prefix import group_join, sliced_running_sum, unit_slice
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TARGET = ("session_id", "Q2_row")
 MAX_CANDIDATES_PER_TARGET = 5
 # Default penalty grids and audit tolerance.
@@ -27,6 +35,11 @@ AUDIT_TOLERANCE = 1e-10
 GAIN_PLACES = 9
 #: up to this gain the final score, a double, tells such gains apart
 GAIN_BOUND = 15.0
+#: evidence nearer than half of it to a threshold of the grid, or beyond the bound, is decided target by target
+NEAR = 1e-8
+NEAR_BOUND = 1e5
+#: subset values computed at once inside a task
+SUBSETS_AT_ONCE = 1_000_000
 
 
 def _value(prefix: Column, k: Column, lambda_0: Column, lambda_t: Column) -> Column:
@@ -108,6 +121,17 @@ def recovery_totals(recovered: DataFrame, lambda_0: float, lambda_t: float) -> D
 # Bounded per-target arrays, shared by the audit and the grid
 # --------------------------------------------------------------------------
 
+def _candidates(edges: DataFrame, evidence: str, tie: Sequence[str], extra: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Candidates with evidence ``r`` and rank ``k`` within their target."""
+    clean = edges.where(F.col("stage2_graph_input_pred") == 1).withColumn(
+        evidence, to_number(F.col(evidence), 0.0)
+    )
+    order = Window.partitionBy(*TARGET).orderBy(F.col(evidence).desc(), *[F.col(t) for t in tie])
+    return clean.select(
+        *by, *TARGET, F.col(evidence).alias("r"), *extra, F.row_number().over(order).alias("k")
+    )
+
+
 def _target_arrays(
     edges: DataFrame,
     evidence: str,
@@ -121,13 +145,7 @@ def _target_arrays(
     At most ``limit + 1`` candidates are collected (the rank filter prunes
     before the shuffle); a target that has more raises instead of losing rows.
     """
-    clean = edges.where(F.col("stage2_graph_input_pred") == 1).withColumn(
-        evidence, to_number(F.col(evidence), 0.0)
-    )
-    order = Window.partitionBy(*TARGET).orderBy(F.col(evidence).desc(), *[F.col(t) for t in tie])
-    ranked = clean.select(
-        *by, *TARGET, F.col(evidence).alias("r"), *extra, F.row_number().over(order).alias("k")
-    )
+    ranked = _candidates(edges, evidence, tie, extra, by)
     grouped = (
         ranked.where(F.col("k") <= limit + 1)
         .groupBy(*TARGET, *by)
@@ -156,23 +174,44 @@ def exactness_audit(
         recovered = recovered.withColumn("split", F.lit("all"))
     picked = recovered.withColumn("z", F.col("final_graph_pred_edge").cast("int"))
     groups = _target_arrays(picked, evidence, tie, ["z"], limit, ["split"])
-    masks = groups.withColumn("m", F.size("c")).withColumn(
-        "mask", F.explode(F.expr("sequence(0, shiftleft(1, m) - 1)"))
-    )
-    # The value of one subset, from its members alone.
-    members = "filter(c, e -> (shiftright(mask, e.k - 1) & 1) = 1)"
-    masks = masks.withColumn("_n", F.expr(f"size({members})")).withColumn(
-        "_sum", F.expr(f"aggregate({members}, 0D, (acc, e) -> acc + e.r)")
-    )
-    solver = F.expr("aggregate(c, 0, (acc, e) -> acc + e.z * shiftleft(1, e.k - 1))")
-    masks = masks.withColumn(
-        "_v", _value(F.col("_sum"), F.col("_n"), F.lit(float(lambda_0)), F.lit(float(lambda_t)))
-    ).withColumn("_solver", solver)
-    per_target = masks.groupBy("split", *TARGET).agg(
-        F.first("m").alias("m"),
-        F.max("_v").alias("_top"),
-        F.max(F.when(F.col("mask") == F.col("_solver"), F.col("_v"))).alias("_got"),
-    )
+
+    def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Size, best value of all subsets and value of the solver's subset of every target."""
+        for batch in batches:
+            lists = batch.column("c")
+            offset, flat = lists.offsets.to_numpy(), lists.flatten()
+            offset = offset - offset[0]
+            evidences = flat.field("r").to_numpy(zero_copy_only=False)
+            kept = flat.field("z").to_numpy(zero_copy_only=False).astype(np.float64)  # null: not a number
+            size = np.diff(offset)
+            top, got = np.zeros(len(size)), np.full(len(size), np.nan)
+            known = np.zeros(len(size), bool)
+            for m in np.unique(size).tolist():
+                bit = (np.arange(1 << m)[:, None] >> np.arange(m)) & 1
+                n = bit.sum(axis=1)
+                of_size = np.flatnonzero(size == m)
+                step = max(1, SUBSETS_AT_ONCE >> m)
+                for start in range(0, len(of_size), step):
+                    at = of_size[start : start + step]
+                    cell = offset[at][:, None] + np.arange(m)
+                    r, z = evidences[cell], kept[cell]
+                    total = np.zeros((len(at), 1 << m))
+                    for p in range(m):  # the value of a subset, from its members alone
+                        total += np.where(bit[:, p] == 1, r[:, p : p + 1], 0.0)
+                    value = total - lambda_0 * n - lambda_t * n * (n - 1) / 2.0
+                    top[at] = value.max(axis=1)
+                    mask = (z * (1 << np.arange(m))).sum(axis=1)
+                    some = (mask >= 0) & (mask < 1 << m)
+                    known[at] = some
+                    got[at[some]] = value[some, mask[some].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("split"), pa.array(size, pa.int32()), pa.array(top), pa.array(got, mask=~known)],
+                names=["split", "m", "_top", "_got"],
+            )
+
+    lambda_0, lambda_t = float(lambda_0), float(lambda_t)
+    kind = recovered.schema["split"].dataType.simpleString()
+    per_target = groups.select("split", "c").mapInArrow(subsets, f"split {kind}, m int, _top double, _got double")
     gap = F.greatest(F.lit(0.0), F.col("_top") - F.col("_got"))
     found = per_target.groupBy("split").agg(
         F.count(F.lit(1)).alias("candidate_target_groups"),
@@ -221,37 +260,42 @@ def penalty_grid(
     ``by`` (columns fixed within a session, such as the split) gives one grid
     per group.
 
-    Candidates are ranked once.  Targets are then expanded by the settings in
-    the task that ranked them, and only per-setting sums are shuffled.
+    Evidence falls with the rank and the penalty of one more edge does not, so a
+    setting keeps the candidate of rank k exactly if ``r > λ0 + λt·(k-1)``.
+    Candidates are ranked once and reduced to counts per (rank, evidence); the
+    settings are tried on these.  Targets with evidence at a threshold, where the
+    rounding of their sums decides, are solved target by target, equal ones once.
     ``ranking`` adds AUC and AP of the final score.
     """
     settings = [(float(a), float(b)) for a, b in product(sorted(set(lambda0_grid)), sorted(set(lambdat_grid)))]
     grid = F.array(*[F.struct(F.lit(a).alias("l0"), F.lit(b).alias("lt")) for a, b in settings])
     labelled = edges.withColumn("y", F.col(label).cast("int"))
-    groups = _target_arrays(labelled, evidence, tie, ["y"], limit, by)
-    # prefix sums in rank order, independent of the penalties
-    groups = groups.withColumn(
-        "p",
-        F.expr(
-            "aggregate(c, array(0D), (acc, e) -> concat(acc, array(element_at(acc, -1) + e.r)))"
-        ),
+    ranked = _candidates(labelled, evidence, tie, ["y"], by)
+    alone = F.max(_undecided(settings, limit)).over(Window.partitionBy(*TARGET)).alias("alone")
+    checked = F.when(F.col("k") <= limit, F.col("k")).otherwise(
+        F.raise_error(F.lit(f"a target has more than {limit} candidates"))
     )
+    ranked = ranked.select(*by, *TARGET, checked.alias("k"), "r", "y", alone)
+    positive, free = F.coalesce(F.col("y") == 1, F.lit(False)), ~F.col("alone")
+    cells = materialize(
+        ranked.groupBy(*by, "k", "r").agg(
+            F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"),
+            F.count_if(free & positive).alias("free_pos"), F.count_if(free).alias("free"),
+        )
+    )
     keys = [*by, "lambda_0", "lambda_t"]
-    tried = groups.withColumn("g", F.explode(grid)).select(
-        *by,
-        "c",
-        F.col("g.l0").alias("lambda_0"),
-        F.col("g.lt").alias("lambda_t"),
-        F.expr("transform(p, (v, k) -> v - g.l0 * k - g.lt * k * (k - 1) / 2D)").alias("v"),
-    )
-    # array_position finds the first, i.e. smallest, optimal k
-    tried = tried.withColumn("_best", F.array_max("v")).withColumn(
-        "k", (F.array_position("v", F.col("_best")) - 1).cast("int")
+    tried = cells.withColumn("g", F.explode(grid)).select(
+        *by, F.col("g.l0").alias("lambda_0"), F.col("g.lt").alias("lambda_t"), "free", "free_pos",
+        (F.col("r") - F.col("g.l0") - F.col("g.lt") * (F.col("k") - 1)).alias("gain"),
     )
-    picked = F.expr("aggregate(slice(c, 1, k), 0, (acc, e) -> acc + e.y)")
+    part = lambda value: F.sum(F.when(F.col("gain") > 0, value).otherwise(F.lit(0)))
     sums = tried.groupBy(*keys).agg(
-        F.sum(picked).alias("tp"), F.sum("k").alias("pred"), F.sum("_best").alias("objective")
-    )
+        part(F.col("free_pos")).alias("tp"), part(F.col("free")).alias("pred"),
+        F.sum(F.when((F.col("gain") > 0) & (F.col("free") > 0), F.col("gain") * F.col("free")).otherwise(F.lit(0.0))).alias("objective"),
+    )
+    if cells.where(F.col("pos") + F.col("neg") > F.col("free")).limit(1).count():
+        one_by_one = _solved(ranked.where("alone"), grid, by)
+        sums = sums.unionByName(one_by_one).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("tp", "pred", "objective")])
     totals = edges.groupBy(*by).agg(F.count_if(F.col(label).cast("int") == 1).alias("_pos"))
     out = group_join(sums, totals, by)
     tp, pred = F.col("tp"), F.col("pred")
@@ -270,13 +314,54 @@ def penalty_grid(
     result = out.select(*columns)
     if not ranking:
         return result
-    ranks = _grid_ranking(edges, groups, [a for a, _ in settings], [b for _, b in settings], label, limit, by)
+    ranks = _grid_ranking(edges, cells, [a for a, _ in settings], [b for _, b in settings], label, limit, by)
     return group_join(result, ranks, [*by, "lambda_t"])
 
 
+def _undecided(settings: Sequence[tuple[float, float]], limit: int) -> Column:
+    """Whether a candidate is too near to a threshold of the settings, or too odd, to be counted apart from its target."""
+    if min(b for _, b in settings) < 0:
+        return F.lit(True)
+    cuts = {a + b * k for a, b in settings for k in range(limit)}
+    # two numbers less than half a bin apart share a bin of one of two staggered rows of bins
+    bins = [sorted({math.floor(c / NEAR + shift) for c in cuts}) for shift in (0.0, 0.5)]
+    near = [F.floor(F.col("r") / NEAR + shift).isin(*b) for shift, b in zip((0.0, 0.5), bins)]
+    odd = F.coalesce(~F.col("y").isin(0, 1), F.lit(True))
+    return odd | (F.abs("r") > NEAR_BOUND) | near[0] | near[1]
+
+
+def _solved(ranked: DataFrame, grid: Column, by: Sequence[str]) -> DataFrame:
+    """Sums per setting over targets solved one by one; targets alike in evidence and labels are solved once."""
+    groups = ranked.groupBy(*TARGET, *by).agg(F.sort_array(F.collect_list(F.struct("k", "r", "y"))).alias("c"))
+    groups = groups.groupBy(*by, "c").agg(F.count(F.lit(1)).alias("n"))
+    # prefix sums in rank order, independent of the penalties
+    groups = groups.withColumn(
+        "p",
+        F.expr(
+            "aggregate(c, array(0D), (acc, e) -> concat(acc, array(element_at(acc, -1) + e.r)))"
+        ),
+    )
+    tried = groups.withColumn("g", F.explode(grid)).select(
+        *by,
+        "c",
+        "n",
+        F.col("g.l0").alias("lambda_0"),
+        F.col("g.lt").alias("lambda_t"),
+        F.expr("transform(p, (v, k) -> v - g.l0 * k - g.lt * k * (k - 1) / 2D)").alias("v"),
+    )
+    # array_position finds the first, i.e. smallest, optimal k
+    tried = tried.withColumn("_best", F.array_max("v")).withColumn(
+        "k", (F.array_position("v", F.col("_best")) - 1).cast("int")
+    )
+    picked = F.expr("aggregate(slice(c, 1, k), 0, (acc, e) -> acc + e.y)")
+    return tried.groupBy(*by, "lambda_0", "lambda_t").agg(
+        F.sum(picked * F.col("n")).alias("tp"), F.sum(F.col("k") * F.col("n")).alias("pred"), F.sum(F.col("_best") * F.col("n")).alias("objective")
+    )
+
+
 def _grid_ranking(
     edges: DataFrame,
-    groups: DataFrame,
+    cells: DataFrame,
     lambda0: Sequence[float],
     lambdat: Sequence[float],
     label: str,
@@ -296,10 +381,10 @@ def _grid_ranking(
     bounded = F.when(F.col("r").between(low, GAIN_BOUND), F.col("r")).otherwise(
         F.raise_error(F.lit(f"final scores cannot rank evidence outside [{low:g}, {GAIN_BOUND:g}]"))
     )
-    flat = groups.select(*by, F.inline("c")).select(*by, "k", bounded.alias("r"), "y")
+    flat = cells.select(*by, "k", bounded.alias("r"), "pos", "neg")
     gain = F.col("r") - F.col("lambda_t") * (F.col("k") - 1).cast("double")
-    scored = flat.withColumn("lambda_t", F.explode(each)).select(*keys, F.round(gain, GAIN_PLACES).alias("score"), "y")
-    inside = score_histogram(scored, "y", "score", keys)
+    scored = flat.withColumn("lambda_t", F.explode(each)).select(*keys, finite_score(F.round(gain, GAIN_PLACES)).alias("score"), "pos", "neg")
+    inside = scored.groupBy(*keys, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     outside = (
         edges.where(F.col("stage2_graph_input_pred") != 1)
         .groupBy(*by)
